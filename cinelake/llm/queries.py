@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cinelake.llm import exact_dedup
+from cinelake.llm import exact_dedup, warc
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_warc": warc.op2_warc,
+}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE}
