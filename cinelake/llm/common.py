@@ -80,24 +80,24 @@ def tree_merge(rows: DataFrame, keys: list[str], best: list[Column], row_id: str
     width, rounds = fan_in, 1
     while width < shuffle_width(spark):
         width, rounds = width * fan_in, rounds + 1
-    rows = rows.withColumn("__run", F.pmod(F.xxhash64(row_id), F.lit(width)).cast("int"))
+    rows = rows.withColumn("__tm_run", F.pmod(F.xxhash64(row_id), F.lit(width)).cast("int"))
     named = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(best)])
-    level = rows.groupBy(*keys, "__run").agg(F.min(named).alias("__best"), F.count(F.lit(1)).alias("__n"))
+    level = rows.groupBy(*keys, "__tm_run").agg(F.min(named).alias("__tm_best"), F.count(F.lit(1)).alias("__tm_n"))
     levels = []
     for _ in range(rounds):
-        levels.append(level.select(*keys, "__run"))
-        level = level.withColumn("__run", F.shiftright("__run", fan_in.bit_length() - 1)).groupBy(*keys, "__run")
-        level = level.agg(F.min("__best").alias("__best"), F.sum("__n").alias("__n"))
-    down = level.filter("__n > 1")
+        levels.append(level.select(*keys, "__tm_run"))
+        level = level.withColumn("__tm_run", F.shiftright("__tm_run", fan_in.bit_length() - 1)).groupBy(*keys, "__tm_run")
+        level = level.agg(F.min("__tm_best").alias("__tm_best"), F.sum("__tm_n").alias("__tm_n"))
+    down = level.filter("__tm_n > 1")
     for below in reversed(levels):
-        parent = below.withColumn("__up", F.shiftright("__run", fan_in.bit_length() - 1))
-        down = down.withColumnRenamed("__run", "__up")
-        down = _null_safe(parent, down, [*keys, "__up"], "inner").drop("__up")
-    out = _null_safe(rows, down, [*keys, "__run"], "left")
+        parent = below.withColumn("__tm_up", F.shiftright("__tm_run", fan_in.bit_length() - 1))
+        down = down.withColumnRenamed("__tm_run", "__tm_up")
+        down = _null_safe(parent, down, [*keys, "__tm_up"], "inner").drop("__tm_up")
+    out = _null_safe(rows, down, [*keys, "__tm_run"], "left")
     return (
-        out.withColumn("best", F.coalesce("__best", named))
-        .withColumn("group_size", F.coalesce("__n", F.lit(1).cast("long")))
-        .drop("__run", "__best", "__n")
+        out.withColumn("best", F.coalesce("__tm_best", named))
+        .withColumn("group_size", F.coalesce("__tm_n", F.lit(1).cast("long")))
+        .drop("__tm_run", "__tm_best", "__tm_n")
     )
 
 

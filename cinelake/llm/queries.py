@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, packing, warc
+from cinelake.llm import bpe, exact_dedup, jaccard, packing, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
     "op4_packing": packing.op4_packing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op7_bpe": bpe.op7_bpe,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE}
