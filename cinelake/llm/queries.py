@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, jaccard, packing, warc
+from cinelake.llm import bpe, exact_dedup, jaccard, packing, suffix_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_bpe": bpe.op7_bpe,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE}

@@ -40,6 +40,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + size * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all grams of ``size`` bytes, one per start."""
+    n = 1 << max(12, int(len(data)).bit_length())
+    up, down = _powers(n)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(data) - size + 1])
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class of each code point below U+0250: 0 white space, 1 letter, 2 digit or number, 3 anything else."""
