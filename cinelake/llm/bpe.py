@@ -201,7 +201,7 @@ class Encoder:
     anew, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)

@@ -160,4 +160,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return best_fit_pack(document_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    # written first, so that no executor holds the workers of two Python steps at once
+    return best_fit_pack(materialize(document_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "cut"))
