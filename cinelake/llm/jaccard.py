@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,27 +167,35 @@ def signatures(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(out), np.concatenate(who)
 
 
-def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles whose hashes end in the same bits; 2 to 4 times as many bits as shingles."""
+    width = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    bits = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _aligned(sketches: list[np.ndarray]) -> np.ndarray:
+    """All sketches folded to the narrowest width among them (halves of a parity sketch add up to the next narrower one)."""
+    width = min(len(x) for x in sketches)
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
+
+
+def links_within(size: np.ndarray, sketches: list[np.ndarray], sets: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links that connect every pair of sets with 100 * intersection >= percent * union; linear in number.
 
-    Leaders take what links to them; then clusters that are still apart are compared member by member. A parity bitmap
-    (a lower bound of the symmetric difference) and the sizes rule out most comparisons; the rest are counted exactly.
+    Leaders take what links to them; then clusters that are still apart are compared member by member. The sketches (whose
+    distance is at most the symmetric difference) and the sizes rule out most comparisons; the rest are counted exactly.
+    Without ``sets``, what the sketches can't rule out counts as linked.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    width = 512
-    owner = np.repeat(np.arange(n), size)
-    flat = np.concatenate(sets)
-    bits = np.bincount(owner * width + (flat & np.uint64(width - 1)).astype(np.int64), minlength=n * width) & 1
-    parity = np.packbits(bits.reshape(n, width).astype(np.uint8), axis=1).view(np.uint64)
+    n = len(size)
+    parity = _aligned(sketches)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
         both = size[others] + size[i]
         differ = np.bitwise_count(parity[others] ^ parity[i]).sum(axis=1, dtype=np.int64)
         # differ <= |symmetric difference| = union - intersection <= both * (100 - percent) / (100 + percent)
-        bound = (100 + percent) * np.maximum(differ, np.abs(size[others] - size[i])) <= (100 - percent) * both
-        near = others[bound]
-        if len(near) == 0:
+        near = others[(100 + percent) * np.maximum(differ, np.abs(size[others] - size[i])) <= (100 - percent) * both]
+        if len(near) == 0 or sets is None:
             return near
         own = sets[i]
         tokens = np.concatenate([sets[j] for j in near])
@@ -227,17 +236,46 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
+def _words(table: pa.Table, name: str, at: np.ndarray) -> list[np.ndarray]:
+    column = table.column(name)
+    return [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes of a group in unsigned order, and a row of each."""
+    node, at = np.unique(table.column("node").to_numpy().view(np.uint64), return_index=True)
+    return node.view(np.int64), at
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """lead, part, core, node: the nodes of each group (lead, part) that sketches connect with others, by such component.
+
+    rows: lead, part, node, n, sketch. Nodes that no sketch connects are left out: they link with nothing in the group.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, at = _distinct(table)
+        size = table.column("n").to_numpy()[at]
+        root = np.arange(len(node))
+        for i, j in links_within(size, _words(table, "sketch", at), None, percent):
+            a, b = root[i], root[j]
+            root[root == max(a, b)] = min(a, b)
+        keep = np.flatnonzero(np.bincount(root, minlength=len(node))[root] > 1)
+        lead, part = table.column("lead")[0].as_py(), table.column("part")[0].as_py()
+        return pa.table({"lead": np.full(len(keep), lead), "part": np.full(len(keep), part, np.int32), "core": node[root[keep]], "node": node[keep]})
+
+    return rows.groupBy("lead", "part").applyInArrow(run, "lead long, part int, core long, node long")
+
+
 def _verify(rows: DataFrame, groups: list[str], percent: int) -> DataFrame:
     """Links (a, b) among the sets of each group. rows: the group columns, node, grams (binary)."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        order = np.argsort(node.view(np.uint64), kind="stable")
-        node, at = np.unique(node.view(np.uint64)[order], return_index=True)
-        grams = table.column("grams")
-        sets = [np.frombuffer(grams[int(order[i])].as_buffer(), np.uint64) for i in at]
-        node = node.view(np.int64)
-        found = np.array(links_within(sets, percent), np.int64).reshape(-1, 2)
+        node, at = _distinct(table)
+        sets = _words(table, "grams", at)
+        size = np.array([len(s) for s in sets], np.int64)
+        sketches = [np.frombuffer(parity_sketch(s), np.uint64) for s in sets]
+        found = np.array(links_within(size, sketches, sets, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
     return rows.groupBy(*groups).applyInArrow(run, "a long, b long")
@@ -257,8 +295,9 @@ def jaccard_classes(
 
     Texts are read three times and never gathered: for set hashes, for signatures, and for the sets of those nodes that
     share a signature. Signatures travel packed. In each group of equal signatures every node is paired with the first;
-    nodes paired with the same one meet in tasks of at most ``task_shingles`` shingles, which return a forest of verified
-    links. Of a larger group, each part is verified with the first node, and what didn't link meets every part.
+    nodes paired with the same one meet in tasks of at most ``task_shingles`` shingles: first their parity sketches, which
+    leave out what can't link, then the sets of the rest, for a forest of verified links. Of a larger group, each part is
+    verified with the first node, and what didn't link meets every part.
     """
     if percent < 75:
         raise ValueError("signatures cover percent >= 75")
@@ -269,9 +308,12 @@ def jaccard_classes(
         for batch, texts in slices(batches, "__text"):
             flat, bounds = shingle_sets(texts, width)
             k1, k2 = set_keys(flat, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2)], ["__id", "__n", "__k", "__k2"])
+            sketch = pa.array([parity_sketch(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), sketch], ["__id", "__n", "__k", "__k2", "__sketch"])
 
-    thin = materialize(docs.mapInArrow(hashes, "__id long, __n long, __k long, __k2 long"), "sets")
+    thin = materialize(docs.mapInArrow(hashes, "__id long, __n long, __k long, __k2 long, __sketch binary"), "sets")
+    sketches = thin.where("__n > 0").groupBy(F.col("__k").alias("__key")).agg(F.min("__n").alias("n"), F.min("__sketch").alias("sketch"))
+    thin = thin.drop("__sketch")
     grouped = tree_merge(thin, ["__k", "__k2", "__n"], [F.col("__id").isNull(), F.col("__id")], "__id")
     grouped = materialize(grouped.select("__id", "__n", "__k", F.col("best.b1").alias("__rep"), "group_size"), "nodes")
     nodes = grouped.where("__id <=> __rep AND __n > 0").select("__k", "__n", "__rep").dropDuplicates(["__k"])
@@ -348,18 +390,29 @@ def jaccard_classes(
     leads = weight.select("lead", F.col("lead").alias("node"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = materialize(members.select("lead", "node", "parts", "part").unionByName(leads), "members")
 
-    wanted = members.select("node").distinct().join(nodes, F.col("node") == F.col("__k")).select(F.col("node").alias("__node"), "__rep")
+    rows = members.join(sketches, F.col("node") == F.col("__key")).select("lead", "part", "node", "n", "sketch")
+    possible = materialize(_possible(rows, percent), "possible")
+    wanted = possible.select("node").unionByName(members.where("parts > 1").select("node")).distinct()
+    wanted = wanted.join(nodes, F.col("node") == F.col("__k")).select(F.col("node").alias("__node"), "__rep")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch, texts in slices(batches, "__text"):
-            flat, bounds = shingle_sets(texts, width)
-            grams = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["__node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(x.as_buffer()) for x in texts], pa.binary())], ["__id", "__z"])
 
-    texts = docs.join(wanted, docs["__id"].eqNullSafe(F.col("__rep"))).select("__node", "__text")
-    sets = materialize(texts.mapInArrow(keep, "__node long, grams binary").dropDuplicates(["__node"]), "grams")
-    rows = members.join(sets, F.col("node") == F.col("__node")).select("lead", "part", "parts", "node", "grams")
-    links = materialize(_verify(rows.select("lead", "part", "node", "grams"), ["lead", "part"], percent), "links")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                rows = batch.slice(a, 256)
+                flat, bounds = shingle_sets(pa.array([unpacker.decompress(z.as_buffer()) for z in rows.column(1)], pa.large_binary()), width)
+                grams = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(grams, pa.binary())], ["__node", "grams"])
+
+    texts = docs.mapInArrow(squeeze, "__id long, __z binary").join(wanted, F.col("__id").eqNullSafe(F.col("__rep"))).select("__node", "__z")
+    sets = materialize(texts.mapInArrow(keep, "__node long, grams binary"), "grams")
+    rows = possible.join(sets, F.col("node") == F.col("__node")).select("lead", "part", "core", "node", "grams")
+    links = materialize(_verify(rows, ["lead", "part", "core"], percent), "links")
 
     if not members.where("parts > 1").isEmpty():
         large = members.where("parts > 1")
