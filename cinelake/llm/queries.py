@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, jaccard, packing, suffix_dedup, warc
+from cinelake.llm import bpe, exact_dedup, jaccard, packing, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_bpe": bpe.op7_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE}
