@@ -96,30 +96,37 @@ def _by_doc(kind: int, doc: np.ndarray, values: np.ndarray, extra: np.ndarray |
 # ---- Burrows-Wheeler transforms of string collections ------------------------------------------------------------------
 
 
-def sort_suffixes(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of strings that end in symbols of their own, by prefix doubling. left: symbols to the end."""
-    n, step = len(symbols), 1
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+def sort_suffixes(packed: np.ndarray, step: int, left: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of strings that end in symbols of their own, by prefix doubling.
+
+    packed: the first ``step`` symbols of each suffix as a number (nothing after the end); left: symbols to the end, the
+    end's own included; owner: the string, whose number decides between suffixes that are equal up to their ends.
+    """
+    n = len(packed)
+    order = np.argsort(packed)
+    rank = np.empty(n, np.int64)
+
+    def number(key: np.ndarray) -> int:
+        fresh = np.zeros(n, np.int64)
+        np.cumsum(key[1:] != key[:-1], out=fresh[1:])
+        rank[order] = fresh
+        return int(fresh[-1])
+
+    number(packed[order])
     while True:
-        ahead = np.zeros(n, np.int64)
+        ahead = owner + 1
         inside = np.flatnonzero(left > step)
         ahead[inside] = rank[inside + step] + 1
         key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[0] = 0
-        np.cumsum(sorted_key[1:] != sorted_key[:-1], out=fresh[1:])
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+        order = np.argsort(key)
+        if number(key[order]) == n - 1:
             return order
         step *= 2
 
 
 def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per group: its number, the transform of its strings (uint16: 0 for a string's end, else byte + 1), their indices."""
+    """Per group: its number, the transform of its strings (uint8: 0 for a string's end, else byte + 1; UTF-8 has no byte
+    over 0xF4), and the strings' indices."""
     by = np.argsort(group, kind="stable")
     starts, sizes, group = starts[by], sizes[by], group[by]
     full = sizes + 1
@@ -128,13 +135,14 @@ def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: n
     owner = np.repeat(np.arange(count), full)
     at = np.arange(n) - begin[owner]
     ending = at == sizes[owner]
-    byte = np.zeros(n, np.int64)
-    byte[~ending] = data[(starts[owner] + at)[~ending]]
-    # a string's end is smaller than all bytes, and ends are in the order of the strings; groups come one after another
-    wide = count + 257
-    order = sort_suffixes(group[owner] * wide + np.where(ending, owner, count + byte), full[owner] - at)
-    first = at[order] == 0
-    before = np.where(first, 0, byte[order - 1] + 1).astype(np.uint16)
+    symbol = np.zeros(n + 4, np.int64)
+    symbol[:n][~ending] = data[(starts[owner] + at)[~ending]].astype(np.int64) + 1
+    left = full[owner] - at
+    packed = group[owner]  # groups come one after another
+    for k in range(5):
+        packed = packed << 8 | np.where(left > k, symbol[k : n + k], 0)
+    order = sort_suffixes(packed, 5, left, owner)
+    before = np.where(at[order] == 0, 0, symbol[order - 1]).astype(np.uint8)
     cuts = _runs(group)
     for k, a in enumerate(cuts.tolist()):
         b = int(cuts[k + 1]) if k + 1 < len(cuts) else count
@@ -143,9 +151,7 @@ def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: n
 
 def walk(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """String and offset of each suffix of a transform: all strings are walked from their ends at once."""
-    order = np.argsort(bwt, kind="stable")
-    back = np.empty(len(bwt), np.int64)
-    back[order] = np.arange(len(bwt))
+    back = back_steps(bwt)
     string, offset = np.empty(len(bwt), np.int64), np.empty(len(bwt), np.int64)
     row, live = np.arange(len(sizes)), np.arange(len(sizes))
     string[row], offset[row] = live, sizes
@@ -160,34 +166,43 @@ def walk(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         string[row], offset[row] = live, sizes[live] - length
 
 
+def back_steps(bwt: np.ndarray) -> np.ndarray:
+    """Row of the suffix that is longer by one symbol, for each row of a transform."""
+    order = np.argsort(bwt, kind="stable")
+    back = np.empty(len(bwt), np.int32)
+    back[order] = np.arange(len(bwt), dtype=np.int32)
+    return back
+
+
 def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges transforms by refining their interleave ``depth`` times; no suffix is compared or sorted again.
 
-    ends: strings per shard. The interleave tells for each place of the merged order which shard the suffix comes from;
-    a shard's suffixes keep their order. After h rounds the suffixes are in the order of their first h symbols: each
-    round passes over the interleave and deals the places out by the symbol before the suffix. Returns, for each place,
-    the row in the shards laid end to end, and the length of the prefix it shares with the place before (``depth`` at
-    most). Ends of strings are all different, so what runs over an end is shared with nothing.
+    ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard; a shard's rows
+    keep their order. After h rounds the suffixes are in the order of their first h symbols: each round passes over the
+    interleave, deals the places out by the symbol before the suffix (a counting sort of bytes) and steps back to that
+    longer suffix. Returns, for each place, the row in the shards laid end to end, and the length of the prefix it shares
+    with the place before (``depth`` at most). Ends of strings are all different, so what runs over an end is shared with
+    nothing.
     """
     symbols = np.concatenate(shards)
     n, stops = len(symbols), int(ends.sum())
-    small = np.uint16 if len(shards) < 65536 else np.int64
-    shard = np.repeat(np.arange(len(shards)), [len(s) for s in shards]).astype(small)
-    lead = np.repeat(np.arange(len(shards)), ends).astype(small)
-    row = np.arange(n)
-    common = np.full(n, depth, np.int64)
-    block = np.zeros(n, np.int64)
+    base = np.concatenate([[0], np.cumsum([len(s) for s in shards])]).astype(np.int32)
+    back = np.concatenate([back_steps(s) + base[k] for k, s in enumerate(shards)])
+    lead = np.concatenate([np.arange(base[k], base[k] + e, dtype=np.int32) for k, e in enumerate(ends)])
+    row = np.arange(n, dtype=np.int32)
+    common = np.full(n, depth, np.int32)
+    block = np.zeros(n, np.int32)
+    new = np.empty(n, bool)
+    new[: stops + 1] = True
     for h in range(1, depth + 1):
         symbol = symbols[row]
         order = np.argsort(symbol, kind="stable")
-        symbol, block, shard = symbol[order], block[order], shard[order]
-        shard[:stops] = lead
-        new = np.empty(n, bool)
-        new[: stops + 1] = True
-        new[stops + 1 :] = (symbol[stops + 1 :] != symbol[stops:-1]) | (block[stops + 1 :] != block[stops:-1])
+        symbol, block, row = symbol[order], block[order], back[row[order]]
+        row[:stops] = lead
+        np.not_equal(block[stops + 1 :], block[stops:-1], out=new[stops + 1 :])
+        new[stops + 1 :] |= symbol[stops + 1 :] != symbol[stops:-1]
         common[new & (common == depth)] = h - 1
-        block = np.cumsum(new)
-        row[np.argsort(shard, kind="stable")] = np.arange(n)
+        np.cumsum(new, out=block)
         if block[-1] == n:
             break
     return row, common
@@ -348,7 +363,7 @@ def repeated_strings(
         shards: dict[int, list] = {}
         for batch in batches:
             for i, q in enumerate(batch.column(0).to_pylist()):
-                kinds = (np.uint16, np.int64, np.int64, np.uint64)
+                kinds = (np.uint8, np.int64, np.int64, np.uint64)
                 shards.setdefault(q, []).append([np.frombuffer(batch.column(c + 1)[i].as_buffer(), t) for c, t in enumerate(kinds)])
         for own in shards.values():
             bwts, sizes, owners, keys = zip(*own, strict=True)
