@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, jaccard, packing, suffix_dedup, toxicity, warc
+from cinelake.llm import bpe, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
     "op4_packing": packing.op4_packing,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_language": language.op6_language,
     "op7_bpe": bpe.op7_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
