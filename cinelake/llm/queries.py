@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, warc
+from cinelake.llm import bpe, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, vectors, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_vectors": vectors.op3_vectors,
     "op4_packing": packing.op4_packing,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_language": language.op6_language,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE}
