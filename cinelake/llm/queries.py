@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinelake.llm import bpe, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, vectors, warc
+from cinelake.llm import bpe, chat, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, vectors, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_language": language.op6_language,
     "op7_bpe": bpe.op7_bpe,
+    "op8_chat": chat.op8_chat,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE, "op8_chat": chat.ORACLE}
