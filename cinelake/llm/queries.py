@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cinelake.llm import bpe, chat, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, vectors, warc
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE, "op8_chat": chat.ORACLE}

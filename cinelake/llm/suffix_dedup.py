@@ -212,15 +212,15 @@ def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.nd
 
 
 def repeated_strings(
-    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", output: str = "spans"
+    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", output: str = "spans", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Removes every byte that a string of ``length`` bytes covers which also starts in a document with a smaller id.
 
     One row per input row. ``output`` "spans": id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and
     spans, array of (start, end) of the maximal removed runs in bytes; "text": id and kept_text, the remaining bytes
-    without what is left of cut characters. Texts are whole UTF-8 texts; null counts as empty. Strings don't cross documents and
+    without what is left of cut characters. ``carry``: further columns to keep as they are. Texts are whole UTF-8 texts; null counts as empty. Strings don't cross documents and
     are judged on the input. Documents with the same id remove nothing from each other; a row with a null id removes
-    nothing and loses nothing. Other columns are not read. An empty table gives no rows.
+    nothing and loses nothing. No other column is read. An empty table gives no rows.
 
     Windows are dealt out by the smallest gram hash in them (``fragments``), in which equal windows agree. Of equal runs
     of windows the smallest id is enough to know. Where one gram hash has different runs from two or more documents, their
@@ -314,7 +314,7 @@ def repeated_strings(
         packer = zstandard.ZstdCompressor(level=1)
         for batch, texts in slices(batches, "__text"):
             raw = [packer.compress(x.as_buffer()) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["__id", "__z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), *batch.columns[2:]], ["__id", "__z", *batch.schema.names[2:]])
 
     def unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         unpacker = zstandard.ZstdDecompressor()
@@ -404,7 +404,6 @@ def repeated_strings(
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in unpacked(batches):
-            n = batch.num_rows
             cover = np.zeros(len(data) + 1, np.int64)
             whole, whole_row = told(batch.column(2))
             some, some_row = told(batch.column(3))
@@ -431,7 +430,7 @@ def repeated_strings(
             bound = np.searchsorted(starts, offsets)
             kept = [data[a:b][~gone[a:b]].tobytes() if bound[i] < bound[i + 1] else data[a:b].tobytes() for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
             if output != "spans":
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], [id_col, "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *batch.columns[5:]], [id_col, "kept_text", *carry])
                 continue
             size = np.diff(offsets)
             home = np.repeat(offsets[:-1], np.diff(bound))
@@ -444,14 +443,18 @@ def repeated_strings(
                     pa.array(np.diff(bound)),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pairs),
+                    *batch.columns[5:],
                 ],
-                [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *carry],
             )
-            assert len(kept) == n
 
-    all_packed = docs.mapInArrow(squeeze, "__id long, __z binary")
-    joined = all_packed.join(facts, F.col("__id") == F.col("doc"), "left").select(F.col("__id").cast(kind).alias("__id"), "__z", "whole", "keys", "places")
-    return joined.mapInArrow(cut_out, f"`{id_col}` {kind}, {rest}")
+    more = "".join(f", `{c}` {dict(df.dtypes)[c]}" for c in carry)
+    kept = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
+    whole_docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *kept)
+    all_packed = whole_docs.mapInArrow(squeeze, "__id long, __z binary" + "".join(f", __c{i} {dict(df.dtypes)[c]}" for i, c in enumerate(carry)))
+    joined = all_packed.join(facts, F.col("__id") == F.col("doc"), "left")
+    joined = joined.select(F.col("__id").cast(kind).alias("__id"), "__z", "whole", "keys", "places", *[f"__c{i}" for i in range(len(carry))])
+    return joined.mapInArrow(cut_out, f"`{id_col}` {kind}, {rest}{more}")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
