@@ -149,11 +149,10 @@ def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: n
         yield int(group[a]), before[begin[a] : begin[b]], by[a:b]
 
 
-def walk(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """String and offset of each suffix of a transform: all strings are walked from their ends at once."""
-    back = back_steps(bwt)
-    string, offset = np.empty(len(bwt), np.int64), np.empty(len(bwt), np.int64)
-    row, live = np.arange(len(sizes)), np.arange(len(sizes))
+def walk(back: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each row: all strings are walked back from the rows of their ends at once."""
+    string, offset = np.empty(len(back), np.int32), np.empty(len(back), np.int32)
+    row, live = ends, np.arange(len(sizes))
     string[row], offset[row] = live, sizes
     length = 0
     while True:
@@ -174,15 +173,15 @@ def back_steps(bwt: np.ndarray) -> np.ndarray:
     return back
 
 
-def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merges transforms by refining their interleave ``depth`` times; no suffix is compared or sorted again.
 
     ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard; a shard's rows
     keep their order. After h rounds the suffixes are in the order of their first h symbols: each round passes over the
     interleave, deals the places out by the symbol before the suffix (a counting sort of bytes) and steps back to that
     longer suffix. Returns, for each place, the row in the shards laid end to end, and the length of the prefix it shares
-    with the place before (``depth`` at most). Ends of strings are all different, so what runs over an end is shared with
-    nothing.
+    with the place before (``depth`` at most); and, for ``walk``, the steps back and the rows of the ends. Ends of strings
+    are all different, so what runs over an end is shared with nothing.
     """
     symbols = np.concatenate(shards)
     n, stops = len(symbols), int(ends.sum())
@@ -205,7 +204,7 @@ def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.nd
         np.cumsum(new, out=block)
         if block[-1] == n:
             break
-    return row, common
+    return row, common, back, lead
 
 
 # ---- the operator -------------------------------------------------------------------------------------------------------
@@ -229,7 +228,7 @@ def repeated_strings(
     """
     spark = df.sparkSession
     width = shuffle_width(spark)
-    parts, buckets = 8 * width, 8 * width
+    parts, buckets = 8 * width, 4 * width
     docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     named = docs.where("__id IS NOT NULL")
 
@@ -367,16 +366,13 @@ def repeated_strings(
                 shards.setdefault(q, []).append([np.frombuffer(batch.column(c + 1)[i].as_buffer(), t) for c, t in enumerate(kinds)])
         for own in shards.values():
             bwts, sizes, owners, keys = zip(*own, strict=True)
-            row, common = merge(list(bwts), np.array([len(s) for s in sizes]), length)
+            row, common, back, ends = merge(list(bwts), np.array([len(s) for s in sizes]), length)
             same = common >= length
             both = same.copy()
             both[:-1] |= same[1:]
             if not both.any():
                 continue
-            walked = [walk(b, s) for b, s in zip(bwts, sizes, strict=True)]
-            base = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-            string = np.concatenate([w[0] + base[k] for k, w in enumerate(walked)])
-            offset = np.concatenate([w[1] for w in walked])
+            string, offset = walk(back, ends, np.concatenate(sizes))
             doc, key = np.concatenate(owners), np.concatenate(keys)
             row, same = row[both], same[both]
             doc_at = doc[string[row]]
@@ -384,7 +380,7 @@ def repeated_strings(
             least = np.repeat(np.minimum.reduceat(doc_at, start), np.diff(np.append(start, len(row))))
             hit = row[doc_at > least]
             if len(hit):
-                yield from _by_doc(2, doc[string[hit]], key[string[hit]], offset[hit])
+                yield from _by_doc(2, doc[string[hit]], key[string[hit]], offset[hit].astype(np.int64))
 
     packed = named.mapInArrow(squeeze, "__id long, __z binary")
     wants = found.where("kind = 1").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
