@@ -322,7 +322,7 @@ def jaccard_classes(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set's signatures leave a task once
-        for _, texts in slices(batches, "__text", 1 << 23):
+        for _, texts in slices(batches, "__text"):
             flat, bounds = shingle_sets(texts, width)
             key, _ = set_keys(flat, bounds)
             fresh = []

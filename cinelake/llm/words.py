@@ -20,32 +20,39 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
-@lru_cache(8)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def geometric(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+_TABLES: list[np.ndarray] = []
+
 
-    return geometric(_BASE), geometric(_INVERSE)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least; one table per process, which grows with the longest batch."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _TABLES.clear()
+        for base in (_BASE, _INVERSE):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            _TABLES.append(np.multiply.accumulate(out, out=out))
+    return _TABLES[0], _TABLES[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span [start, end) of the bytes, from prefix sums of a polynomial hash."""
-    n = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(n)
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.take(_BYTE, data, out=sums[1:])
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums, out=sums)
     size = (ends - starts).astype(np.uint64)
     return mix((sums[ends] - sums[starts]) * down[starts] + size * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all grams of ``size`` bytes, one per start."""
-    n = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(n)
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.take(_BYTE, data, out=sums[1:])
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums, out=sums)
     return mix((sums[size:] - sums[:-size]) * down[: len(data) - size + 1])
 
 
