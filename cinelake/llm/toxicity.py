@@ -205,7 +205,7 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
 
     Words get a row if they are in four texts or more and in unequal shares of the two labels' texts (three standard
     errors); it starts from their smoothed log-odds. All other words are known by their characters only. Each step scores all windows of
-    ``pack`` texts, and goes back through the two top ones of each; about ``steps`` steps, but 5 to 30 passes. A fifth of
+    ``pack`` texts, and goes back through the two top ones of each; about ``steps`` steps, but 5 to 100 passes. A fifth of
     the texts is kept apart to set the middle of the final logistic curve. Without both labels the network is its prior: the share of label 1 (0 of none).
     """
     y = np.array(labels, np.float32)
@@ -238,7 +238,7 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
     net.prior = float(y.mean())
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, epochs = 0, min(30, max(5, steps * pack // len(fit)))
+    step, epochs = 0, min(100, max(5, steps * pack // len(fit)))
     for epoch in range(epochs):
         mixed = r.permutation(fit)
         for a in range(0, len(mixed), pack):
