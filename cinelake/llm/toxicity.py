@@ -88,7 +88,7 @@ class Network:
         word = 0.1 * r.standard_normal((len(words) + 1, WORD_DIM)).astype(np.float32)
         word[: len(words), 0] += odds.astype(np.float32)
         self.p = {
-            "word": word, "char": 0.3 * r.standard_normal((CHAR_ROWS, CHAR_DIM)).astype(np.float32), "win": f(2, d, 3 * h), "bin": np.zeros((2, 3 * h), np.float32),
+            "word": word, "char": 0.1 * r.standard_normal((CHAR_ROWS, CHAR_DIM)).astype(np.float32), "win": f(2, d, 3 * h), "bin": np.zeros((2, 3 * h), np.float32),
             "rec": f(2, h, 3 * h), "att": f(2 * h, ATTEND), "pick": f(ATTEND), "out": f(2 * h), "bias": np.zeros(1, np.float32),
         }
         self.scale, self.middle, self.prior = 1.0, 0.0, 0.0
@@ -195,6 +195,8 @@ class Network:
             order = np.lexsort((start, -logit, text))
             head = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
             top[text[head]], at[text[head]] = logit[head], start[head] - t.bounds[text[head]]
+        if not self.scale:
+            return np.full(len(texts), self.prior), count, at
         with np.errstate(over="ignore"):
             value = 1 / (1 + np.exp(-self.scale * (top.astype(np.float64) - self.middle)))
         return np.where(count > 0, value, self.prior), count, at
@@ -206,15 +208,13 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
     Words get a row if they are in four texts or more and in unequal shares of the two labels' texts (three standard
     errors); it starts from their smoothed log-odds. All other words are known by their characters only. Each step scores all windows of
     ``pack`` texts, and goes back through the two top ones of each; about ``steps`` steps, but 5 to 100 passes. A fifth of
-    the texts is kept apart to set the middle of the final logistic curve. Without both labels the network is its prior: the share of label 1 (0 of none).
+    the texts is kept apart to set the middle of the final logistic curve (all texts set it if that leaves under 60). Without both labels the network is its prior: the share of label 1 (0 of none).
     """
     y = np.array(labels, np.float32)
     net = Network(np.zeros(0, np.uint64), np.zeros(0))
     net.prior = float(y.mean()) if len(y) else 0.0
     if len(set(labels)) < 2:
-        net.scale, net.middle = 0.0, 0.0
-        net.p["bias"][:] = 0
-        net.middle = 0.0 if net.prior >= 0.5 else np.inf
+        net.scale = 0.0
         return net
     r = np.random.default_rng(seed)
     order = np.concatenate([r.permutation(np.flatnonzero(y == k)) for k in (0, 1)])
@@ -270,8 +270,12 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
             for k, v in net.p.items():
                 first[k] += 0.1 * (g[k] - first[k])
                 second[k] += 0.01 * (g[k] ** 2 - second[k])
+                if k in ("char", "rec", "att"):
+                    v *= 1 - 0.3 * rate  # decay, so that few texts aren't learnt by heart
                 v -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    _calibrate(net, [texts[i] for i in apart] or texts, y[apart] if len(apart) else y)
+    if len(apart) < 60:  # too few to place the middle by themselves
+        apart = order
+    _calibrate(net, [texts[i] for i in apart], y[apart])
     return net
 
 

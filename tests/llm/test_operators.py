@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cinelake.llm import bpe, chat, exact_dedup, jaccard, packing, suffix_dedup, vectors, warc
+from cinelake.llm import bpe, chat, exact_dedup, jaccard, packing, suffix_dedup, toxicity, vectors, warc
 
 SCHEMA = "doc_id long, text string, best string, group_size int, node long"
 
@@ -147,17 +147,21 @@ def test_chat(spark):
     assert chat.link_tool_calls(df.limit(0), results.limit(0), {}).count() == 0
 
 
-def test_pipeline_keeps_columns_and_clean_texts(spark, tmp_path):
-    r = random.Random(9)
+def test_pipeline(spark, tmp_path):
+    r, n = random.Random(9), 120
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
-    own = [text() for _ in range(40)]
-    rows = [(i, t + (" nasty" if i % 4 == 0 else ""), "en", "s", 1) for i, t in enumerate(own)] + [(100, own[1], "en", "s", 1), (101, own[2] + " more", "en", "s", 1), (102, None, None, None, None)]
+    own = [text() for _ in range(n)]
+    rows = [(i, t + (" nasty" if i % 4 == 0 else ""), "en", "s", 1) for i, t in enumerate(own)]
+    rows += [(1000, own[1], "en", "s", 1), (1001, own[2] + " more", "en", "s", 1), (1002, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    net = toxicity.fit_toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    toxic = {x.doc_id for x in toxicity.score_toxicity(docs, net).where("predicted = 1").collect()}
+    assert len(toxic & set(range(0, n, 4))) >= 27 and len(toxic - set(range(0, n, 4))) <= 3
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "t")
         assert docs.columns == corpus_pipeline.COLUMNS
-    kept = {x.doc_id for x in docs.collect()}
-    assert kept == {i for i in range(40) if i % 4} | {102}
+    copies = {b for a, b in ((1, 1000), (2, 1001)) if a not in toxic}
+    assert {x.doc_id: x.text for x in docs.collect()} == {x[0]: x[1] or "" for x in rows if x[0] not in toxic | copies}
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.sum("length")).first()[0] > 0
