@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.functions.text import normalize_title_text, title_similarity
+from cinelake.functions.text import normalize_title_text
 from cinelake.operators import compare as C
 from cinelake.operators import duplicates, films
 from cinelake.operators.filenames import parse_filenames
 from cinelake.operators.records import inventory_records
+from cinelake.operators.similar import compared
 from cinelake.plans import media, reports
 from cinelake.sources import cache
 from cinelake.sources.snapshots import kept, written
@@ -152,9 +153,9 @@ def q18(spark, d):
 
 
 def q19(spark, d):
-    b = _table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("b"))
-    docs = _table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("a"), (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(b, "item_id").select("doc_id", "item_id", title_similarity("a", "b").alias("similarity"))
+    """Every document with every benchmark item, both whole."""
+    b = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
+    return compared(_table(spark, d, "documents").select("doc_id", F.col("text").alias("a")), b)
 
 
 def _catalogue(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:

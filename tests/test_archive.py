@@ -1,17 +1,19 @@
 """Golden filenames, codec tables, group rules, sources and sinks of the archive inventory."""
 
+import difflib
 import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from cinelake.functions.text import duration_text, rate, similarity, title_key, to_int
+from cinelake.functions.text import alias_key, duration_text, rate, similarity, title_key, to_int
 from cinelake.operators import compare as C
 from cinelake.operators import duplicates, films
 from cinelake.operators.filenames import FIELDS, parse_filenames
 from cinelake.operators.records import FIELDS as RECORD
 from cinelake.operators.records import inventory_records
+from cinelake.plans import queries
 from cinelake.sources import cache, files
 from cinelake.sources.catalogue import Catalogue
 from cinelake.sources.xlsx import write_workbook
@@ -50,6 +52,22 @@ def test_text_functions(spark):
     assert (r.a, r.b, round(r.c, 3), r.d, r.e) == ("0:01:00", "", 23.976, None, 12)
 
 
+def test_similarity_query(spark, tmp_path):
+    """q19 against difflib: whole texts that differ only after 60 characters, more than 40 items, nulls, several blocks."""
+    start = "The same sixty characters and more stand at the front of these texts: "
+    docs = [(i, start + f"tail {i} " * (3 * i)) for i in range(4)] + [(4, None), (5, ""), (6, start + "item 41")]
+    items = [(i, start + f"item {i}") for i in range(45)] + [(45, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries.q19(spark, str(tmp_path)).collect()
+
+    def ratio(a, b):
+        return round(difflib.SequenceMatcher(None, alias_key(a), alias_key(b)).ratio() * 100, 1) if a and b else 0.0
+
+    assert len(rows) == 7 * 46
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == {(i, j): ratio(a, b) for i, a in docs for j, b in items}
+
+
 @pytest.mark.parametrize(
     ("make", "want"),
     [
