@@ -40,3 +40,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def least_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, rep, component: the smallest id that links reach, for every node that a link names; null if all are null.
+
+    nodes: node (long, never null, unique), rep (its smallest id, or null). links: a, b (nodes). The components are those
+    of the nodes, so a node without an id still connects its neighbours. Nodes with the same id count as linked.
+    """
+    named = nodes.select("node", "rep")
+    shared = materialize(named.where("rep IS NOT NULL").groupBy("rep").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    same = named.join(shared, "rep").where("node <> b").select(F.col("node").alias("a"), "b")
+    found = connected_components(links.select("a", "b").unionByName(same)).withColumnRenamed("component", "root")
+    found = materialize(found.join(named, "node"), "roots")
+    least = materialize(found.groupBy("root").agg(F.min("rep").alias("component")), "ids")
+    return found.join(least, "root").select("node", "rep", "component")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import byte_view, materialize, mix, shuffle_width, slices, tree_merge
-from cinelake.llm.components import connected_components
+from cinelake.llm.components import least_ids
 from cinelake.llm.words import span_hashes
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -400,16 +400,29 @@ def jaccard_classes(
         for batch, texts in slices(batches, "__text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(x.as_buffer()) for x in texts], pa.binary())], ["__id", "__z"])
 
+    def squeeze_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = zstandard.ZstdCompressor(level=1), set()
+        for _, texts in slices(batches, "__text"):
+            key = set_keys(*shingle_sets(texts, width))[0].tolist()
+            fresh = [i for i, k in enumerate(key) if k not in seen and not seen.add(k)]
+            packed = pa.array([packer.compress(texts[i].as_buffer()) for i in fresh], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in fresh], pa.int64()), packed], ["__key", "__z"])
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
                 flat, bounds = shingle_sets(pa.array([unpacker.decompress(z.as_buffer()) for z in rows.column(1)], pa.large_binary()), width)
-                grams = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(grams, pa.binary())], ["__node", "grams"])
-
-    texts = docs.mapInArrow(squeeze, "__id long, __z binary").join(wanted, F.col("__id").eqNullSafe(F.col("__rep"))).select("__node", "__z")
+                own = np.flatnonzero(set_keys(flat, bounds)[0] == rows.column(0).to_numpy())  # an id may have several texts
+                grams = [flat[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.array(grams, pa.binary())], ["__node", "grams"])
+
+    # a node's text is found by its id, and by the hash of its set where it has no id
+    texts = docs.mapInArrow(squeeze, "__id long, __z binary").join(wanted, F.col("__id") == F.col("__rep")).select("__node", "__z")
+    nameless = docs.where("__id IS NULL").mapInArrow(squeeze_keyed, "__key long, __z binary")
+    nameless = nameless.join(wanted.where("__rep IS NULL"), F.col("__key") == F.col("__node")).select("__node", "__z")
+    texts = texts.unionByName(nameless)
     sets = materialize(texts.mapInArrow(keep, "__node long, grams binary"), "grams")
     rows = possible.join(sets, F.col("node") == F.col("__node")).select("lead", "part", "core", "node", "grams")
     links = materialize(_verify(rows, ["lead", "part", "core"], percent), "links")
@@ -427,11 +440,9 @@ def jaccard_classes(
         again = again.unionByName(loose).distinct().join(sets, F.col("node") == F.col("__node")).select("lead", "part", "block", "node", "grams")
         links = links.unionByName(materialize(_verify(again, ["lead", "part", "block"], percent), "links"))
 
-    name = nodes.select("__k", "__rep")
-    edges = links.join(name.withColumnRenamed("__rep", "x"), F.col("a") == F.col("__k")).drop("__k")
-    edges = edges.join(name.withColumnRenamed("__rep", "y"), F.col("b") == F.col("__k")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    component = materialize(connected_components(edges), "components")
-    out = grouped.join(component, F.col("__rep") == F.col("node"), "left")
+    named = nodes.select(F.col("__k").alias("node"), F.col("__rep").alias("rep"))
+    component = materialize(least_ids(named, links), "components")
+    out = grouped.join(component, (F.col("__k") == F.col("node")) & F.col("__rep").eqNullSafe(F.col("rep")), "left")
     return out.select(
         F.col("__id").alias(id_col),
         F.col("__n").alias("n_shingles"),

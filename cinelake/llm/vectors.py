@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import materialize
-from cinelake.llm.components import connected_components
+from cinelake.llm.components import least_ids
 
 #: Vectors that a cell aims at, pivots in all at most, and vectors of a cell that one task compares with another block.
 CELL, PIVOTS, BLOCK = 4096, 2048, 4096
@@ -125,7 +125,7 @@ def near_vectors(
     parted = dealt.join(materialize(size, "sizes"), ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # blocks i <= j meet in task (i, j); each vector goes to the row and the column of its own block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    parted = parted.select("label", "dim", "cell", "node", "rep", "times", "u", "home", "mine", other)
+    parted = parted.select("label", "dim", "cell", "node", "times", "u", "home", "mine", other)
     parted = parted.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -150,24 +150,23 @@ def near_vectors(
                     edges += [(own[r], m) for m in mates[first[apart]]]
                     all_of = np.append(clusters, root[own[r]])
                     root[np.isin(root, all_of)] = all_of.min()
-        rep = table.column("rep")
-        a = pa.chunked_array([rep]) if isinstance(rep, pa.Array) else rep
+        own_nodes = pa.array(table.column("node").to_numpy())
         ends = np.array(edges, np.int64).reshape(-1, 2)
         counted = np.flatnonzero(home & (links > 0))
         return pa.table(
             {
-                "node": pa.concat_arrays([pa.array(table.column("node").to_numpy()[counted]), pa.nulls(len(ends), pa.int64())]),
+                "node": pa.concat_arrays([own_nodes.take(pa.array(counted)), pa.nulls(len(ends), pa.int64())]),
                 "links": pa.concat_arrays([pa.array(links[counted]), pa.nulls(len(ends), pa.int64())]),
-                "a": pa.concat_arrays([pa.nulls(len(counted), pa.int64()), a.take(pa.array(ends[:, 0])).combine_chunks()]),
-                "b": pa.concat_arrays([pa.nulls(len(counted), pa.int64()), a.take(pa.array(ends[:, 1])).combine_chunks()]),
+                "a": pa.concat_arrays([pa.nulls(len(counted), pa.int64()), own_nodes.take(pa.array(ends[:, 0]))]),
+                "b": pa.concat_arrays([pa.nulls(len(counted), pa.int64()), own_nodes.take(pa.array(ends[:, 1]))]),
             }
         )
 
     found = parted.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "node long, links long, a long, b long")
     found = materialize(found, "links")
     links = found.where("node IS NOT NULL").groupBy(F.col("node").alias("__node")).agg(F.sum("links").alias("links"))
-    component = connected_components(found.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "__rep")
-    facts = nodes.select("node", "rep", "times").join(links, F.col("node") == F.col("__node"), "left").join(component, F.col("rep") == F.col("__rep"), "left")
+    component = least_ids(nodes, found.where("a IS NOT NULL").select("a", "b")).select(F.col("node").alias("__linked"), "component")
+    facts = nodes.select("node", "rep", "times").join(links, F.col("node") == F.col("__node"), "left").join(component, F.col("node") == F.col("__linked"), "left")
     facts = facts.select(F.col("node").alias("__node"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = units.select("__id", "node").join(materialize(facts, "facts"), F.col("node") == F.col("__node"), "left")
     component = F.coalesce("component", "__id")

@@ -67,6 +67,19 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_classes(_docs(spark, [])).count() == 0
 
 
+def test_jaccard_null_id_between(spark):
+    """A base without an id and two near copies of it: whichever of them leads the groups, all are one component."""
+    r = random.Random(3)
+    rows, want = [], {}
+    for k in range(12):
+        base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+        rows += [(None, " ".join(base)), (2 * k + 1, " ".join([*base, "x"])), (2 * k + 2, " ".join([*base, "y"]))]
+        want |= {2 * k + 1: 2 * k + 1, 2 * k + 2: 2 * k + 1}
+    got = jaccard.jaccard_classes(_docs(spark, rows)).collect()
+    assert {x.doc_id: x.component_id for x in got if x.doc_id is not None} == want
+    assert sorted(x.component_id for x in got if x.doc_id is None) == sorted(set(want.values()))
+
+
 def test_suffixes(spark):
     rows = [*_texts(), (None, "passage " * 30)]
     first, want = {}, {}
@@ -102,6 +115,15 @@ def test_vectors(spark):
         assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in got} == {i: (len(links.get(i, ())), root[i], root[i] == i) for i in root}
 
 
+def test_vectors_null_id_between(spark):
+    """A vector without an id that all others link with: the forest's only links may run through it."""
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    for n in range(3):  # the first row of a block varies with the values
+        rows = [(None, turn(n), 0), (7, turn(n + 10), 0), (5, turn(n - 10), 0), (9, turn(n + 180), 0)]
+        got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {None: (2, 5), 7: (1, 5), 5: (1, 5), 9: (0, 9)}
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "u", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "a b", None), (4, "u", ""), (5, "u", "x" * 100_000), (None, "u", "<p>é</p>"), (2, "u", "<p>é</p>")]
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", archive_bytes=300)
