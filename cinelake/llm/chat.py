@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import materialize
@@ -34,31 +35,62 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(name.isNull(), F.array(F.lit("unknown tool"))).otherwise(out)
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """call_id, top, dist: the first call up a chain of calls with one need each that hasn't one need, and the steps to it.
+
+    single: call_id, need. Pointers double, so the rounds grow with the logarithm of the longest chain. top is null for
+    calls in a cycle or behind one.
+    """
+    now = materialize(single.select("call_id", F.col("need").alias("top"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "chains")
+    rounds = now.count().bit_length() + 1
+    for _ in range(rounds):
+        up = now.select(F.col("call_id").alias("at"), F.col("top").alias("next"), F.col("dist").alias("more"))
+        met = now.join(up, F.col("top") == F.col("at"), "left")
+        met = met.select("call_id", F.coalesce("next", "top").alias("top"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("at").isNotNull().alias("moved"))
+        now = materialize(met, "chains")
+        if now.where("moved").isEmpty():
+            break
+    return now.select("call_id", F.when(~F.col("moved"), F.col("top")).alias("top"), "dist")
+
+
 def call_levels(calls: DataFrame) -> DataFrame | None:
     """call_id, level for calls that need other calls' results; a null level marks a cycle. None if no call needs any.
 
     calls: call_id, needs (array of call ids). A call without needs has level 0, its results 1; a call comes after the
-    results it needs. Ready calls leave round by round, so the number of rounds is the depth of the needs.
+    results it needs. Chains of calls with a single need are walked by doubling; ready calls of the rest leave round by
+    round, so the number of rounds is the depth of calls with several needs, and a logarithm for the chains between them.
     """
     edges = calls.where("call_id IS NOT NULL").select("call_id", F.explode("needs").alias("need")).distinct()
     edges = materialize(edges.join(calls.select(F.col("call_id").alias("need")).distinct(), "need", "left_semi"), "needs")
     if edges.isEmpty():
         return None
-    pending = materialize(edges.select("call_id").distinct(), "pending")
+    counts = materialize(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")), "counts")
+    chains = _chains(counts.where("n = 1"))
+    several = edges.join(counts.where("n > 1").select("call_id"), "call_id", "left_semi")
+    via = chains.withColumnRenamed("call_id", "need")
+    weighted = several.join(via, "need", "left").select("call_id", F.coalesce("top", "need").alias("need"), (2 + 2 * F.coalesce("dist", F.lit(0))).alias("weight"))
+    edges = materialize(weighted.groupBy("call_id", "need").agg(F.max("weight").alias("weight")), "several")
+    stuck = chains.where("top IS NULL").select("call_id")
+    pending = materialize(counts.where("n > 1").select("call_id").unionByName(stuck), "pending")
     done = None
     while True:
         blocked = edges.join(pending.select(F.col("call_id").alias("need")), "need", "left_semi").select("call_id").distinct()
         ready = edges.join(pending.join(blocked, "call_id", "left_anti"), "call_id", "left_semi")
         if done is None:
-            ready = ready.select("call_id").distinct().withColumn("level", F.lit(2))
+            ready = ready.groupBy("call_id").agg(F.max("weight").alias("level"))
         else:
-            ready = ready.join(done.withColumnRenamed("call_id", "need"), "need", "left").groupBy("call_id").agg((F.coalesce(F.max("level"), F.lit(0)) + 2).alias("level"))
+            ready = ready.join(done.withColumnRenamed("call_id", "need"), "need", "left").groupBy("call_id").agg(F.max(F.coalesce("level", F.lit(0)) + F.col("weight")).alias("level"))
         ready = materialize(ready, "ready")
         if ready.isEmpty():
-            left = pending.withColumn("level", F.lit(None).cast("int"))
-            return left if done is None else done.unionByName(left)
+            break
         done = ready if done is None else done.unionByName(ready)
         pending = materialize(pending.join(ready, "call_id", "left_anti"), "pending")
+    left = pending.withColumn("level", F.lit(None).cast("long"))
+    found = left if done is None else done.unionByName(left)
+    tops = found.select(F.col("call_id").alias("top"), "level", F.lit(True).alias("there"))
+    single = chains.where("top IS NOT NULL").join(tops, "top", "left")
+    single = single.select("call_id", (F.when(F.col("there"), F.col("level")).otherwise(0) + 2 * F.col("dist")).alias("level"))
+    return found.unionByName(single).select("call_id", F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -112,18 +144,31 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 SCHEMAS: Schemas = {"reply": {"n_chars": ("integer", True), "text": ("string", True)}, "configure": {"text": ("string", True)}}
 
 
-def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user or system turn is a call with the id ``conv_id-turn``, each other turn the result of the turn before."""
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of the conversations. A call needs the last call before it that a turn before it answers."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     own = F.concat("conv_id", F.lit("-"), F.col("turn"))
-    user = F.col("role") == "user"
+    user, asks = F.col("role") == "user", F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
     arguments = F.when(user, F.to_json(F.struct(F.length("text").alias("n_chars"), "text"))).otherwise(F.to_json(F.struct("text")))
-    calls = turns.where(F.col("role").isin("user", "system")).select(
-        "conv_id", "turn", own.alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), F.lit(None).cast("array<string>").alias("needs")
-    )
-    results = turns.where(~F.coalesce(F.col("role").isin("user", "system"), F.lit(False)))
-    results = results.select("conv_id", "turn", F.concat("conv_id", F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return link_tool_calls(calls, results, SCHEMAS)
+    order = W.partitionBy("conv_id").orderBy("turn")
+    asked = F.max(F.when(asks, F.col("turn"))).over(order.rangeBetween(-1, -1))
+    turns = turns.withColumn("answers", F.when(~asks, asked))
+    turns = turns.withColumn("last", F.max("answers").over(order.rangeBetween(W.unboundedPreceding, -1)))
+    needs = F.when(F.col("last").isNotNull(), F.array(F.concat("conv_id", F.lit("-"), F.col("last"))))
+    calls = turns.where(asks).select("conv_id", "turn", own.alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    results = turns.where(~asks).select("conv_id", "turn", F.concat("conv_id", F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user or system turn is a call with the id ``conv_id-turn``, each other turn the result of the turn before."""
+    calls, results = _turns(spark, sf_dir)
+    return link_tool_calls(calls.withColumn("needs", F.lit(None).cast("array<string>")), results, SCHEMAS)
+
+
+def op8_chat_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_chat with the calls in the order of their conversation: a call comes after the answers before it."""
+    return link_tool_calls(*_turns(spark, sf_dir), SCHEMAS)
 
 
 ORACLE = """
@@ -145,3 +190,29 @@ SELECT r.conv_id, r.turn, 'result', r.call_id, c.name, CASE WHEN c.call_id IS NU
        || coalesce(',"name":"' || c.name || '"', '') || ',"status":"' || CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END || '","turn":' || r.turn || '}'
 FROM r LEFT JOIN c ON c.call_id = r.call_id
 """
+
+# A call's level is twice the number of answered calls whose answers come before it.
+ORDERED_ORACLE = """
+WITH t AS (
+  SELECT conv_id, turn, text, role, coalesce(role IN ('user', 'system'), false) AS asks FROM conversations
+), answered AS (
+  SELECT DISTINCT c.conv_id, c.turn FROM t c JOIN t r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND NOT r.asks WHERE c.asks
+), calls AS (
+  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || t.turn AS call_id, CASE t.role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
+         CASE WHEN EXISTS (SELECT 1 FROM answered a WHERE a.conv_id = t.conv_id AND a.turn = t.turn) THEN 'answered' ELSE 'pending' END AS status,
+         (2 * (SELECT count(*) FROM answered a WHERE a.conv_id = t.conv_id AND a.turn + 1 < t.turn))::INT AS level
+  FROM t WHERE asks
+), r AS (
+  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || (t.turn - 1) AS call_id, c.call_id AS own, c.name, coalesce(c.level + 1, 0) AS level
+  FROM t LEFT JOIN calls c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1 WHERE NOT t.asks
+)
+SELECT conv_id, turn, 'call' AS kind, call_id, name, status, level, text IS NOT NULL AS valid, '' AS errors,
+       '{"arguments":{' || CASE name WHEN 'reply' THEN '"n_chars":' || length(text) || ',' ELSE '' END || '"text":' || to_json(text) || '},"call_id":"' || call_id
+       || '","conv_id":' || conv_id || ',"errors":[],"kind":"call","level":' || level || ',"name":"' || name || '","status":"' || status || '","turn":' || turn || '}' AS json
+FROM calls
+UNION ALL
+SELECT conv_id, turn, 'result', call_id, name, CASE WHEN own IS NULL THEN 'orphan' ELSE 'linked' END, level, own IS NOT NULL, '',
+       '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"conv_id":' || conv_id || ',"kind":"result","level":' || level
+       || coalesce(',"name":"' || name || '"', '') || ',"status":"' || CASE WHEN own IS NULL THEN 'orphan' ELSE 'linked' END || '","turn":' || turn || '}'
+FROM r
+"""

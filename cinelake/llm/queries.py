@@ -14,8 +14,9 @@ QUERIES = {
     "op6_language": language.op6_language,
     "op7_bpe": bpe.op7_bpe,
     "op8_chat": chat.op8_chat,
+    "op8_chat_ordered": chat.op8_chat_ordered,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc": warc.ORACLE, "op3_vectors": vectors.ORACLE, "op8_chat": chat.ORACLE, "op8_chat_ordered": chat.ORDERED_ORACLE}

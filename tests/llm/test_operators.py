@@ -169,6 +169,21 @@ def test_chat(spark):
     assert chat.link_tool_calls(df.limit(0), results.limit(0), {}).count() == 0
 
 
+def test_chat_levels_along_conversations(spark, tmp_path):
+    roles = ["system", "user", "assistant", "user", "user", "assistant", "tool", "user"]
+    turns = [(c, k, x, f"t{k}") for c in (1, 2) for k, x in enumerate(roles)] + [(3, k, ("user", "assistant")[k % 2], "x") for k in range(70)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.level for r in chat.op8_chat_ordered(spark, str(tmp_path)).collect()}
+    assert [got[2, k] for k in range(8)] == [0, 0, 1, 2, 2, 3, 0, 4] and [got[3, k] for k in range(70)] == list(range(70))
+
+
+def test_chat_levels_of_mixed_needs(spark):
+    needs = {"a": [], "b": ["a"], "c": ["b"], "d": ["c", "a"], "e": ["d"], "f": ["e", "b"], "x": ["y"], "y": ["x"], "z": ["x"], "w": ["z", "a"], "v": ["w"], "s": ["s"], "n": ["gone"]}
+    df = spark.createDataFrame(list(needs.items()), "call_id string, needs array<string>")
+    got = {r.call_id: r.level for r in chat.call_levels(df).collect()}
+    assert {k: got.get(k, 0) for k in needs} == {"a": 0, "b": 2, "c": 4, "d": 6, "e": 8, "f": 10, "n": 0} | dict.fromkeys("xyzwvs")
+
+
 def test_pipeline(spark, tmp_path):
     r, n = random.Random(9), 120
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
