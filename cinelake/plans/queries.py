@@ -226,7 +226,7 @@ def q25(spark, d):
 
 
 def q26(spark, d):
-    e = _table(spark, d, "events").select((F.col("user_id") % 500).cast("string").alias("cache_key"), F.col("ts").alias("fetched_at"), F.col("event_id").cast("string").alias("response_json"))
+    e = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("cache_key"), F.col("ts").alias("fetched_at"), F.col("event_id").cast("string").alias("response_json"))
     return cache.fresh_responses(e, F.to_timestamp(F.lit("2024-01-30 00:00:00")), 7).select("cache_key", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
 
 

@@ -144,6 +144,13 @@ def test_caches(spark):
     assert sorted(r.path for r in cache.merged_snapshot(todo.withColumn("record_json", F.lit("n")), old).collect()) == ["a", "b", "gone"]
 
 
+def test_response_cache_keeps_every_user(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "2024-01-29 00:00:00"), (2, 501, "2024-01-28 00:00:00"), (3, 1, "2024-01-27 00:00:00")], "event_id long, user_id long, ts string")
+    rows.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.cache_key, r.fetched_at) for r in queries.q26(spark, str(tmp_path)).collect()}
+    assert got == {("1", "2024-01-29 00:00:00"), ("501", "2024-01-28 00:00:00")}
+
+
 def test_catalogue_falls_back_without_year():
     seen = []
 
