@@ -7,49 +7,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import byte_view, materialize, mix, shuffle_width, slices
-from cinelake.llm.words import gram_hashes, span_hashes
+from cinelake.llm.words import gram_hashes, prefix_sums, span_hashes
 
 #: Length of the grams whose hashes deal out the text; a match of the default length holds 31 of them.
 GRAM = 20
+#: Bytes of text whose hashes are made at once, so that they stay in the processor's cache.
+CHUNK = 1 << 16
+#: Different runs of one gram hash over which their windows are dealt out by a second gram hash too.
+HOT = 512
 
 
 # ---- dealing out: every window of `length` bytes belongs to the smallest gram hash in it -----------------------------
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` neighbours, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Maximal runs of window starts with the same smallest gram hash: text, start, windows, mark (the hash), key.
 
     Equal windows have equal marks, so windows can only match within a mark; and ``key``, a hash of the run's bytes, tells
     equal runs. Windows never cross texts.
     """
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "start", "windows")} | {k: np.zeros(0, np.uint64) for k in ("mark", "key")}
+    parts, i = [], 0
+    while i + 1 < len(offsets):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
+        parts.append(_fragments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram))
+        parts[-1]["text"] += i
+        parts[-1]["start"] += offsets[i]
+        i = j
+    kinds = {"text": np.int64, "start": np.int64, "windows": np.int64, "mark": np.uint64, "key": np.uint64}
+    return {k: np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in kinds.items()}
+
+
+def _fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     total = len(data) - length + 1
     if total <= 0:
-        return empty
-    low = gram_hashes(data, gram)
-    width, have = length - gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
+        return {k: np.zeros(0, np.int64) for k in ("text", "start", "windows")} | {k: np.zeros(0, np.uint64) for k in ("mark", "key")}
+    sums = prefix_sums(data)
+    low = _least(gram_hashes(data, gram, sums), length - gram + 1)
     fits = np.zeros(len(data) + 1, np.int8)
     size = np.diff(offsets)
     long = size >= length
     np.add.at(fits, offsets[:-1][long], 1)
     np.add.at(fits, (offsets[1:] - length + 1)[long], -1)
-    valid = np.cumsum(fits[:total]) > 0
+    valid = np.cumsum(fits[:total], dtype=np.int8) > 0
     change = np.empty(total, bool)
     change[0] = True
     np.not_equal(low[1:], low[:-1], out=change[1:])
     change[1:] |= ~valid[:-1]
     start = np.flatnonzero(valid & change)
-    if len(start) == 0:
-        return empty
     stop = np.empty(total, bool)
     stop[-1] = True
     stop[:-1] = change[1:] | ~valid[1:]
@@ -59,14 +79,36 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GR
         "start": start,
         "windows": windows,
         "mark": low[start],
-        "key": span_hashes(data, start, start + windows + length - 1),
+        "key": span_hashes(data, start, start + windows + length - 1, sums),
     }
 
 
+def second_marks(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts runs of one mark further, by the second smallest gram hash of each window: run, start, windows, second hash.
+
+    Equal windows of runs with equal marks have equal second hashes, too. A window whose grams all have the run's mark has
+    the largest number.
+    """
+    size = windows + length - 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(starts - begin[:-1], size) + np.arange(begin[-1])]
+    hashes = np.append(gram_hashes(flat, gram), np.zeros(gram - 1, np.uint64))
+    inside = np.arange(begin[-1]) < np.repeat(begin[1:] - gram + 1, size)
+    hashes[~inside] = ~np.uint64(0)
+    mark = np.minimum.reduceat(hashes, begin[:-1])
+    hashes[hashes == np.repeat(mark, size)] = ~np.uint64(0)
+    low = _least(hashes, length - gram + 1)
+    run = np.repeat(np.arange(len(starts)), windows)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    second = low[begin[run] + at]
+    cut = _runs(run, second)
+    return run[cut], starts[run[cut]] + at[cut], np.diff(np.append(cut, len(run))), second[cut]
+
+
 def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Slices of an array of 8-byte values as a binary column."""
     ends = np.append(cuts, len(values)) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -80,48 +122,72 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _by_doc(kind: int, doc: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc, kind, keys, extra), one per document."""
+#: Facts of a document: keys (of runs of windows), places (a run's first byte << 32 | its windows) and, of kind RUNS and
+#: HOT_RUNS, the names of their marks, of kind PARTS, the part of the run that is removed (first window << 32 | windows).
+GONE, RUNS, PARTS, HOT_RUNS = 0, 1, 2, 3
+FACTS = "doc long, kind int, keys binary, places binary, extra binary"
+
+
+def _by_doc(kind: int, doc: np.ndarray, keys: np.ndarray, places: np.ndarray, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """FACTS, one row per document."""
     order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], values[order]
-    extra = np.zeros(0, np.int64) if extra is None else extra[order]
+    columns = [x[order] for x in (keys, places, *([] if extra is None else [extra]))]
+    doc = doc[order]
     cuts = _runs(doc)
     for a in range(0, len(cuts), 20_000):
         part = cuts[a : a + 20_000]
         lo, hi = part[0], cuts[a + 20_000] if a + 20_000 < len(cuts) else len(doc)
-        more = _blobs(extra[lo:hi], part - lo) if len(extra) else pa.array([b""] * len(part), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(np.full(len(part), kind, np.int32)), _blobs(values[lo:hi], part - lo), more], ["doc", "kind", "keys", "extra"])
+        blobs = [_blobs(x[lo:hi], part - lo) for x in columns] + [pa.array([b""] * len(part), pa.binary())] * (extra is None)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(np.full(len(part), kind, np.int32)), *blobs], ["doc", "kind", "keys", "places", "extra"])
 
 
 # ---- Burrows-Wheeler transforms of string collections ------------------------------------------------------------------
 
 
+def _refine(order: np.ndarray, head: np.ndarray, loose: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Orders the rows at the places ``loose`` by ``key`` within their blocks, in place, and numbers the new blocks.
+
+    order: the row at each place; head: the first place of each row's block, by row. Returns the places that are still in
+    blocks of two rows or more.
+    """
+    rows = order[loose]
+    block = head[rows]
+    by = np.argsort(block * len(head) + key)
+    rows, block, key = rows[by], block[by], key[by]
+    order[loose] = rows
+    new = np.ones(len(rows), bool)
+    new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(rows)))
+    head[rows] = np.repeat(loose[first], size)
+    return loose[np.repeat(size > 1, size)]
+
+
+def _blocks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by key, the first place of each row's block of equal keys, and the places in blocks of two or more."""
+    order = np.argsort(keys).astype(np.int64)
+    first = _runs(keys[order])
+    size = np.diff(np.append(first, len(order)))
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(first, size)
+    return order, head, np.flatnonzero(np.repeat(size > 1, size))
+
+
 def sort_suffixes(packed: np.ndarray, step: int, left: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of strings that end in symbols of their own, by prefix doubling.
+    """Order of all suffixes of strings that end in symbols of their own, by prefix doubling of what is still equal.
 
     packed: the first ``step`` symbols of each suffix as a number (nothing after the end); left: symbols to the end, the
     end's own included; owner: the string, whose number decides between suffixes that are equal up to their ends.
     """
-    n = len(packed)
-    order = np.argsort(packed)
-    rank = np.empty(n, np.int64)
-
-    def number(key: np.ndarray) -> int:
-        fresh = np.zeros(n, np.int64)
-        np.cumsum(key[1:] != key[:-1], out=fresh[1:])
-        rank[order] = fresh
-        return int(fresh[-1])
-
-    number(packed[order])
-    while True:
-        ahead = owner + 1
-        inside = np.flatnonzero(left > step)
-        ahead[inside] = rank[inside + step] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key)
-        if number(key[order]) == n - 1:
-            return order
+    order, head, loose = _blocks(packed)
+    while len(loose):
+        rows = order[loose]
+        inside = left[rows] > step  # in a block, all or none
+        key = owner[rows]
+        key[inside] = head[rows[inside] + step]
+        loose = _refine(order, head, loose, key)
         step *= 2
+    return order
 
 
 def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -134,16 +200,21 @@ def transforms(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: n
     n, count = begin[-1], len(sizes)
     owner = np.repeat(np.arange(count), full)
     at = np.arange(n) - begin[owner]
-    ending = at == sizes[owner]
-    symbol = np.zeros(n + 4, np.int64)
-    symbol[:n][~ending] = data[(starts[owner] + at)[~ending]].astype(np.int64) + 1
     left = full[owner] - at
-    packed = group[owner]  # groups come one after another
-    for k in range(5):
-        packed = packed << 8 | np.where(left > k, symbol[k : n + k], 0)
-    order = sort_suffixes(packed, 5, left, owner)
-    before = np.where(at[order] == 0, 0, symbol[order - 1]).astype(np.uint8)
+    symbol = np.zeros(n + 4, np.uint64)
+    inner = np.flatnonzero(left > 1)
+    symbol[inner] = data[starts[owner[inner]] + at[inner]].astype(np.uint64) + np.uint64(1)
+    packed = symbol
+    for k in (1, 2, 4):  # eight symbols, two more at a time
+        ahead = np.zeros(n + 4, np.uint64)
+        ahead[:n] = np.where(left > k, packed[k : n + k], 0)
+        packed = packed << np.uint64(8 * k) | ahead
+    order = sort_suffixes(packed[:n], 8, left, owner)
     cuts = _runs(group)
+    if len(cuts) > 1:
+        number = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, count)))
+        order = order[np.argsort(number[owner[order]].astype(np.uint16 if len(cuts) < 1 << 16 else np.int64), kind="stable")]
+    before = np.where(at[order] == 0, 0, symbol[order - 1]).astype(np.uint8)
     for k, a in enumerate(cuts.tolist()):
         b = int(cuts[k + 1]) if k + 1 < len(cuts) else count
         yield int(group[a]), before[begin[a] : begin[b]], by[a:b]
@@ -158,60 +229,68 @@ def walk(back: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     while True:
         length += 1
         keep = sizes[live] >= length
-        live, row = live[keep], row[keep]
+        if not keep.all():
+            live, row = live[keep], row[keep]
         if len(live) == 0:
             return string, offset
         row = back[row]
         string[row], offset[row] = live, sizes[live] - length
 
 
-def back_steps(bwt: np.ndarray) -> np.ndarray:
-    """Row of the suffix that is longer by one symbol, for each row of a transform."""
-    order = np.argsort(bwt, kind="stable")
-    back = np.empty(len(bwt), np.int32)
-    back[order] = np.arange(len(bwt), dtype=np.int32)
-    return back
+def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merges transforms by refining their interleave until it has the order of the first ``depth`` symbols.
 
+    ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard. It starts in the
+    order of the first symbols (eight at most), which the transforms give by stepping on from row to row. A round refines
+    only blocks of rows that are still equal: a block's rows are merged by the places of the suffixes that start where the
+    equal symbols end, which the interleave has ordered already, so the number of equal symbols doubles. Other rows stay,
+    and no text is compared or sorted again. Ends of strings are all different.
 
-def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merges transforms by refining their interleave ``depth`` times; no suffix is compared or sorted again.
-
-    ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard; a shard's rows
-    keep their order. After h rounds the suffixes are in the order of their first h symbols: each round passes over the
-    interleave, deals the places out by the symbol before the suffix (a counting sort of bytes) and steps back to that
-    longer suffix. Returns, for each place, the row in the shards laid end to end, and the length of the prefix it shares
-    with the place before (``depth`` at most); and, for ``walk``, the steps back and the rows of the ends. Ends of strings
-    are all different, so what runs over an end is shared with nothing.
+    Returns, for each place, the row in the shards laid end to end, and a length of the prefix it shares with the place
+    before: ``depth`` if they share that much, else that of the last round in which they were equal. And, for ``walk``, the
+    steps back and the rows of the ends.
     """
     symbols = np.concatenate(shards)
-    n, stops = len(symbols), int(ends.sum())
-    base = np.concatenate([[0], np.cumsum([len(s) for s in shards])]).astype(np.int32)
-    back = np.concatenate([back_steps(s) + base[k] for k, s in enumerate(shards)])
-    lead = np.concatenate([np.arange(base[k], base[k] + e, dtype=np.int32) for k, e in enumerate(ends)])
-    row = np.arange(n, dtype=np.int32)
-    common = np.full(n, depth, np.int32)
-    block = np.zeros(n, np.int32)
-    new = np.empty(n, bool)
-    new[: stops + 1] = True
-    for h in range(1, depth + 1):
-        symbol = symbols[row]
-        order = np.argsort(symbol, kind="stable")
-        symbol, block, row = symbol[order], block[order], back[row[order]]
-        row[:stops] = lead
-        np.not_equal(block[stops + 1 :], block[stops:-1], out=new[stops + 1 :])
-        new[stops + 1 :] |= symbol[stops + 1 :] != symbol[stops:-1]
-        common[new & (common == depth)] = h - 1
-        np.cumsum(new, out=block)
-        if block[-1] == n:
-            break
-    return row, common, back, lead
+    n = len(symbols)
+    base = np.concatenate([[0], np.cumsum([len(s) for s in shards])])
+    ahead = np.concatenate([np.argsort(s, kind="stable").astype(np.int32) + np.int32(base[k]) for k, s in enumerate(shards)])  # without the first symbol
+    back = np.empty(n, np.int32)
+    back[ahead] = np.arange(n, dtype=np.int32)
+    lead = np.concatenate([np.arange(base[k], base[k] + e) for k, e in enumerate(ends)])
+    packed, steps = symbols[ahead].astype(np.uint64), [ahead]
+    for k in (1, 2, 4):
+        more = np.where(packed & np.uint64(255) != 0, packed[steps[-1]], 0)  # nothing follows an end
+        packed = packed << np.uint64(8 * k) | more
+        steps.append(steps[-1][steps[-1]])
+    have = min(depth, 8)
+    packed >>= np.uint64(8 * (8 - have))
+    order, head, loose = _blocks(packed)
+    common = np.zeros(n, np.int32)
+
+    def onward(rows: np.ndarray, by: int) -> np.ndarray:
+        for k in (8, 4, 2, 1):
+            while by >= k:
+                rows, by = steps[k.bit_length() - 1][rows], by - k
+        return rows
+
+    # a block whose symbols hold an end is one of ends, which all differ
+    ended = packed[order[loose]] & np.uint64(255) == 0
+    head[order[loose[ended]]] = loose[ended]
+    loose = loose[~ended]
+    while True:
+        common[loose[head[order[loose]] != loose]] = have
+        if have == depth or len(loose) == 0:
+            return order, common, back, lead
+        step = min(have, depth - have)
+        loose = _refine(order, head, loose, head[onward(order[loose], step)])
+        have += step
 
 
 # ---- the operator -------------------------------------------------------------------------------------------------------
 
 
 def repeated_strings(
-    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", output: str = "spans", carry: tuple[str, ...] = ()
+    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", output: str = "spans", carry: tuple[str, ...] = (), hot: int = HOT
 ) -> DataFrame:
     """Removes every byte that a string of ``length`` bytes covers which also starts in a document with a smaller id.
 
@@ -224,11 +303,14 @@ def repeated_strings(
     Windows are dealt out by the smallest gram hash in them (``fragments``), in which equal windows agree. Of equal runs
     of windows the smallest id is enough to know. Where one gram hash has different runs from two or more documents, their
     strings go through the suffix arrays: each task sends the transform of its strings, and the transforms of a bucket
-    are merged; places that share ``length`` bytes are the repeated intervals. Text is moved compressed, by id.
+    are merged; places that share ``length`` bytes are the repeated intervals. The runs of a gram hash that has more than
+    ``hot`` different ones are first dealt out anew by the second smallest gram hash of each window. Runs are named by
+    their place in a document; a fact counts only where the bytes at that place have the run's hash, so rows that share an
+    id are told apart. Text is moved compressed, by id.
     """
     spark = df.sparkSession
     width = shuffle_width(spark)
-    parts, buckets = 8 * width, 4 * width
+    parts, buckets = 8 * width, 16 * width
     docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     named = docs.where("__id IS NOT NULL")
 
@@ -241,73 +323,72 @@ def repeated_strings(
             found = fragments(data, offsets, length)
             if len(found["start"]) == 0:
                 continue
-            doc = batch.column(0).to_numpy()[found["text"]]
-            key, mark = found["key"], found["mark"]
-            order = np.lexsort((doc, key))
-            doc, key, mark = doc[order], key[order], mark[order]
-            keep = _runs(key, doc)
-            doc, key, mark = doc[keep], key[keep], mark[keep]
+            order = np.argsort(found["key"])
+            found = {k: v[order] for k, v in found.items()}
+            key, doc = found["key"], batch.column(0).to_numpy()[found["text"]]
+            place = ((found["start"] - offsets[found["text"]]) << 32 | found["windows"]).astype(np.uint64)
             first = _runs(key)
-            least = np.repeat(doc[first], np.diff(np.append(first, len(key))))
-            here = doc == least
+            here = doc == np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key))))
             # repeated within this batch: known to be removed, whatever others hold
-            gone_doc, gone_key = doc[~here], key[~here]
-            doc, key, mark = doc[here], key[here], mark[here]
+            gone = doc[~here], key[~here], place[~here]
+            doc, key, place, mark = doc[here], key[here], place[here], found["mark"][here]
             part = part_of(mark, parts)
-            order = np.argsort(part, kind="stable")
-            part, doc, key, short = part[order], doc[order], key[order], mark[order].astype(np.uint32)
+            order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+            part, doc, key, place, short = part[order], doc[order], key[order], place[order], mix(mark[order]).astype(np.uint32)
             cut = _runs(part)
-            rows = [pa.array(part[cut].astype(np.int32)), _blobs(short, cut), _blobs(key, cut), _blobs(doc, cut)]
-            yield pa.RecordBatch.from_arrays(rows, ["part", "marks", "keys", "docs"])
-            if len(gone_doc):
-                cut = np.arange(0, len(gone_doc), 4096)
-                to = (parts + gone_key[cut] % np.uint64(parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array([b""] * len(cut), pa.binary()), _blobs(gone_key, cut), _blobs(gone_doc, cut)], ["part", "marks", "keys", "docs"])
+            rows = [pa.array(part[cut].astype(np.int32)), _blobs(short, cut), _blobs(key, cut), _blobs(doc, cut), _blobs(place, cut)]
+            yield pa.RecordBatch.from_arrays(rows, ["part", "marks", "keys", "docs", "places"])
+            if len(gone[0]):
+                cut = np.arange(0, len(gone[0]), 4096)
+                to = (parts + gone[1][cut] % np.uint64(parts)).astype(np.int32)
+                rows = [pa.array(to), pa.array([b""] * len(cut), pa.binary()), _blobs(gone[1], cut), _blobs(gone[0], cut), _blobs(gone[2], cut)]
+                yield pa.RecordBatch.from_arrays(rows, ["part", "marks", "keys", "docs", "places"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, keys, owners = [], [], []
+        held: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            part = batch.column(0).to_numpy()
-            for i, p in enumerate(part.tolist()):
-                key = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                doc = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                key, doc, place = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.uint64), (3, np.int64), (4, np.uint64)))
                 if p >= parts:
-                    yield from _by_doc(0, doc, key)
-                else:
-                    # the part and 32 bits of the mark name a bucket
-                    marks.append(np.uint64(p) << np.uint64(32) | np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32).astype(np.uint64))
-                    keys.append(key), owners.append(doc)
-        if not keys:
+                    yield from _by_doc(GONE, doc, key, place)
+                    continue
+                # the part and 32 bits of the mark name a bucket
+                name = np.uint64(p) << np.uint64(32) | np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32).astype(np.uint64)
+                for own, x in zip(held, (name, key, doc, place), strict=True):
+                    own.append(x)
+        if not held[0]:
             return
-        mark, key, doc = np.concatenate(marks), np.concatenate(keys), np.concatenate(owners)
-        del marks, keys, owners
-        order = np.argsort(mark, kind="stable")
-        mark, key, doc = mark[order], key[order], doc[order]
-        many = np.zeros(len(mark), bool)
-        same = mark[1:] == mark[:-1]
+        name = np.concatenate(held[0])
+        order = np.argsort(name)
+        sorted_ = name[order]
+        many = np.zeros(len(name), bool)
+        same = sorted_[1:] == sorted_[:-1]
         many[1:] |= same
         many[:-1] |= same
-        mark, key, doc = mark[many], key[many], doc[many]
-        order = np.lexsort((doc, key, mark))
-        mark, key, doc = mark[order], key[order], doc[order]
-        if len(mark) == 0:
+        order = order[many]
+        if len(order) == 0:
             return
-        run = _runs(mark, key)
-        least = np.repeat(doc[run], np.diff(np.append(run, len(key))))
-        later = doc > least
+        name, key, doc, place = name[order], *(np.concatenate(x)[order] for x in held[1:])
+        held.clear()
+        size = place & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((doc, size, key, name))
+        name, key, doc, place, size = name[order], key[order], doc[order], place[order], size[order]
+        run = _runs(name, key, size)
+        times = np.diff(np.append(run, len(key)))
+        later = doc > np.repeat(doc[run], times)
         if later.any():
-            yield from _by_doc(0, doc[later], key[later])
-        # buckets with two runs or more of two documents or more
-        mark, key, doc = mark[run], key[run], doc[run]
-        at = _runs(mark)
-        size = np.diff(np.append(at, len(mark)))
-        apart = (size > 1) & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))
-        ask = np.repeat(apart, size)
-        if ask.any():
-            yield from _by_doc(1, doc[ask], key[ask])
-
-    dealt = named.mapInArrow(deal, "part int, marks binary, keys binary, docs binary")
-    found = materialize(dealt.repartition(width, "part").mapInArrow(match, "doc long, kind int, keys binary, extra binary"), "matches")
+            yield from _by_doc(GONE, doc[later], key[later], place[later])
+        # marks with two runs or more of two documents or more
+        at = _runs(name[run])
+        kinds = np.diff(np.append(at, len(run)))
+        apart = np.minimum.reduceat(doc[run], at) < np.maximum.reduceat(doc[run], at)
+        for kind, chosen in ((RUNS, apart & (kinds <= hot)), (HOT_RUNS, apart & (kinds > hot))):
+            ask = np.repeat(np.repeat(chosen, kinds), times) & ~later
+            if ask.any():
+                yield from _by_doc(kind, doc[ask], key[ask], place[ask], name[ask])
+
+    dealt = named.mapInArrow(deal, "part int, marks binary, keys binary, docs binary, places binary")
+    found = materialize(dealt.repartition(width, "part").mapInArrow(match, FACTS), "matches")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -329,43 +410,52 @@ def repeated_strings(
 
     def told(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All values of a column of lists of blobs, and the row each belongs to."""
-        values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, blobs in enumerate(column):
-            for blob in blobs.values if blobs.is_valid else ():
-                values.append(np.frombuffer(blob.as_buffer(), np.uint64))
-                rows.append(np.full(len(values[-1]), i))
-        return np.concatenate(values), np.concatenate(rows)
-
-    def asked(part: dict[str, np.ndarray], keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        salt = np.uint64(0x9FB21C651E98DF25)
-        return np.isin(mix(part["key"] + part["text"].astype(np.uint64) * salt), mix(keys + rows.astype(np.uint64) * salt))
+        lists = pc.fill_null(column, []) if column.null_count else column
+        blobs = lists.flatten()
+        sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return np.frombuffer(b"".join(x.as_buffer() for x in blobs), np.uint64), np.repeat(owner, sizes)
+
+    def spans(keys: np.ndarray, places: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and windows of runs, and whether their row's text has the run there."""
+        start, windows = (places >> np.uint64(32)).astype(np.int64), (places & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start += offsets[rows]
+        fits = np.flatnonzero(start + windows + length - 1 <= offsets[rows + 1])
+        true = np.zeros(len(keys), bool)
+        if len(fits):
+            true[fits] = span_hashes(data, start[fits], start[fits] + windows[fits] + length - 1) == keys[fits]
+        return start, windows, true
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in unpacked(batches):
-            part = fragments(data, offsets, length)
-            pick = asked(part, *told(batch.column(2)))
-            part = {k: v[pick] for k, v in part.items()}
-            order = np.lexsort((part["key"], part["text"]))
-            part = {k: v[order] for k, v in part.items()}
-            once = _runs(part["text"], part["key"])
-            part = {k: v[once] for k, v in part.items()}
-            if len(once) == 0:
+            strings = []
+            for c in (2, 5):  # runs, then those of hot marks
+                keys, rows = told(batch.column(c))
+                places, _ = told(batch.column(c + 1))
+                names, _ = told(batch.column(c + 2))
+                start, windows, true = spans(keys, places, rows, data, offsets)
+                keys, places, names, rows, start, windows = (x[true] for x in (keys, places, names, rows, start, windows))
+                shift = np.zeros(len(keys), np.int64)
+                if c == 5 and len(keys):
+                    run, at, windows, second = second_marks(data, start, windows, length)
+                    shift = at - start[run]
+                    keys, places, rows, start, names = keys[run], places[run], rows[run], at, mix(names[run] ^ mix(second))
+                strings.append((start, windows + length - 1, batch.column(0).to_numpy()[rows], keys, places, shift, part_of(names, buckets)))
+            start, sizes, doc, keys, places, shift, bucket = (np.concatenate(x) for x in zip(*strings, strict=True))
+            if len(start) == 0:
                 continue
-            sizes = part["windows"] + length - 1
-            doc = batch.column(0).to_numpy()[part["text"]]
-            bucket = part_of(mix(part_of(part["mark"], parts).astype(np.uint64) << np.uint64(32) | part["mark"].astype(np.uint32).astype(np.uint64)), buckets)
-            rows = [(q, bwt.tobytes(), sizes[i].tobytes(), doc[i].tobytes(), part["key"][i].tobytes()) for q, bwt, i in transforms(data, part["start"], sizes, bucket)]
-            q, *blobs = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], ["bucket", "bwt", "sizes", "docs", "keys"])
+            made = [(q, bwt.tobytes(), *[x[i].tobytes() for x in (sizes, doc, keys, places, shift)]) for q, bwt, i in transforms(data, start, sizes, bucket)]
+            q, *blobs = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], ["bucket", "bwt", "sizes", "docs", "keys", "places", "shifts"])
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list] = {}
         for batch in batches:
             for i, q in enumerate(batch.column(0).to_pylist()):
-                kinds = (np.uint8, np.int64, np.int64, np.uint64)
+                kinds = (np.uint8, np.int64, np.int64, np.uint64, np.uint64, np.int64)
                 shards.setdefault(q, []).append([np.frombuffer(batch.column(c + 1)[i].as_buffer(), t) for c, t in enumerate(kinds)])
-        for own in shards.values():
-            bwts, sizes, owners, keys = zip(*own, strict=True)
+        while shards:
+            bwts, sizes, *facts = zip(*shards.popitem()[1], strict=True)
             row, common, back, ends = merge(list(bwts), np.array([len(s) for s in sizes]), length)
             same = common >= length
             both = same.copy()
@@ -373,51 +463,48 @@ def repeated_strings(
             if not both.any():
                 continue
             string, offset = walk(back, ends, np.concatenate(sizes))
-            doc, key = np.concatenate(owners), np.concatenate(keys)
+            doc, key, place, shift = (np.concatenate(x) for x in facts)
             row, same = row[both], same[both]
             doc_at = doc[string[row]]
             start = np.flatnonzero(~same)
             least = np.repeat(np.minimum.reduceat(doc_at, start), np.diff(np.append(start, len(row))))
             hit = row[doc_at > least]
             if len(hit):
-                yield from _by_doc(2, doc[string[hit]], key[string[hit]], offset[hit].astype(np.int64))
+                # neighbouring windows of a string are one part of its run
+                at = np.sort(string[hit].astype(np.int64) << 32 | offset[hit])
+                head = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                own, windows = at[head] >> 32, np.diff(np.append(head, len(at)))
+                part = (shift[own] + (at[head] & 0xFFFFFFFF)) << 32 | windows
+                yield from _by_doc(PARTS, doc[own], key[own], place[own], part.astype(np.uint64))
 
     packed = named.mapInArrow(squeeze, "__id long, __z binary")
-    wants = found.where("kind = 1").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
-    strings = packed.join(wants, F.col("__id") == F.col("doc")).select("__id", "__z", "keys").dropDuplicates(["__id", "__z"])
-    strings = strings.mapInArrow(shard, "bucket int, bwt binary, sizes binary, docs binary, keys binary")
-    windows = strings.repartition(width, "bucket").mapInArrow(intervals, "doc long, kind int, keys binary, extra binary")
-    windows = materialize(windows, "windows")
-
-    facts = found.where("kind = 0").unionByName(windows)
-    facts = facts.groupBy("doc").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("keys"))).alias("whole"),
-        F.collect_list(F.when(F.col("kind") == 2, F.struct("keys", "extra"))).alias("some"),
-    )
-    facts = facts.select("doc", "whole", F.col("some.keys").alias("keys"), F.col("some.extra").alias("places"))
+
+    def gathered(facts: DataFrame, kinds: dict[int, tuple[str, ...]]) -> DataFrame:
+        """Per document, lists of the blobs of each kind of fact."""
+        d = facts.groupBy("doc").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct(*names))).alias(f"f{k}") for k, names in kinds.items()])
+        return d.select("doc", *[F.col(f"f{k}.{c}").alias(f"{c}{k}") for k, names in kinds.items() for c in names])
+
+    wants = gathered(found.where(F.col("kind").isin(RUNS, HOT_RUNS)), dict.fromkeys((RUNS, HOT_RUNS), ("keys", "places", "extra")))
+    strings = packed.join(wants, F.col("__id") == F.col("doc")).drop("doc")
+    strings = strings.mapInArrow(shard, "bucket int, bwt binary, sizes binary, docs binary, keys binary, places binary, shifts binary")
+    windows = materialize(strings.repartition(width, "bucket").mapInArrow(intervals, FACTS), "windows")
+    facts = gathered(found.where(F.col("kind") == GONE).unionByName(windows), {GONE: ("keys", "places"), PARTS: ("keys", "places", "extra")})
     kind = dict(df.dtypes)[id_col]
     rest = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" if output == "spans" else "kept_text string"
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in unpacked(batches):
             cover = np.zeros(len(data) + 1, np.int64)
-            whole, whole_row = told(batch.column(2))
-            some, some_row = told(batch.column(3))
-            place, _ = told(batch.column(4))
-            if len(whole) or len(some):
-                part = fragments(data, offsets, length)
-                hit = asked(part, whole, whole_row)
-                cover += np.bincount(part["start"][hit], minlength=len(cover)) - np.bincount((part["start"] + part["windows"] + length - 1)[hit], minlength=len(cover))
-                if len(some):
-                    salt = np.uint64(0x9FB21C651E98DF25)
-                    name = mix(part["key"] + part["text"].astype(np.uint64) * salt)
-                    wanted = mix(some + some_row.astype(np.uint64) * salt)
-                    order = np.argsort(name, kind="stable")
-                    lo, hi = (np.searchsorted(name[order], wanted, side=s) for s in ("left", "right"))
-                    times = hi - lo  # a run may occur several times in its text
-                    which = order[np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
-                    at = part["start"][which] + np.repeat(place.astype(np.int64), times)
-                    cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + length, minlength=len(cover))
+            for c in (2, 4):  # whole runs, then parts of runs
+                keys, rows = told(batch.column(c))
+                if len(keys) == 0:
+                    continue
+                start, windows, true = spans(keys, told(batch.column(c + 1))[0], rows, data, offsets)
+                if c == 4:
+                    part, _ = told(batch.column(6))
+                    start, windows = start + (part >> np.uint64(32)).astype(np.int64), (part & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                start, windows = start[true], windows[true]
+                cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + windows + length - 1, minlength=len(cover))
             gone = np.cumsum(cover[:-1]) > 0
             edge = np.zeros(len(data) + 1, bool)
             edge[offsets] = True
@@ -426,7 +513,7 @@ def repeated_strings(
             bound = np.searchsorted(starts, offsets)
             kept = [data[a:b][~gone[a:b]].tobytes() if bound[i] < bound[i + 1] else data[a:b].tobytes() for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
             if output != "spans":
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *batch.columns[5:]], [id_col, "kept_text", *carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *batch.columns[7:]], [id_col, "kept_text", *carry])
                 continue
             size = np.diff(offsets)
             home = np.repeat(offsets[:-1], np.diff(bound))
@@ -439,7 +526,7 @@ def repeated_strings(
                     pa.array(np.diff(bound)),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pairs),
-                    *batch.columns[5:],
+                    *batch.columns[7:],
                 ],
                 [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *carry],
             )
@@ -449,10 +536,13 @@ def repeated_strings(
     whole_docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *kept)
     all_packed = whole_docs.mapInArrow(squeeze, "__id long, __z binary" + "".join(f", __c{i} {dict(df.dtypes)[c]}" for i, c in enumerate(carry)))
     joined = all_packed.join(facts, F.col("__id") == F.col("doc"), "left")
-    joined = joined.select(F.col("__id").cast(kind).alias("__id"), "__z", "whole", "keys", "places", *[f"__c{i}" for i in range(len(carry))])
+    facts_of = [f"{c}{k}" for k, names in ((GONE, ("keys", "places")), (PARTS, ("keys", "places", "extra"))) for c in names]
+    joined = joined.select(F.col("__id").cast(kind).alias("__id"), "__z", *facts_of, *[f"__c{i}" for i in range(len(carry))])
     return joined.mapInArrow(cut_out, f"`{id_col}` {kind}, {rest}{more}")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_strings`` of all documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Nulls, repeated ids, empty
+    texts and tables as stated there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_strings(docs).drop("spans")

@@ -35,25 +35,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span [start, end) of the bytes, from prefix sums of a polynomial hash."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' values times the powers of the base, up to each place: differences hash spans."""
+    up, _ = _powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
     np.take(_BYTE, data, out=sums[1:])
     sums[1:] *= up[: len(data)]
-    np.cumsum(sums, out=sums)
+    return np.cumsum(sums, out=sums)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span [start, end) of the bytes, from prefix sums (made here if not given) of a polynomial hash."""
+    _, down = _powers(len(data) + 1)
+    sums = prefix_sums(data) if sums is None else sums
     size = (ends - starts).astype(np.uint64)
     return mix((sums[ends] - sums[starts]) * down[starts] + size * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all grams of ``size`` bytes, one per start."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.take(_BYTE, data, out=sums[1:])
-    sums[1:] *= up[: len(data)]
-    np.cumsum(sums, out=sums)
-    return mix((sums[size:] - sums[:-size]) * down[: len(data) - size + 1])
+def gram_hashes(data: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all grams of ``size`` bytes, one per start. Their upper bits are mixed well, the lower ones less."""
+    _, down = _powers(len(data) + 1)
+    sums = prefix_sums(data) if sums is None else sums
+    out = sums[size:] - sums[:-size]
+    out *= down[: len(out)]
+    return out
 
 
 @lru_cache(1)

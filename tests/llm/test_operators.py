@@ -80,21 +80,43 @@ def test_jaccard_null_id_between(spark):
     assert sorted(x.component_id for x in got if x.doc_id is None) == sorted(set(want.values()))
 
 
-def test_suffixes(spark):
-    rows = [*_texts(), (None, "passage " * 30)]
-    first, want = {}, {}
-    for i, t in rows[:-1]:
+def _cut(rows, length):
+    """Brute force of repeated_strings: (id, n_bytes, n_removed, n_spans, sha) per row; ids may repeat or be null."""
+    least = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - length + 1):
+            if i is not None:
+                least[b[k : k + length]] = min(i, least.get(b[k : k + length], i))
+    out = []
+    for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if first.setdefault(b[k : k + 50], i) < i:
-                gone[k : k + 50] = b"\1" * 50
+        for k in range(len(b) - length + 1):
+            if i is not None and least[b[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
-    want[None] = (240, 0, 0, hashlib.sha256(b"passage " * 30).hexdigest())
-    got = suffix_dedup.repeated_strings(_docs(spark, rows)).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
-    assert suffix_dedup.repeated_strings(_docs(spark, [])).count() == 0
+        out.append((str(i), len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
+def test_suffixes(spark, hot):
+    texts = _texts()
+    rows = [*texts, (None, "passage " * 30), (3, texts[20][1]), (3, texts[3][1]), (20, texts[9][1]), (100, texts[-1][1]), (101, "é" * 60), (102, "aé" + "é" * 60)]
+    got = suffix_dedup.repeated_strings(_docs(spark, rows), hot=hot).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == _cut(rows, 50)
+    assert suffix_dedup.repeated_strings(_docs(spark, []), hot=hot).count() == 0
+
+
+def test_suffixes_around_a_common_passage(spark):
+    """Many documents hold one passage between words of their own, which share pieces with each other, too."""
+    r = random.Random(12)
+    word = lambda: r.choice(["alpha", "beta", "gamma", "delta"])
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12))
+    rows = [(i, " ".join([word() for _ in range(8)] + [passage] + [word() for _ in range(8)])) for i in range(150)]
+    got = suffix_dedup.repeated_strings(_docs(spark, rows), hot=4).collect()
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == _cut(rows, 50)
 
 
 def test_vectors(spark):

@@ -103,27 +103,63 @@ def test_links_within_connects_all_links():
                 assert root[i] == root[j]
 
 
-def test_merged_transforms_give_common_prefixes():
-    r = random.Random(5)
-    shards = [[bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) for _ in range(4)] for _ in range(3)]
-    built = []
-    for own in shards:
-        data = np.frombuffer(b"".join(own), np.uint8)
-        sizes = np.array([len(s) for s in own])
-        ((_, bwt, order),) = suffix_dedup.transforms(data, np.cumsum(sizes) - sizes, sizes, np.zeros(len(own), np.int64))
-        assert order.tolist() == list(range(len(own)))
-        built.append(bwt)
-    row, common, back, ends = suffix_dedup.merge(built, np.array([4, 4, 4]), 5)
-    flat = [s for own in shards for s in own]
-    string, offset = suffix_dedup.walk(back, ends, np.array([len(s) for s in flat]))
-    got = [flat[string[k]][offset[k] :] for k in row]
-    assert sorted(got) == sorted(s[i:] for s in flat for i in range(len(s) + 1))
-    for place in range(1, len(got)):
-        a, b = got[place - 1], got[place]
-        n = 0
-        while n < min(len(a), len(b), 5) and a[n] == b[n]:
-            n += 1
-        assert common[place] == n and (n == 5 or a[n : n + 1] <= b[n : n + 1])
+@pytest.mark.parametrize("depth", [3, 8, 11, 16, 25])
+def test_merged_transforms_give_common_prefixes(depth):
+    r = random.Random(depth)
+    for _ in range(30):
+        shards = [[bytes(r.choice(b"ab") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 5))] for _ in range(r.randint(1, 4))]
+        built = []
+        for own in shards:
+            data = np.frombuffer(b"".join(own), np.uint8)
+            sizes = np.array([len(s) for s in own])
+            ((_, bwt, order),) = suffix_dedup.transforms(data, np.cumsum(sizes) - sizes, sizes, np.zeros(len(own), np.int64))
+            assert order.tolist() == list(range(len(own)))
+            built.append(bwt)
+        row, common, back, ends = suffix_dedup.merge(built, np.array([len(x) for x in shards]), depth)
+        flat = [s for own in shards for s in own]
+        string, offset = suffix_dedup.walk(back, ends, np.array([len(s) for s in flat]))
+        got = [flat[string[k]][offset[k] :] for k in row]
+        assert sorted(got) == sorted(s[i:] for s in flat for i in range(len(s) + 1))
+        for place in range(1, len(got)):
+            a, b = got[place - 1], got[place]
+            n = 0
+            while n < min(len(a), len(b), depth) and a[n] == b[n]:
+                n += 1
+            assert common[place] <= n and (common[place] == depth) == (n == depth) and (n == depth or a[n : n + 1] <= b[n : n + 1])
+
+
+def test_transforms_are_those_of_sorted_suffixes():
+    r = random.Random(9)
+    for _ in range(40):
+        strings = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 40))) for _ in range(12)]
+        group, sizes = np.array([r.randint(0, 3) for _ in strings]), np.array([len(s) for s in strings])
+        for _, bwt, index in suffix_dedup.transforms(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes, group):
+            # an end sorts before all bytes, and by the number of its string
+            suffixes = sorted(([x + 100 for x in strings[i][o:]] + [k], strings[i][o - 1] + 1 if o else 0) for k, i in enumerate(index) for o in range(len(strings[i]) + 1))
+            assert bwt.tolist() == [before for _, before in suffixes]
+
+
+def test_fragments_agree_for_equal_windows():
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 300))) for _ in range(40)] + ["ab" * 100]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    found = suffix_dedup.fragments(data, offsets, 12, 5)
+    seen, windows = {}, 0
+    for start, n, mark in zip(found["start"].tolist(), found["windows"].tolist(), found["mark"].tolist(), strict=True):
+        for k in range(start, start + n):
+            windows += 1
+            assert seen.setdefault(data[k : k + 12].tobytes(), mark) == mark
+    assert windows == sum(max(0, len(t) - 11) for t in texts)
+    by_mark = {}
+    for i, mark in enumerate(found["mark"].tolist()):
+        by_mark.setdefault(mark, []).append(i)
+    for own in by_mark.values():
+        run, start, n, second = suffix_dedup.second_marks(data, found["start"][own], found["windows"][own], 12, 5)
+        assert np.bincount(run, weights=n).tolist() == found["windows"][own].tolist()
+        seen = {}
+        for a, m, s in zip(start.tolist(), n.tolist(), second.tolist(), strict=True):
+            for k in range(a, a + m):
+                assert seen.setdefault(data[k : k + 12].tobytes(), s) == s
 
 
 def test_archives_are_checked():
