@@ -104,14 +104,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     order: a call comes after the results that it needs, a result after its call; orphans have level 0, calls in a cycle
     none. valid and errors come from the tool's schema (argument_errors); a result is valid if it is linked. Null or
     unreadable arguments are an error. Repeated rows of a call are one call and its duplicates share its status; repeated
-    results are each linked. json: the row as canonical JSON: sorted keys, no blanks, arguments parsed and sorted too (as
+    results are each linked. The needs that count are those of the first call with an id. json: the row as canonical JSON: sorted keys, no blanks, arguments parsed and sorted too (as
     plain text if they can't be parsed), nulls left out. Empty tables give no rows.
 
     Calls are reduced to one per id before the shuffled hash join, which can split an id that many results share.
     """
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "needs").withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas))
     place = F.struct("conv_id", "turn", "name", "arguments")
-    first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(place).alias("first"), F.first("needs", ignorenulls=True).alias("needs"))
+    first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(place.alias("first"), "needs")).alias("f")).select("call_id", "f.*")
     levels = call_levels(first.select("call_id", "needs"))
     first = first.select("call_id", "first", F.col("first.name").alias("tool"))
     first = first.withColumn("level", F.lit(0)) if levels is None else first.join(levels.withColumn("found", F.lit(True)), "call_id", "left").withColumn("level", F.when(F.col("found"), F.col("level")).otherwise(0)).drop("found")
@@ -145,74 +145,86 @@ SCHEMAS: Schemas = {"reply": {"n_chars": ("integer", True), "text": ("string", T
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of the conversations. A call needs the last call before it that a turn before it answers."""
+    """Calls and results of the conversations: see op8_chat."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    own = F.concat("conv_id", F.lit("-"), F.col("turn"))
+    call_id = lambda turn: F.concat("conv_id", F.lit("-"), turn)
     user, asks = F.col("role") == "user", F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
-    arguments = F.when(user, F.to_json(F.struct(F.length("text").alias("n_chars"), "text"))).otherwise(F.to_json(F.struct("text")))
     order = W.partitionBy("conv_id").orderBy("turn")
+    before, every = order.rangeBetween(W.unboundedPreceding, -1), W.partitionBy("conv_id")
     asked = F.max(F.when(asks, F.col("turn"))).over(order.rangeBetween(-1, -1))
     turns = turns.withColumn("answers", F.when(~asks, asked))
-    turns = turns.withColumn("last", F.max("answers").over(order.rangeBetween(W.unboundedPreceding, -1)))
-    needs = F.when(F.col("last").isNotNull(), F.array(F.concat("conv_id", F.lit("-"), F.col("last"))))
-    calls = turns.where(asks).select("conv_id", "turn", own.alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), needs.alias("needs"))
-    results = turns.where(~asks).select("conv_id", "turn", F.concat("conv_id", F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    turns = turns.withColumns({"last": F.max("answers").over(before), "lead": F.min("answers").over(every), "final": F.max("answers").over(every)})
+    pair = F.when(F.col("answers").isNotNull(), F.struct("answers", "last"))
+    turns = turns.withColumn("second", F.max(pair).over(before)["last"])
+    turns = turns.where(asks).withColumn("k", F.when(user, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(12)))).unionByName(turns.where(~asks).withColumn("k", F.lit(None).cast("long")))
+    two = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) == 2
+    ring = (F.pmod("conv_id", F.lit(10)) == 7) & (F.col("turn") == F.col("lead")) & (F.col("lead") < F.col("final"))
+    needs = F.array_compact(F.array(call_id(F.col("last")), F.when(two, call_id(F.col("second"))), F.when(ring, call_id(F.col("final")))))
+    k, size = F.col("k"), F.length("text").alias("n_chars")
+    arguments = (
+        F.when(k.isNull() | (k == 2), F.to_json(F.struct("text")))
+        .when(k == 1, F.to_json(F.struct(size.cast("string").alias("n_chars"), "text")))
+        .when(k == 3, F.to_json(F.struct(F.lit(1).alias("extra"), size, "text")))
+        .when(k == 4, '{"text"')
+        .when(k != 5, F.to_json(F.struct(size, "text")))
+    )
+    name = F.when(k == 6, "guess").when(user, "reply").otherwise("configure")
+    calls = turns.where(asks).select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    again = calls.where((F.col("name") != "configure") & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) == 3))
+    again = again.withColumns({"turn": F.col("turn") + 1000, "name": F.lit("configure"), "arguments": F.lit('{"text":"again"}')})
+    results = turns.where(~asks).select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    lost = results.where(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(13)) == 5).withColumns({"turn": F.col("turn") + 1000, "call_id": F.concat("conv_id", F.lit("-lost"))})
+    return calls.unionByName(again), results.unionByName(lost)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user or system turn is a call with the id ``conv_id-turn``, each other turn the result of the turn before."""
-    calls, results = _turns(spark, sf_dir)
-    return link_tool_calls(calls.withColumn("needs", F.lit(None).cast("array<string>")), results, SCHEMAS)
+    """``link_tool_calls`` of all conversations, nulls, repeated rows and empty tables as stated there.
 
-
-def op8_chat_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_chat with the calls in the order of their conversation: a call comes after the answers before it."""
+    Each user or system turn is a call with the id ``conv_id-turn``, each other turn the result of the turn before (an
+    orphan if that is no call). A call needs the last call that was answered before it. By conv_id + turn, a call needs the
+    one answered before that, too (modulo 5: 2), has a number as text, no number, an argument too many, unreadable or no
+    arguments, or a tool that isn't known (modulo 12: 1 to 6), or is made again under the same id (modulo 11: 3); a result
+    comes a second time, under an id that no call has (modulo 13: 5). In each tenth conversation the first answered call needs the last one, so that its calls form a ring.
+    """
     return link_tool_calls(*_turns(spark, sf_dir), SCHEMAS)
 
 
+# A call's level is twice the number of answered calls whose answers come before it, and null in and behind a ring.
 ORACLE = """
-WITH c AS (
-  SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name
-  FROM conversations WHERE role IN ('user', 'system')
-), r AS (
-  SELECT conv_id, turn, text, conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE coalesce(role NOT IN ('user', 'system'), true)
-), calls AS (
-  SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.call_id = c.call_id) THEN 'answered' ELSE 'pending' END AS status FROM c
-)
-SELECT conv_id, turn, 'call' AS kind, call_id, name, status, 0 AS level, text IS NOT NULL AS valid, '' AS errors,
-       '{"arguments":{' || CASE name WHEN 'reply' THEN '"n_chars":' || length(text) || ',' ELSE '' END || '"text":' || to_json(text) || '},"call_id":"' || call_id
-       || '","conv_id":' || conv_id || ',"errors":[],"kind":"call","level":0,"name":"' || name || '","status":"' || status || '","turn":' || turn || '}' AS json
-FROM calls
-UNION ALL
-SELECT r.conv_id, r.turn, 'result', r.call_id, c.name, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END, CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END, c.call_id IS NOT NULL, '',
-       '{"call_id":"' || r.call_id || '","content":' || to_json(r.text) || ',"conv_id":' || r.conv_id || ',"kind":"result","level":' || CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END
-       || coalesce(',"name":"' || c.name || '"', '') || ',"status":"' || CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END || '","turn":' || r.turn || '}'
-FROM r LEFT JOIN c ON c.call_id = r.call_id
-"""
-
-# A call's level is twice the number of answered calls whose answers come before it.
-ORDERED_ORACLE = """
 WITH t AS (
   SELECT conv_id, turn, text, role, coalesce(role IN ('user', 'system'), false) AS asks FROM conversations
 ), answered AS (
   SELECT DISTINCT c.conv_id, c.turn FROM t c JOIN t r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND NOT r.asks WHERE c.asks
-), calls AS (
-  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || t.turn AS call_id, CASE t.role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
+), ring AS (
+  SELECT conv_id, min(turn) AS lead FROM answered WHERE conv_id % 10 = 7 GROUP BY conv_id HAVING count(*) > 1
+), c AS (
+  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || t.turn AS call_id, CASE WHEN role = 'user' THEN (t.conv_id + t.turn) % 12 END AS k,
          CASE WHEN EXISTS (SELECT 1 FROM answered a WHERE a.conv_id = t.conv_id AND a.turn = t.turn) THEN 'answered' ELSE 'pending' END AS status,
-         (2 * (SELECT count(*) FROM answered a WHERE a.conv_id = t.conv_id AND a.turn + 1 < t.turn))::INT AS level
-  FROM t WHERE asks
+         (SELECT count(*) FROM answered a WHERE a.conv_id = t.conv_id AND a.turn + 1 < t.turn) AS before, ring.lead
+  FROM t LEFT JOIN ring ON ring.conv_id = t.conv_id WHERE asks
+), calls AS (
+  SELECT conv_id, turn, call_id, status, CASE WHEN k = 6 THEN 'guess' WHEN k IS NULL THEN 'configure' ELSE 'reply' END AS name,
+         CASE WHEN lead IS NULL OR turn <> lead AND before = 0 THEN (2 * before)::INT END AS level,
+         CASE WHEN k = 4 THEN '"{\\"text\\""' WHEN k IS NULL OR k = 2 THEN '{"text":' || to_json(text) || '}' WHEN k = 1 THEN '{"n_chars":"' || length(text) || '","text":' || to_json(text) || '}'
+              WHEN k = 3 THEN '{"extra":1,"n_chars":' || length(text) || ',"text":' || to_json(text) || '}' WHEN k <> 5 THEN '{"n_chars":' || length(text) || ',"text":' || to_json(text) || '}' END AS arguments,
+         CASE k WHEN 1 THEN 'n_chars is not of type integer' WHEN 2 THEN 'n_chars is missing' WHEN 3 THEN 'extra is unexpected' WHEN 4 THEN 'arguments are not a JSON object'
+                WHEN 5 THEN 'arguments are not a JSON object' WHEN 6 THEN 'unknown tool' ELSE '' END AS errors
+  FROM c
+), made AS (
+  SELECT * FROM calls UNION ALL
+  SELECT conv_id, turn + 1000, call_id, 'duplicate', 'configure', level, '{"text":"again"}', '' FROM calls WHERE name <> 'configure' AND (conv_id + turn) % 11 = 3
 ), r AS (
-  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || (t.turn - 1) AS call_id, c.call_id AS own, c.name, coalesce(c.level + 1, 0) AS level
+  SELECT t.conv_id, t.turn, t.text, t.conv_id || '-' || (t.turn - 1) AS call_id, c.call_id AS own, c.name, CASE WHEN c.call_id IS NULL THEN 0 ELSE c.level + 1 END AS level
   FROM t LEFT JOIN calls c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1 WHERE NOT t.asks
+  UNION ALL SELECT conv_id, turn + 1000, text, conv_id || '-lost', NULL, NULL, 0 FROM t WHERE NOT asks AND (conv_id + turn) % 13 = 5
 )
-SELECT conv_id, turn, 'call' AS kind, call_id, name, status, level, text IS NOT NULL AS valid, '' AS errors,
-       '{"arguments":{' || CASE name WHEN 'reply' THEN '"n_chars":' || length(text) || ',' ELSE '' END || '"text":' || to_json(text) || '},"call_id":"' || call_id
-       || '","conv_id":' || conv_id || ',"errors":[],"kind":"call","level":' || level || ',"name":"' || name || '","status":"' || status || '","turn":' || turn || '}' AS json
-FROM calls
+SELECT conv_id, turn, 'call' AS kind, call_id, name, status, level, errors = '' AS valid, errors,
+       '{' || coalesce('"arguments":' || arguments || ',', '') || '"call_id":"' || call_id || '","conv_id":' || conv_id || ',"errors":[' || CASE errors WHEN '' THEN '' ELSE '"' || errors || '"' END
+       || '],"kind":"call",' || coalesce('"level":' || level || ',', '') || '"name":"' || name || '","status":"' || status || '","turn":' || turn || '}' AS json
+FROM made
 UNION ALL
 SELECT conv_id, turn, 'result', call_id, name, CASE WHEN own IS NULL THEN 'orphan' ELSE 'linked' END, level, own IS NOT NULL, '',
-       '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"conv_id":' || conv_id || ',"kind":"result","level":' || level
-       || coalesce(',"name":"' || name || '"', '') || ',"status":"' || CASE WHEN own IS NULL THEN 'orphan' ELSE 'linked' END || '","turn":' || turn || '}'
+       '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"conv_id":' || conv_id || ',"kind":"result",' || coalesce('"level":' || level || ',', '')
+       || coalesce('"name":"' || name || '",', '') || '"status":"' || CASE WHEN own IS NULL THEN 'orphan' ELSE 'linked' END || '","turn":' || turn || '}'
 FROM r
 """
