@@ -18,7 +18,7 @@ def _least(edges: DataFrame, label: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node that an edge (columns a and b, long) names.
+    """node, component (the smallest node reachable) for every node that an edge (columns a and b of one type) names.
 
     Loops, repeated and reversed edges are fine; edges with a null end are left out; no edges give no rows. Minima are
     aggregated before the shuffle and joined back on written tables, so a hub's edges spread over tasks. Each round is
@@ -43,15 +43,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def least_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, rep, component: the smallest id that links reach, for every node that a link names; null if all are null.
+    """node, component (the smallest id that links reach, null if all are null), first (whether the node is the one of its
+    component that has it; of several, the smallest) for every node that a link names.
 
-    nodes: node (long, never null, unique), rep (its smallest id, or null). links: a, b (nodes). The components are those
-    of the nodes, so a node without an id still connects its neighbours. Nodes with the same id count as linked.
+    nodes: node (never null, unique), rep (its smallest id, or null). links: a, b (nodes). The components are those of the
+    nodes, so a node without an id still connects its neighbours, and nodes that share an id aren't linked by that.
     """
-    named = nodes.select("node", "rep")
-    shared = materialize(named.where("rep IS NOT NULL").groupBy("rep").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    same = named.join(shared, "rep").where("node <> b").select(F.col("node").alias("a"), "b")
-    found = connected_components(links.select("a", "b").unionByName(same)).withColumnRenamed("component", "root")
-    found = materialize(found.join(named, "node"), "roots")
-    least = materialize(found.groupBy("root").agg(F.min("rep").alias("component")), "ids")
-    return found.join(least, "root").select("node", "rep", "component")
+    found = connected_components(links.select("a", "b")).withColumnRenamed("component", "root")
+    found = materialize(found.join(nodes.select("node", "rep"), "node"), "roots")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("least"))
+    least = materialize(least.select("root", F.col("least.rep").alias("component"), F.col("least.node").alias("lead")), "ids")
+    return found.join(least, "root").select("node", "component", (F.col("node") == F.col("lead")).alias("first"))

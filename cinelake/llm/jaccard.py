@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinelake.llm.common import byte_view, materialize, mix, shuffle_width, slices, tree_merge
 from cinelake.llm.components import least_ids
@@ -21,8 +22,8 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], np.uint64)
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
-#: Shingles of all texts that one verification task holds at most at once, unless a single text has more.
-TASK_SHINGLES = 1 << 21
+#: Shingles and sets that one verification task holds at most at once, unless a single text has more.
+TASK_SHINGLES, TASK_SETS = 1 << 21, 2048
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -211,14 +212,7 @@ def links_within(size: np.ndarray, sketches: list[np.ndarray], sets: list[np.nda
         links += [(leader, int(j)) for j in hit]
         clusters.append(np.concatenate([[leader], hit]))
         rest = rest[~np.isin(rest, hit)]
-    root = list(range(len(clusters)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    root = np.arange(len(clusters))
     of = np.empty(n, np.int64)
     for k, c in enumerate(clusters):
         of[c] = k
@@ -226,12 +220,12 @@ def links_within(size: np.ndarray, sketches: list[np.ndarray], sets: list[np.nda
         if len(c) < 2:
             continue
         for i in c[1:].tolist():  # its leader has been compared with all that came later
-            apart = np.array([x for x in range(k + 1, len(clusters)) if find(x) != find(k)], np.int64)
+            apart = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
             if len(apart) == 0:
                 break
             for j in linked(i, np.concatenate([clusters[x] for x in apart])).tolist():
-                if find(int(of[j])) != find(k):
-                    root[find(int(of[j]))] = find(k)
+                if root[of[j]] != root[k]:
+                    root[root == root[of[j]]] = root[k]
                     links.append((i, j))
     return links
 
@@ -282,20 +276,21 @@ def _verify(rows: DataFrame, groups: list[str], percent: int) -> DataFrame:
 
 
 def jaccard_classes(
-    df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES
+    df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id: the smallest id that links reach.
+    """One row per input row: id, n_shingles, component_id: the smallest id that links reach; node: a hash of the set; kept:
+    true for the rows of one set and id in each component, the smallest id.
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct ``width``-word shingles (words
     are runs of characters other than blanks, A-Z lower-cased; a shorter text is one shingle). Only percent >= 75 is
     covered by the signatures. Null, empty and blank texts have no shingles, link with nothing and are their own
-    component. Texts with equal sets are one node of the join, found by 128-bit hashes of the sets; repeated rows and ids
-    share it. A row with a null id takes part, and a component of such rows alone has a null id. Other columns are not
-    read. An empty table gives no rows.
+    component. Texts with equal sets are one node of the join, found by 128-bit hashes of the sets; repeated rows share it.
+    Rows that share an id but not a set have each their own component. A row with a null id takes part, and a component of
+    such rows alone has a null id. Other columns are not read. An empty table gives no rows.
 
     Texts are read three times and never gathered: for set hashes, for signatures, and for the sets of those nodes that
     share a signature. Signatures travel packed. In each group of equal signatures every node is paired with the first;
-    nodes paired with the same one meet in tasks of at most ``task_shingles`` shingles: first their parity sketches, which
+    nodes paired with the same one meet in tasks of at most ``task_shingles`` shingles and ``task_sets`` sets: first their parity sketches, which
     leave out what can't link, then the sets of the rest, for a forest of verified links. Of a larger group, each part is
     verified with the first node, and what didn't link meets every part.
     """
@@ -384,8 +379,9 @@ def jaccard_classes(
     pairs = materialize(pairs.distinct(), "pairs")
 
     # how many parts the nodes of a leader need
-    weight = pairs.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k")).groupBy("lead").agg(F.sum("__n").alias("w"))
-    weight = materialize(weight.select("lead", F.ceil(F.col("w") / task_shingles).cast("int").alias("parts")), "leaders")
+    needed = F.ceil(F.greatest(F.sum("__n") / task_shingles, F.count(F.lit(1)) / task_sets)).cast("int")
+    weight = pairs.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k")).groupBy("lead").agg(needed.alias("parts"))
+    weight = materialize(weight, "leaders")
     members = pairs.join(weight, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     leads = weight.select("lead", F.col("lead").alias("node"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = materialize(members.select("lead", "node", "parts", "part").unionByName(leads), "members")
@@ -433,7 +429,7 @@ def jaccard_classes(
         direct = direct.unionByName(links.select(F.col("b").alias("lead"), F.col("a").alias("node")))
         loose = large.join(direct, ["lead", "node"], "left_anti").where("lead <> node")
         loose = loose.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k"))
-        blocks = loose.groupBy("lead").agg(F.ceil(F.sum("__n") / task_shingles).cast("int").alias("blocks"))
+        blocks = loose.groupBy("lead").agg(needed.alias("blocks"))
         loose = loose.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         loose = loose.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node")
         again = large.join(blocks, "lead").select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
@@ -442,13 +438,30 @@ def jaccard_classes(
 
     named = nodes.select(F.col("__k").alias("node"), F.col("__rep").alias("rep"))
     component = materialize(least_ids(named, links), "components")
-    out = grouped.join(component, (F.col("__k") == F.col("node")) & F.col("__rep").eqNullSafe(F.col("rep")), "left")
+    out = grouped.join(component, F.col("__k") == F.col("node"), "left")
+    alone = (F.col("__n") == 0) | F.col("node").isNull()
+    own = F.when(F.col("__n") == 0, F.col("__id")).when(F.col("node").isNull(), F.col("__rep"))
     return out.select(
         F.col("__id").alias(id_col),
         F.col("__n").alias("n_shingles"),
-        F.when(F.col("__n") == 0, F.col("__id")).otherwise(F.coalesce("component", "__rep")).alias("component_id"),
+        F.when(alone, own).otherwise(F.col("component")).alias("component_id"),
+        F.col("__k").alias("node"),
+        F.when(alone, F.col("__id").eqNullSafe(own)).otherwise(F.col("first") & F.col("__id").eqNullSafe(F.col("component"))).alias("kept"),
     )
 
 
+def with_nodes(df: DataFrame, width: int = 5, text_col: str = "text") -> DataFrame:
+    """The rows with ``node``, by which jaccard_classes names the set of a text (0 without shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text_col):
+            key, _ = set_keys(*shingle_sets(texts, width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "node"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("node", T.LongType())]))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """``jaccard_classes`` of all documents: doc_id, n_shingles, component_id. Nulls, empty texts, repeated rows and ids and
+    empty tables as stated there."""
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
