@@ -83,7 +83,7 @@ def write_warc(
     """Writes one record per page into archives below ``path``, each about ``archive_bytes`` of compressed data.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest id becomes a response and the
-    others revisit it; all other pages are responses. Null html is an empty payload, a null url becomes ``about:blank``,
+    others revisit it (payloads are equal if SHA-256 and length are); all other pages are responses. Null html is an empty payload, a null url becomes ``about:blank``,
     a null id is written as ``null`` and is never a response that others revisit. Repeated rows get a record each; if
     they hold the largest id, each is a response. Columns beside the three are not read. No pages give no archive.
 
@@ -94,13 +94,13 @@ def write_warc(
     source = pages.select(
         F.col(id_col).alias("__page"), F.col(url_col).cast("string").alias("__url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html")
     )
-    thin = source.select("__page", F.unhex(F.sha1("__html")).alias("__sha"), F.octet_length("__html").alias("__bytes"))
+    thin = source.select("__page", F.unhex(F.sha2("__html", 256)).alias("__sha"), F.octet_length("__html").alias("__bytes"))
     thin = materialize(thin, "payloads")
     grouped = tree_merge(thin, ["__sha", "__bytes"], [F.col("__page").isNull(), -F.col("__page"), F.col("__page")], "__page")
     target = F.col("best.b2")
     revisit = (F.col("group_size") > 1) & (F.col("__bytes") >= min_bytes) & target.isNotNull() & ~target.eqNullSafe(F.col("__page"))
     refers = grouped.select(F.col("__page").alias("__p"), F.col("__sha").alias("__s"), target.alias("__refers")).where(revisit).dropDuplicates(["__p", "__s"])
-    rows = source.join(refers, source["__page"].eqNullSafe(F.col("__p")) & (F.unhex(F.sha1("__html")) == F.col("__s")), "left")
+    rows = source.join(refers, source["__page"].eqNullSafe(F.col("__p")) & (F.unhex(F.sha2("__html", 256)) == F.col("__s")), "left")
     rows = rows.select(F.col("__page").cast("string"), "__url", "__html", F.col("__refers").cast("string"))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +253,14 @@ def read_warc(spark: SparkSession, path: str, strict: bool = True, with_payload:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written with ``write_warc`` and read back: page_id (null for null), payload_bytes, payload_digest,
+    record_type, refers_to. Nulls, empty payloads, repeated rows and empty tables as stated there."""
     path = scratch_path(spark, "warc")
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_warc(spark, path, with_payload=False).select(
-        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
-    )
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_warc(pages, path)
+    kind = dict(pages.dtypes)["page_id"]
+    number = lambda c: F.col(c).try_cast(kind).alias("page_id" if c == "record_id" else c)
+    return read_warc(spark, path, with_payload=False).select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
 ORACLE = """
