@@ -291,6 +291,8 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_texts`` of all documents as digests: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no
+    ids; repeated rows, null ids and empty tables as stated there."""
     import public_tokenizers
 
     return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), digests=True)

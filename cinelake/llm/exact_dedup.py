@@ -49,6 +49,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_dedup`` of all documents: doc_id, keep_id, group_size, kept, text_sha256. Nulls, blank texts, ties, repeated rows
+    and empty tables as stated there."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

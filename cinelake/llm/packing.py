@@ -157,6 +157,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "le
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_pieces`` of all documents, placed by ``best_fit_pack``: doc_id, piece, start, length, ids_crc32, sequence_id,
+    offset. Null and empty texts are a piece of one id; repeated rows, null ids and empty tables as stated there."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
