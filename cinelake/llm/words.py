@@ -83,13 +83,14 @@ _SPLIT_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 class Pretokens:
     """Pre-tokens of a batch of texts: spans of ``data`` with the text each belongs to. special: 0, or 1 + its index."""
 
-    def __init__(self, texts: list[str], normalize):
-        """normalize: the library's own normalizer, for texts that the byte tables don't cover."""
+    def __init__(self, texts: list[str], normalize, special: bool = True):
+        """normalize: the library's own normalizer, for texts that the byte tables don't cover. special: whether the
+        strings of the special tokens are tokens of their own."""
         parts: list[tuple[int, bytes, list | None]] = []
         for k, text in enumerate(texts):
-            pieces = _SPLIT_SPECIAL.split(text) if "<|" in text else [text]
+            pieces = _SPLIT_SPECIAL.split(text) if special and "<|" in text else [text]
             for piece in pieces:
-                if piece in SPECIAL:
+                if special and piece in SPECIAL:
                     parts.append((k, b"", [SPECIAL.index(piece)]))
                     continue
                 low = piece.lower()
