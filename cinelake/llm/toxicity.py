@@ -50,7 +50,7 @@ class Tokens:
 
 def tokens_of(texts: list[str]) -> Tokens:
     """Lower-cased runs of letters, digits one by one, and runs of other signs; with the hashed 3-grams of their bytes."""
-    p = Pretokens(texts, _normal)
+    p = Pretokens(texts, _normal, special=False)
     keys = span_hashes(p.data, p.starts, p.ends) if len(p.data) else np.zeros(len(p.starts), np.uint64)
     hashes, at, rows = np.unique(keys, return_index=True, return_inverse=True)
     start, size = p.starts[at], p.ends[at] - p.starts[at]
@@ -208,7 +208,7 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
     Words get a row if they are in four texts or more and in unequal shares of the two labels' texts (three standard
     errors); it starts from their smoothed log-odds. All other words are known by their characters only. Each step scores all windows of
     ``pack`` texts, and goes back through the two top ones of each; about ``steps`` steps, but 5 to 100 passes. A fifth of
-    the texts is kept apart to set the middle of the final logistic curve (all texts set it if that leaves under 60). Without both labels the network is its prior: the share of label 1 (0 of none).
+    each label's texts, one at least where there are two, is kept apart to set the middle of the final logistic curve. Without both labels the network is its prior: the share of label 1 (0 of none).
     """
     y = np.array(labels, np.float32)
     net = Network(np.zeros(0, np.uint64), np.zeros(0))
@@ -218,7 +218,7 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
         return net
     r = np.random.default_rng(seed)
     order = np.concatenate([r.permutation(np.flatnonzero(y == k)) for k in (0, 1)])
-    apart = np.concatenate([q[: len(q) // 5] for q in (order[y[order] == 0], order[y[order] == 1])])
+    apart = np.concatenate([q[: -(-len(q) // 5) if len(q) > 1 else 0] for q in (order[y[order] == 0], order[y[order] == 1])])
     fit = np.setdiff1d(order, apart)
     seen: list[Counter] = [Counter(), Counter()]
     for a in range(0, len(fit), pack):
@@ -273,8 +273,6 @@ def train(texts: list[str], labels: list[int], steps: int = 200, pack: int = 32,
                 if k in ("char", "rec", "att"):
                     v *= 1 - 0.3 * rate  # decay, so that few texts aren't learnt by heart
                 v -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    if len(apart) < 60:  # too few to place the middle by themselves
-        apart = order
     _calibrate(net, [texts[i] for i in apart], y[apart])
     return net
 
@@ -357,6 +355,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Network:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_toxicity`` of all documents by a network trained on the labels: doc_id, held_out (crc32(doc_id as text) mod 5
+    is 0), score, predicted. Null ids are not held out; nulls, empty texts and tables as stated there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, net)
