@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cinelake.llm import bpe, chat, exact_dedup, jaccard, packing, suffix_dedup, toxicity, vectors, warc
+from cinelake.llm import bpe, chat, exact_dedup, jaccard, language, packing, suffix_dedup, toxicity, vectors, warc
 
 SCHEMA = "doc_id long, text string, best string, group_size int, node long"
 
@@ -67,6 +67,26 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_classes(_docs(spark, [])).count() == 0
 
 
+def test_jaccard_tasks_of_few_sets(spark):
+    """A leader's sets over several tasks: copies in a chain, so that links run between tasks."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(130)]
+    rows = [(i, " ".join([f"x{k}" for k in range(i)] + words[i:])) for i in range(30)]
+    rows += [(i + 30, " ".join(words[:9] + ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)])) for i in range(10)]
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(_docs(spark, rows), task_sets=4).collect()}
+    assert got == {i: 0 if i < 30 else i for i in range(40)}
+
+
+def test_jaccard_repeated_ids(spark):
+    """An id with two texts: each row has the component of its own text, whatever the order of the rows."""
+    r = random.Random(5)
+    a, b = (["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join([*b, "x"])), (6, " ".join([*a, "x"])), (7, " ".join([*b, "y"])), (7, " ".join(["z"] * 9))]
+    for own in (rows, rows[::-1]):
+        got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in jaccard.jaccard_classes(_docs(spark, own)).collect())
+        assert got == [(1, 96, 1, True), (1, 96, 1, True), (5, 97, 1, False), (6, 97, 1, False), (7, 1, 7, True), (7, 97, 1, False)]
+
+
 def test_jaccard_null_id_between(spark):
     """A base without an id and two near copies of it: whichever of them leads the groups, all are one component."""
     r = random.Random(3)
@@ -146,6 +166,29 @@ def test_vectors_null_id_between(spark):
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {None: (2, 5), 7: (1, 5), 5: (1, 5), 9: (0, 9)}
 
 
+def test_vectors_repeated_and_odd_rows(spark):
+    """Repeated ids and rows, infinities, other lengths, clashing columns, tiny cells with pivots, an empty table."""
+    inf = float("inf")
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [2.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [0.0, 3.0], "a"), (4, [inf, 0.0], "a"), (5, [1.0, None], "a"), (6, [1.0, 0.0, 0.0], "a"), (7, [1.0, 0.0], "b")]
+    schema = "vec_id long, embedding array<double>, label string"
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], schema + ", node int, u int")
+    for cell in (4096, 1):
+        got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in vectors.near_vectors(df, cell=cell).collect())
+        assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_archive_query(spark, tmp_path):
+    """Null ids and clashing columns through the registered query; an empty table."""
+    schema = "page_id long, url string, html string"
+    rows = [(None, "u", "a", 1), (1, None, "a", 1), (2, "u", None, 1), (3, "u", "", 1), (3, "u", "", 1)]
+    spark.createDataFrame(rows, schema + ", payload_bytes int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(x.page_id), x.payload_bytes, x.record_type, x.refers_to) for x in warc.op2_warc(spark, str(tmp_path)).collect())
+    assert got == [("1", 1, "response", None), ("2", 0, "revisit", 3), ("3", 0, "response", None), ("3", 0, "response", None), ("None", 1, "revisit", 1)]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op2_warc(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "u", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "a b", None), (4, "u", ""), (5, "u", "x" * 100_000), (None, "u", "<p>é</p>"), (2, "u", "<p>é</p>")]
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", archive_bytes=300)
@@ -172,6 +215,10 @@ def test_packing_and_encoding(spark):
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 64
     assert len(bins) <= -(-sum(r.length for r in placed) // 64) + 1
+    assert packing.best_fit_pack(packing.document_pieces(_docs(spark, []), path)).count() == 0 and bpe.encode_texts(_docs(spark, []), path).count() == 0
+    long = [(1, "a word and more " * 100_000)]
+    row = bpe.encode_texts(_docs(spark, long), path).first()
+    assert list(row.ids) == t.encode(long[0][1], add_special_tokens=False).ids
     got = bpe.encode_texts(_docs(spark, rows), path).collect()
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), t.encode(x or "", add_special_tokens=False).ids) for i, x in rows)
 
@@ -191,12 +238,18 @@ def test_chat(spark):
     assert chat.link_tool_calls(df.limit(0), results.limit(0), {}).count() == 0
 
 
-def test_chat_levels_along_conversations(spark, tmp_path):
+def test_chat_query(spark, tmp_path):
+    """Levels along conversations, a ring, and a long conversation; clashing and extra columns."""
     roles = ["system", "user", "assistant", "user", "user", "assistant", "tool", "user"]
-    turns = [(c, k, x, f"t{k}") for c in (1, 2) for k, x in enumerate(roles)] + [(3, k, ("user", "assistant")[k % 2], "x") for k in range(70)]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn): r.level for r in chat.op8_chat_ordered(spark, str(tmp_path)).collect()}
-    assert [got[2, k] for k in range(8)] == [0, 0, 1, 2, 2, 3, 0, 4] and [got[3, k] for k in range(70)] == list(range(70))
+    turns = [(c, k, x, f"t{k}", 1) for c in (1, 2, 7) for k, x in enumerate(roles)] + [(3, k, ("user", "assistant")[k % 2], "x", 1) for k in range(70)]
+    turns += [(4, 0, None, None, 1), (4, 1, "user", None, 1), (None, 0, "user", "x", 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, level int").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = chat.op8_chat(spark, str(tmp_path)).collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
+    assert [got[2, k].level for k in range(8)] == [0, 0, 1, 2, 2, 3, 0, 4] and [got[3, k].level for k in range(70)] == list(range(70))
+    assert [got[7, k].level for k in range(8)] == [0, None, None, None, None, None, 0, None]
+    assert {r.status for r in rows} == {"answered", "pending", "duplicate", "linked", "orphan"}
+    assert got[4, 0].status == "orphan" and got[4, 1].valid is False and len(rows) == len(turns) + sum(r.turn >= 1000 for r in rows)
 
 
 def test_chat_levels_of_mixed_needs(spark):
@@ -224,3 +277,61 @@ def test_pipeline(spark, tmp_path):
     copies = {b for a, b in ((1, 1000), (2, 1001)) if a not in toxic}
     assert {x.doc_id: x.text for x in docs.collect()} == {x[0]: x[1] or "" for x in rows if x[0] not in toxic | copies}
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.sum("length")).first()[0] > 0
+
+
+def test_language_query(spark, tmp_path):
+    """Nulls, ties, repeated rows, many languages and an empty table, through the registered query."""
+    r = random.Random(4)
+    word = lambda signs: "".join(r.choice(signs) for _ in range(r.randint(2, 6)))
+    signs = {"en": "abcde", "xx": "fghij", "ü": "klmnü"}
+    rows = [(i, " ".join(word(signs[x]) for _ in range(30)), x) for i in range(150) for x in [list(signs)[i % 3]]]
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "12 34", "xx"), (None, rows[0][1], None), (None, rows[1][1], "xx"), (5, rows[5][1], rows[5][2]), (1003, "f" * 200_000, None), (1004, "1", "digits")]
+    schema = "doc_id long, text string, lang string"
+    spark.createDataFrame([(*x, 1, "s") for x in rows], schema + ", score int, bits_per_char string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.op6_language(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by = {x.doc_id: x for x in got}
+    assert all(by[i].lang_pred == x for i, _, x in rows[:150]) and by[1003].lang_pred == "xx"
+    assert [by[i].lang_pred for i in (1000, 1001, 1002, 1004)] == ["und"] * 4 and by[1000].rejected and by[1000].score == 0
+    assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert len(language.training_rows(docs, most_rows=4)) == 4 and {x.lang for x in language.training_rows(docs, most_rows=2)} == {"en", "xx"}
+    assert max(len(x.text) for x in language.training_rows(docs, most_chars=4 * 300 * 10)) <= 10
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert language.op6_language(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([(1, "abc", None)], schema).write.parquet(f"{tmp_path}/unlabelled/documents.parquet")
+    assert [x.lang_pred for x in language.op6_language(spark, f"{tmp_path}/unlabelled").collect()] == ["und"]
+
+
+def test_near_stage(spark):
+    """Repeated rows, ids with two texts, null ids, blank texts and an empty table."""
+    r = random.Random(6)
+    a, b, c = (["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)] for _ in range(3))
+    rows = [(0, " ".join(a)), (1, " ".join([*a, "x"])), (1, " ".join(b)), (2, " ".join([*b, "y"])), (None, " ".join(c)), (None, " ".join([*c, "z"])), (3, None), (4, " "), (5, " ".join(c[:50])), (5, " ".join(c[:50]))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows], schema)
+    got = corpus_pipeline.near(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    texts = [(x.doc_id, x.text) for x in got.collect()]
+    # 5 is half of the text without an id, no copy of it, and a group of its own
+    assert sorted((i, t) for i, t in texts if i not in (None, 5)) == [(0, rows[0][1]), (1, rows[2][1]), (3, None), (4, " ")]
+    assert [t for i, t in texts if i is None] in ([rows[4][1]], [rows[5][1]]) and [t for i, t in texts if i == 5] == [rows[8][1]]
+    for stage in (corpus_pipeline.near, corpus_pipeline.exact, corpus_pipeline.passages, corpus_pipeline.packing):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_toxicity_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table, through the registered query."""
+    r = random.Random(2)
+    text = lambda bad: " ".join([r.choice(["one", "two", "three", "four"]) for _ in range(20)] + ["nasty"] * bad)
+    rows = [(i, text(i % 2)) for i in range(80)] + [(100, None), (101, ""), (None, "nasty one two"), (3, text(1)), (102, "nasty " * 20_000)]
+    spark.createDataFrame([(i, t, 0.0, "w") for i, t in rows], "doc_id long, text string, score double, windows string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (0, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == len(rows) and sum(by[i].predicted == i % 2 for i in range(80)) >= 78 and by[102].predicted == by[None].predicted == 1
+    assert by[100].score == by[101].score and all((x.score >= 0.5) == (x.predicted == 1) for x in got)
+    assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert toxicity.op10_toxicity(spark, f"{tmp_path}/none").count() == 0

@@ -174,11 +174,103 @@ def test_archives_are_checked():
         list(warc.records(packed[:-3]))
 
 
+def _dictionary_bits(words, word, letters):
+    """Bits of a word under interpolated Kneser-Ney models kept in dictionaries."""
+    n, d = language.ORDER, language.DISCOUNT
+    padded = lambda w: ["<"] * (n - 1) + list(w) + [">"]
+    counts = [{} for _ in range(n + 1)]
+    for w in words:
+        s = padded(w)
+        for i in range(n - 1, len(s)):
+            gram = tuple(s[i - n + 1 : i + 1])
+            counts[n][gram] = counts[n].get(gram, 0) + 1
+    for k in range(n - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] = counts[k].get(gram[1:], 0) + 1
+    bits, s = 0.0, padded(word)
+    for i in range(n - 1, len(s)):
+        p = 1 / letters
+        for k in range(1, n + 1):
+            gram = tuple(s[i - k + 1 : i + 1])
+            followers = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+            if followers:
+                p = max(counts[k].get(gram, 0) - d, 0) / sum(followers) + d * len(followers) / sum(followers) * p
+        bits -= np.log2(p)
+    return bits
+
+
+def test_language_models_are_those_of_dictionaries():
+    r = random.Random(11)
+    own = [["".join(r.choice(signs) for _ in range(r.randint(1, 7))) for _ in range(60)] for signs in ("abcd", "cdeé")]
+    m = language.Models(own, ["x", "y"])
+    assert m.letters == len(set("".join(own[0] + own[1]))) + 1
+    words = [*own[0][:8], *own[1][:8], "zzz", "a", "dé"]
+    size = np.array([len(w) for w in words])
+    got = m.word_costs(np.array([ord(c) for w in words for c in w], np.uint64), size)
+    want = [[_dictionary_bits(x, w, m.letters) for x in own] for w in words]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
 def test_languages():
     texts = ["the cat sat on the mat", "le chat est sur la table", "the dog ran far away", "un chien court dans la rue"] * 5
     m = language.train(texts, ["en", "fr", "en", "fr"] * 5)
-    best, score, _, _ = m.predict(["the cat", "la rue", "", "12 !", None or ""])
-    assert [([*m.names, "und"])[b] for b in best] == ["en", "fr", "und", "und", "und"] and ((0 <= score) & (score <= 1)).all()
+    asked = ["the cat", "la rue", "", "12 !", None or "", "<|endoftext|>", "the " * 5000, "la table"]
+    best, score, _, _ = language.Scorer(m).predict(asked)
+    got = [([*m.names, "und"])[b] for b in best]
+    assert got[:5] == ["en", "fr", "und", "und", "und"] and got[5] != "und" and got[6:] == ["en", "fr"] and ((0 <= score) & (score <= 1)).all()
+    tiny = language.Scorer(m, table_bytes=0)
+    for _ in range(2):  # a small table, blocks of a few words, filled or not: the same
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(tiny.predict(asked, block=6), language.Scorer(m).predict(asked), strict=True))
+    for nothing in (language.train([], []), language.train(["123", "456"], ["en", "en"])):
+        assert language.Scorer(nothing).predict(["abc", ""])[0].tolist() == [-1, -1]
+
+
+def _loop_logit(net, tokens, window):
+    """One window's logit by plain loops over steps and units."""
+    p, h = net.p, toxicity.HIDDEN
+    x = []
+    for t in window:
+        row = np.searchsorted(net.words, tokens.hashes[t]) if tokens.hashes[t] in net.words else len(net.words)
+        grams = tokens.grams[tokens.gram_starts[t] : tokens.gram_starts[t + 1]]
+        x.append(np.concatenate([p["word"][row], p["char"][grams].mean(axis=0)]))
+    sides = []
+    for way, seq in ((0, x), (1, x[::-1])):
+        state, states = np.zeros(h), []
+        for v in seq:
+            g, rec = v @ p["win"][way] + p["bin"][way], state @ p["rec"][way]
+            z, r = (1 / (1 + np.exp(-(g[k : k + h] + rec[k : k + h]))) for k in (0, h))
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * rec[2 * h :])
+            states.append(state)
+        sides.append(states if way == 0 else states[::-1])
+    both = [np.concatenate(s) for s in zip(*sides, strict=True)]
+    score = np.array([np.tanh(s @ p["att"]) @ p["pick"] for s in both])
+    weight = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+    return sum(w * s for w, s in zip(weight, both, strict=True)) @ p["out"] + p["bias"][0]
+
+
+def test_network_is_that_of_plain_loops_and_its_gradients_those_of_differences():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(n)) for n in (1, 7, 40, 70)]
+    t = toxicity.tokens_of(texts)
+    net = toxicity.Network(np.sort(t.hashes[::2]), np.linspace(-1, 1, len(t.hashes[::2])))
+    logit, start, text = net.window_logits(t)
+    for k in range(len(start)):
+        window = t.rows[start[k] : min(start[k] + toxicity.WINDOW, t.bounds[text[k] + 1])]
+        assert abs(logit[k] - _loop_logit(net, t, window)) < 1e-4
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, index, weights = net.inputs(t, net.word_rows(t)), net.index(t, start, text), np.linspace(1, 2, len(start))
+    _, memory = net.run(net.gates(x), index, keep=True)
+    g, dx = net.gradients(x, index, memory, weights)
+    value = lambda: float(net.run(net.gates(x), index) @ weights)
+    for name, own, grad in [(k, net.p[k], g[k]) for k in ("win", "bin", "rec", "att", "pick", "out", "bias")] + [("x", x, dx)]:
+        for at in [tuple(int(q) for q in np.unravel_index(i, own.shape)) for i in np.random.default_rng(1).integers(0, own.size, 6)]:
+            kept = own[at]
+            own[at] = kept + 1e-2
+            up = value()
+            own[at] = kept - 1e-2
+            down = value()
+            own[at] = kept
+            assert abs((up - down) / 2e-2 - grad[at]) < 2e-3 * max(1, abs(grad[at])), name
 
 
 def test_network_learns_and_windows_cover():
