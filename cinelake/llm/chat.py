@@ -38,18 +38,18 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 def _chains(single: DataFrame) -> DataFrame:
     """call_id, top, dist: the first call up a chain of calls with one need each that hasn't one need, and the steps to it.
 
-    single: call_id, need. Pointers double, so the rounds grow with the logarithm of the longest chain. top is null for
-    calls in a cycle or behind one.
+    single: call_id, need. Pointers double, so the rounds grow with the logarithm of the longest chain. A round that ends
+    no chain is the last, as a chain that doesn't run in a cycle has a call for each number of steps up to its length. top
+    is null for calls in a cycle or behind one.
     """
     now = materialize(single.select("call_id", F.col("need").alias("top"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "chains")
-    rounds = now.count().bit_length() + 1
-    for _ in range(rounds):
+    before, left = 0, now.count()
+    while left and left != before:
         up = now.select(F.col("call_id").alias("at"), F.col("top").alias("next"), F.col("dist").alias("more"))
         met = now.join(up, F.col("top") == F.col("at"), "left")
         met = met.select("call_id", F.coalesce("next", "top").alias("top"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("at").isNotNull().alias("moved"))
         now = materialize(met, "chains")
-        if now.where("moved").isEmpty():
-            break
+        before, left = left, now.where("moved").count()
     return now.select("call_id", F.when(~F.col("moved"), F.col("top")).alias("top"), "dist")
 
 
