@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-_BRACKET = re.compile(r"[\[({][^\])}]{1,45}[\])}]")
-_EPISODE = re.compile(r"\b(?:s\d{1,2}e\d{1,3}|ep(?:isode)?[ ._-]?\d{1,4})\b", re.IGNORECASE)
+from cinelake.functions import tokens as T
+
+_BRACKET = re.compile(T.BRACKET)
+_EPISODE = re.compile(T.EPISODE_MARK, re.IGNORECASE)
 
 
 def _words(text: str) -> str:

@@ -12,7 +12,9 @@ AUDIO = r"DDP|DD\+|DD|EAC3|E-AC-3|AC3|AC-3|AAC|DTS-HD\.MA|DTS-HD|DTS|TRUEHD|FLAC
 FEATURE = "Atmos"
 VARIANT = r"TH|v\p{Nd}+"
 CENTURIES = "18|19|20|24|25"
-EPISODE = r"(?iU)\b(?:s\d{1,2}e\d{1,3}|ep(?:isode)?[ ._-]?\d{1,4})\b"
+EPISODE_MARK = r"\b(?:s\d{1,2}e\d{1,3}|ep(?:isode)?[ ._-]?\d{1,4})\b"
+EPISODE = "(?iU)" + EPISODE_MARK
+BRACKET = r"[\[({][^\])}]{1,45}[\])}]"
 SKIPPED_FOLDERS = ["$RECYCLE.BIN", "System Volume Information"]
 
 # Words that the fallback title normaliser deletes.

@@ -9,17 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions.text import or_empty
+from cinelake.operators.order import numbered
 
 
 def _yes(c: Column) -> Column:
     return F.when(c, "YES").otherwise("")
 
 
-def numbered(keys: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers distinct groups in the order of their keys. Only the relation of the keys is gathered, never the rows."""
-    return keys.withColumn(name, F.row_number().over(W.orderBy(*order)))
-
-
 def colliding(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys occur more than once. Counts are aggregated before the shuffle and joined back, which can be split."""
     many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")

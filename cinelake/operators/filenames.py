@@ -166,7 +166,7 @@ def parse_filenames(df: DataFrame, filename: str = "filename", prefix: str = "")
 def normalized_titles(df: DataFrame, filename: str = "filename", title: str = "title", standard: str = "standard", name: str = "normalized_title") -> DataFrame:
     """Adds the normal form of the parsed title; a name whose title is empty is stripped of noise words instead."""
     s = nfkc(stem(or_empty(F.col(filename))))
-    s = F.regexp_replace(s, r"[\[({][^\])}]{1,45}[\])}]", " ")
+    s = F.regexp_replace(s, T.BRACKET, " ")
     s = F.regexp_replace(s, _ANY_YEAR, " ")
     s = F.regexp_replace(s, T.EPISODE, " ")
     for pattern in T.NOISE:

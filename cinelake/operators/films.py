@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,20 +101,27 @@ def rank_candidates(groups: DataFrame, searches: DataFrame, most: int = 3, first
 
 
 def external_aliases(details: Column) -> Column:
-    """Titles of a catalogue entry as (title, source, country), in order, blanks left out."""
+    """Titles of a catalogue entry as (title, source, country), in order, blanks left out (see distinct_aliases)."""
     row = lambda t, s, c: F.struct(F.trim(or_empty(t)).alias("title"), F.lit(s).alias("source"), or_empty(c).alias("country"))
     more = F.transform(F.coalesce(details["alternative_titles"]["titles"], F.array().cast("array<struct<title:string,iso_3166_1:string>>")), lambda x: row(x["title"], "TMDb alternative title", x["iso_3166_1"]))
     every = F.concat(F.array(row(details["title"], "TMDb title", F.lit("")), row(details["original_title"], "TMDb original title", F.lit(""))), more)
     return F.filter(every, lambda x: x["title"] != "")
 
 
+def distinct_aliases(entries: DataFrame, keys: list[str], details: str) -> DataFrame:
+    """keys, pos, a (title, source, country), norm: the first title of each normal form, source and country of an entry."""
+    every = entries.select(*keys, F.posexplode(external_aliases(F.col(details))).alias("pos", "a")).withColumn("norm", normalize_alias(F.col("a.title")))
+    first = every.groupBy(*keys, "norm", F.col("a.source").alias("s"), F.col("a.country").alias("c")).agg(F.min(F.struct("pos", "a")).alias("m"))
+    return first.select(*keys, "m.pos", "m.a", "norm")
+
+
 def score_candidates(groups: DataFrame, ranked: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Scored candidates: local_id, rank, d (details), score, title_score, best_alias, year_score, runtime_score.
 
     catalogue: id, response (JSON text). The best alias is the first with the highest similarity to the group's title.
     """
     d = ranked.join(catalogue.select("id", F.from_json("response", DETAILS).alias("d")), "id").join(groups.select("local_id", "title", "year", "runtime_min"), "local_id")
-    names = d.select("local_id", "id", "title", F.posexplode(external_aliases(F.col("d"))).alias("pos", "a"))
+    names = distinct_aliases(d, ["local_id", "id", "title"], "d")
     names = names.withColumn("_sim", title_similarity("title", F.col("a.title")))
     best = names.groupBy("local_id", "id").agg(F.max_by(F.struct("_sim", F.col("a.title").alias("t")), F.struct("_sim", -F.col("pos"))).alias("b"))
     d = d.join(best, ["local_id", "id"], "left")
@@ -159,6 +166,11 @@ def not_run(groups: DataFrame) -> DataFrame:
     return groups.select("local_id", F.lit("NOT_RUN").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("margin"), F.lit("").alias("notes"), F.from_json(F.lit("null"), DETAILS).alias("top"))
 
 
+def no_candidates(spark: SparkSession) -> DataFrame:
+    """Scored candidates where there are none."""
+    return spark.createDataFrame([], f"local_id string, rank int, d {DETAILS}, score double, title_score double, best_alias string, year_score double, runtime_score double")
+
+
 def _listed(names: Column) -> Column:
     return F.array_join(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != ""), ", ")
 
@@ -180,8 +192,8 @@ def film_records(groups: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
     when = lambda c: F.when(accepted, or_empty(c.cast("string"))).otherwise("")
     films = films.withColumns({"_aliases": F.array_distinct(F.flatten("members.aliases")), "_files": F.flatten("members.files")})
     local = films.select("key", accepted.alias("ok"), F.col("p.top.id").alias("id"), F.explode("_aliases").alias("alias")).withColumns({"norm": normalize_alias("alias"), "fold": casefold("alias")})
-    outer = films.where(accepted).select("key", F.col("p.top.id").alias("id"), F.posexplode(external_aliases(top)).alias("pos", "a"))
-    outer = outer.withColumn("norm", normalize_alias(F.col("a.title"))).join(local.select("key", "norm").distinct(), ["key", "norm"], "left_anti")
+    outer = distinct_aliases(films.where(accepted).select("key", F.col("p.top.id").alias("id"), top.alias("top")), ["key", "id"], "top")
+    outer = outer.join(local.select("key", "norm").distinct(), ["key", "norm"], "left_anti")
     outer = outer.withColumn("_first", F.row_number().over(W.partitionBy("key", "norm").orderBy("pos"))).where("_first = 1")
     row = lambda k, i, a, s, c, t: [k.alias("Film Record ID"), i.alias("TMDb ID"), a.alias("Alias"), s.alias("Alias Source"), c.alias("Country"), t.alias("Status")]
     aliases = local.select(*row(F.col("key"), F.when(F.col("ok"), F.col("id")), F.col("alias"), F.lit("Local filename/title tag"), F.lit(""), F.lit("LOCAL")))

@@ -13,7 +13,9 @@ from cinelake.operators.records import inventory_records
 from cinelake.operators.similar import compared
 from cinelake.plans import media, reports
 from cinelake.sources import cache
-from cinelake.sources.snapshots import kept, written
+from cinelake.config import Settings
+from cinelake.plans.scan import film_layer, reports_of
+from cinelake.sources.snapshots import folder_state, kept, written
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def media_view(spark: SparkSession, d: str) -> DataFrame:
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     """The inventory records of the media view. Like an archive's, they are made once and read by many reports."""
-    return kept(spark, f"records {d}", lambda: _records(spark, d))
+    return kept(spark, f"records {folder_state(spark, f'{d}/part.parquet')}", lambda: _records(spark, d))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +90,7 @@ def q09(spark, d):
 
 def q10(spark, d):
     r = reports.metadata_review(records(spark, d))
-    return r.select(F.col("Path").alias("path"), F.col("Status").alias("status"), F.col("Filename Standard").alias("standard"), F.col("Error").alias("error"))
+    return r.select(*[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in r.columns])
 
 
 def q11(spark, d):
@@ -108,7 +110,8 @@ def q12(spark, d):
         return lambda todo: own.join(todo.select("path"), "path", "left_semi")
 
     files = docs.select("path", "size_bytes", F.lit("").alias("quick_hash"), F.lit("").alias("sha256"))
-    ends = F.concat(F.substring("content", 1, 64), F.lit("|"), F.col("size_bytes"))
+    long = F.length("content") > 64  # the first and the last 64 characters, and the size
+    ends = F.concat(F.substring("content", 1, 64), F.when(long, F.substring(F.col("content"), -64, 64)).otherwise(""), F.col("size_bytes"))
     return duplicates.hash_cascade(files, by(ends), by(F.col("content"))).select("path", "size_bytes", "quick_hash", "sha256")
 
 
@@ -175,7 +178,7 @@ def _catalogue(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.struct(F.array(F.struct(F.concat(F.lit("Other "), "title").alias("title"), F.lit("US").alias("iso_3166_1"))).alias("titles")).alias("alternative_titles"),
         )
     )
-    catalogue = g.where(~none).groupBy("id").agg(F.min(details).alias("response"))
+    catalogue = g.where(~none).groupBy("id").agg(F.min_by(details, "year").alias("response"))
     return g.drop("id"), search, catalogue
 
 
@@ -211,7 +214,8 @@ def q23(spark, d):
 
 
 def q24(spark, d):
-    return reports.summary(records(spark, d))
+    r = records(spark, d)
+    return reports_of(r, film_layer(r, Settings()), "2024-01-01 00:00:00")["Summary"]
 
 
 def q25(spark, d):
@@ -247,10 +251,30 @@ _G = """, g0 AS (
          round_even(median(CASE WHEN probed = 1 THEN seconds / 60.0 END), 1)::DOUBLE AS runtime_min, regexp_extract(norm, '([0-9]+)$', 1)::BIGINT + 1000 AS id
   FROM g0 GROUP BY norm, year
 )"""
-# the catalogue of the queries: ids divisible by 7 find nothing; by 3, a longer title and so a lower similarity
-_S = """, s AS (
-  SELECT *, 2 * length(title) * 100.0 / (2 * length(title) + 8) AS near, CASE WHEN year = '' OR year = '20XX' THEN 50.0 ELSE 100.0 END AS ys,
-         CASE WHEN year = '' OR year = '20XX' THEN 50.0 ELSE 100.0 END AS unused FROM g
+#: Probable copies: the rows of f with n3 > 1.
+_SAME = """, r AS (SELECT k, norm, known_year AS y, CASE WHEN probed = 1 THEN seconds::DOUBLE END AS sec, path FROM m5 WHERE length(norm) >= 3),
+  a AS (SELECT *, count(*) OVER t AS n1, coalesce(min(nullif(y, '')) OVER t <> max(nullif(y, '')) OVER t, false) AS years FROM r WINDOW t AS (PARTITION BY norm)),
+  b AS (SELECT *, CASE WHEN years THEN CASE WHEN y = '' THEN '?' ELSE y END ELSE '*' END AS yk FROM a WHERE n1 > 1),
+  same AS (SELECT *, count(*) OVER t AS n2, min(k) OVER t AS o1, coalesce(max(sec) OVER t - min(sec) OVER t > 120, false) AS wide FROM b WINDOW t AS (PARTITION BY norm, yk)),
+  e AS (SELECT *, CASE WHEN NOT wide THEN 0 WHEN sec IS NULL THEN -1 ELSE round_even(sec / 120, 0)::BIGINT END AS bucket FROM same WHERE n2 > 1),
+  f AS (SELECT *, count(*) OVER t AS n3, min(k) OVER t AS o2 FROM e WINDOW t AS (PARTITION BY norm, yk, bucket))"""
+# The matches of the queries' catalogue. An entry has the facts of its group with the first year; ids divisible by 7 find
+# nothing, and those divisible by 3 have a longer title, nearest to which is "Other" before the group's own: all of its
+# letters match, so its similarity is known.
+_MATCHED = """, entry AS (
+  SELECT c.id, c.year AS there, c.runtime_min AS lasts FROM g c JOIN (SELECT id, min(year) AS year FROM g GROUP BY id) USING (id, year)
+), parts AS (
+  SELECT g.*, id % 7 = 0 AS nothing, CASE WHEN id % 3 = 0 THEN round_even(200.0::DOUBLE * length(title) / (2 * length(title) + 6), 1)::DOUBLE ELSE 100.0 END::DOUBLE AS ts,
+         CASE WHEN year IN ('', '20XX') THEN 50 WHEN there IN ('', '20XX') THEN 35 ELSE CASE abs(try_cast(year AS INT) - try_cast(there AS INT)) WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 50 ELSE 0 END END::DOUBLE AS ys,
+         CASE WHEN runtime_min IS NULL OR lasts IS NULL THEN 50 WHEN abs(runtime_min - lasts) <= 2 THEN 100 WHEN abs(runtime_min - lasts) <= 5 THEN 85 WHEN abs(runtime_min - lasts) <= 10 THEN 60
+              WHEN abs(runtime_min - lasts) <= 20 THEN 25 ELSE 0 END::DOUBLE AS rs
+  FROM g JOIN entry USING (id)
+), scores AS (
+  SELECT *, round_even(ts * 0.55::DOUBLE + ys * 0.15::DOUBLE + 100::DOUBLE * 0.10::DOUBLE + 100::DOUBLE * 0.10::DOUBLE + rs * 0.10::DOUBLE, 1)::DOUBLE AS score FROM parts
+), d AS (
+  SELECT *, CASE WHEN nothing THEN 'NO_MATCH' WHEN score >= 90 AND ts >= 88 AND (year = '' OR ys >= 80) THEN 'HIGH_CONFIDENCE' ELSE 'REVIEW' END AS status,
+         CASE WHEN NOT nothing AND score >= 90 AND ts >= 88 AND (year = '' OR ys >= 80) THEN 'TMDB-' || id ELSE local_id END AS film
+  FROM scores
 )"""
 
 ORACLES = {
@@ -286,20 +310,22 @@ ORACLES = {
       filename AS current_filename, replace(filename, '.x264.mkv', '.H.264.mkv') AS proposed_filename, upper(vcodec) AS actual_video, '' AS encoder_tag, metadata_check, path
       FROM m5 WHERE rename_candidate = 'YES'""",
     "q10_metadata_review": media.DUCK
-    + " SELECT path, metadata_check AS status, standard, CASE WHEN probed = 0 THEN 'no document' ELSE '' END AS error FROM m5 WHERE metadata_check <> 'OK' AND NOT (metadata_check = 'LEGACY' AND rename_candidate = 'YES')",
+    + """ SELECT metadata_check AS status, standard AS filename_standard, filename, CASE defect WHEN 5 THEN 'clip ' || chr(CAST(97 + k % 26 AS INT)) || CAST(k % 1000 AS VARCHAR) WHEN 6 THEN title || ' S01E02' ELSE title END AS filename_title,
+      year, CASE defect WHEN 5 THEN '' ELSE source END AS source, CASE defect WHEN 5 THEN '' ELSE variant END AS variant, CASE defect WHEN 5 THEN '' ELSE res END AS name_resolution,
+      CASE WHEN probed = 1 THEN w || 'x' || h ELSE '' END AS actual_resolution, CASE WHEN probed = 1 THEN class ELSE '' END AS actual_res_class, resolution_match, CASE defect WHEN 5 THEN '' ELSE audio END AS name_audio,
+      CASE WHEN probed = 0 THEN '' WHEN acodec = 'eac3' THEN 'DDP' WHEN acodec = 'aac' THEN 'AAC' ELSE 'DD' END AS actual_audio, audio_match, CASE defect WHEN 5 THEN '' ELSE channels END AS name_channels,
+      CASE WHEN probed = 0 THEN '' WHEN achannels = 6 THEN '5.1' ELSE '2.0' END AS actual_channels, channels_match, CASE defect WHEN 5 THEN '' ELSE feature END AS name_audio_feature,
+      CASE WHEN probed = 1 AND k % 22 = 0 THEN 'Atmos' ELSE '' END AS actual_audio_feature, audio_features_match AS audio_feature_match, CASE defect WHEN 5 THEN '' ELSE video END AS name_video,
+      CASE WHEN probed = 1 THEN upper(vcodec) ELSE '' END AS actual_video, video_match,
+      CASE defect WHEN 5 THEN 'No recognizable technical boundary found' WHEN 1 THEN 'release year missing' WHEN 2 THEN 'placeholder year: 20XX' WHEN 3 THEN 'trailing annotation after video codec: -kass' ELSE '' END AS parser_notes,
+      CASE WHEN probed = 0 THEN 'no document' ELSE '' END AS error, path
+      FROM m5 WHERE metadata_check <> 'OK' AND NOT (metadata_check = 'LEGACY' AND rename_candidate = 'YES')""",
     "q11_exact_duplicates": """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), n AS (SELECT sha256 FROM h GROUP BY 1 HAVING count(*) > 1),
       r AS (SELECT sha256, row_number() OVER (ORDER BY sha256) AS duplicate_group FROM n) SELECT duplicate_group, sha256, doc_id AS path FROM h JOIN r USING (sha256)""",
     "q12_hash_cascade": """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS c, octet_length(encode(coalesce(text, ''))) AS size_bytes FROM documents),
-      a AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n1 FROM d), b AS (SELECT *, CASE WHEN n1 > 1 THEN sha256(substr(c, 1, 64) || '|' || size_bytes) ELSE '' END AS quick_hash FROM a),
+      a AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n1 FROM d), b AS (SELECT *, CASE WHEN n1 > 1 THEN sha256(substr(c, 1, 64) || CASE WHEN length(c) > 64 THEN right(c, 64) ELSE '' END || size_bytes) ELSE '' END AS quick_hash FROM a),
       e AS (SELECT *, count(*) OVER (PARTITION BY size_bytes, quick_hash) AS n2 FROM b) SELECT path, size_bytes, quick_hash, CASE WHEN quick_hash <> '' AND n2 > 1 THEN sha256(c) ELSE '' END AS sha256 FROM e""",
-    "q13_same_film": media.DUCK
-    + """, r AS (SELECT k, norm, known_year AS y, CASE WHEN probed = 1 THEN seconds::DOUBLE END AS sec, path FROM m5 WHERE length(norm) >= 3),
-      a AS (SELECT *, count(*) OVER t AS n1, coalesce(min(nullif(y, '')) OVER t <> max(nullif(y, '')) OVER t, false) AS years FROM r WINDOW t AS (PARTITION BY norm)),
-      b AS (SELECT *, CASE WHEN years THEN CASE WHEN y = '' THEN '?' ELSE y END ELSE '*' END AS yk FROM a WHERE n1 > 1),
-      c AS (SELECT *, count(*) OVER t AS n2, min(k) OVER t AS o1, coalesce(max(sec) OVER t - min(sec) OVER t > 120, false) AS wide FROM b WINDOW t AS (PARTITION BY norm, yk)),
-      e AS (SELECT *, CASE WHEN NOT wide THEN 0 WHEN sec IS NULL THEN -1 ELSE round_even(sec / 120, 0)::BIGINT END AS bucket FROM c WHERE n2 > 1),
-      f AS (SELECT *, count(*) OVER t AS n3, min(k) OVER t AS o2 FROM e WINDOW t AS (PARTITION BY norm, yk, bucket))
-      SELECT dense_rank() OVER (ORDER BY norm, o1, o2) AS possible_group, norm AS title, y AS year, sec AS seconds, path FROM f WHERE n3 > 1""",
+    "q13_same_film": media.DUCK + _SAME + " SELECT dense_rank() OVER (ORDER BY norm, o1, o2) AS possible_group, norm AS title, y AS year, sec AS seconds, path FROM f WHERE n3 > 1",
     "q14_best_versions": media.DUCK
     + """, r AS (SELECT *, CASE WHEN probed = 1 THEN round_even((s * 100000000 + k) * 8 / seconds::DOUBLE / 1000, 0)::INT END AS kbps FROM m5 WHERE length(norm) >= 3)
       SELECT norm AS normalized_title, count(*) AS versions, coalesce(string_agg(DISTINCT nullif(CASE defect WHEN 5 THEN '' ELSE variant END, ''), ', ' ORDER BY nullif(CASE defect WHEN 5 THEN '' ELSE variant END, '')), '') AS variants,
@@ -314,23 +340,42 @@ ORACLES = {
     "q18_scores": media.DUCK
     + """, x AS (SELECT k, round_even((k % 51 * 2)::DOUBLE * 0.55::DOUBLE + (k % 3 * 50)::DOUBLE * 0.15::DOUBLE + CASE WHEN k % 2 = 0 THEN 100 ELSE 20 END::DOUBLE * 0.10::DOUBLE + CASE WHEN k % 4 = 0 THEN 100 ELSE 35 END::DOUBLE * 0.10::DOUBLE
       + (k % 5 * 25)::DOUBLE * 0.10::DOUBLE, 1)::DOUBLE AS score FROM m5) SELECT k, score, score >= 70 AND k % 51 * 2 >= 88 AND k % 3 * 50 >= 80 AS high FROM x""",
-    "q16_": "",
+    "q20_film_records": media.DUCK
+    + _G
+    + _MATCHED
+    + """ SELECT film, CASE WHEN count(*) > 1 THEN 'HIGH_CONFIDENCE / MERGED' ELSE any_value(status) END AS status, sum(n)::INT AS files, CASE WHEN film LIKE 'TMDB-%' THEN 2 ELSE 1 END::BIGINT AS aliases
+      FROM d GROUP BY film""",
+    "q21_film_aliases": media.DUCK
+    + _G
+    + _MATCHED
+    + """ SELECT DISTINCT film, title AS alias, 'Local filename/title tag' AS source, 'LOCAL' AS status FROM d
+      UNION ALL SELECT DISTINCT film, 'Other ' || title, 'TMDb alternative title', 'TMDB' FROM d WHERE film LIKE 'TMDB-%'""",
+    "q22_review_rows": media.DUCK
+    + _G
+    + _MATCHED
+    + """ SELECT local_id, status, CASE WHEN NOT nothing THEN 1 END AS rank, CASE WHEN NOT nothing THEN score END AS score,
+      CASE WHEN nothing THEN 'TMDb search returned no candidates' ELSE 'best alias: ' || CASE WHEN id % 3 = 0 THEN 'Other ' ELSE '' END || title || '; margin: ' || printf('%.1f', score) END AS notes
+      FROM d WHERE status <> 'HIGH_CONFIDENCE'""",
     "q23_enrichment": media.DUCK
     + """ SELECT path, CASE WHEN defect IN (5, 6) THEN '' ELSE 'LOCAL-' || upper(substr(sha1(norm || '|' || known_year), 1, 12)) END AS film,
       CASE defect WHEN 6 THEN 'SKIPPED_TV_EPISODE' WHEN 5 THEN 'SKIPPED_UNPARSED' ELSE 'NOT_RUN' END AS status, CASE WHEN defect IN (5, 6) THEN '' ELSE title END AS title FROM m5""",
     "q24_summary": media.DUCK
+    + _G
+    + _SAME
     + """, c AS (SELECT * FROM (VALUES ('Files scanned', (SELECT count(*) FROM m5)), ('ffprobe errors', (SELECT count(*) FROM m5 WHERE probed = 0)),
       ('Filename OK', (SELECT count(*) FROM m5 WHERE standard = 'OK')), ('Filename legacy', (SELECT count(*) FROM m5 WHERE standard = 'LEGACY')),
       ('Filename review/unparsed', (SELECT count(*) FROM m5 WHERE standard IN ('REVIEW', 'UNPARSED'))), ('Metadata OK', (SELECT count(*) FROM m5 WHERE metadata_check = 'OK')),
       ('Metadata legacy', (SELECT count(*) FROM m5 WHERE metadata_check = 'LEGACY')), ('Metadata mismatch', (SELECT count(*) FROM m5 WHERE metadata_check = 'MISMATCH')),
       ('Metadata review', (SELECT count(*) FROM m5 WHERE metadata_check = 'REVIEW')), ('x264 rename candidates', (SELECT count(*) FROM m5 WHERE rename_candidate = 'YES')),
+      ('Film Records', (SELECT count(*) FROM g)), ('Title Alias rows', (SELECT count(*) FROM g)), ('TMDb review rows', 0), ('TMDb high-confidence files', 0),
       ('Files with English subs', (SELECT count(*) FROM m5 WHERE probed = 1 AND sub IN ('eng', 'ben'))), ('Files with 5.1+ audio', (SELECT count(*) FROM m5 WHERE probed = 1 AND achannels = 6)),
-      ('Files actual 1080-class+', (SELECT count(*) FROM m5 WHERE probed = 1 AND (w >= 1600 OR h >= 900))), ('Files actual 2160-class+', (SELECT count(*) FROM m5 WHERE probed = 1 AND (w >= 3000 OR h >= 1600)))) v(metric, value))
-      SELECT metric, value FROM c""",
+      ('Files actual 1080-class+', (SELECT count(*) FROM m5 WHERE probed = 1 AND (w >= 1600 OR h >= 900))), ('Files actual 2160-class+', (SELECT count(*) FROM m5 WHERE probed = 1 AND (w >= 3000 OR h >= 1600))),
+      ('Exact duplicate rows', (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM m5 GROUP BY k % 40) WHERE n > 1)), ('Possible same-film rows', (SELECT count(*) FROM f WHERE n3 > 1)),
+      ('Multi-version title groups', (SELECT count(*) FROM (SELECT norm FROM m5 WHERE length(norm) >= 3 GROUP BY norm HAVING count(*) > 1)))) v(metric, value))
+      SELECT metric, value::BIGINT::VARCHAR AS value FROM c UNION ALL SELECT 'Generated', '2024-01-01 00:00:00'""",
     "q25_record_cache": media.DUCK
     + """ SELECT filename AS path, CASE WHEN k % 6 = 0 THEN 'known' ELSE 'probe' END AS state FROM m5 UNION ALL
       SELECT 'snapshot new', count(*)::VARCHAR FROM m5 WHERE k % 6 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'snapshot {}', count(*)::VARCHAR FROM m5 WHERE k % 6 = 0 AND filename NOT IN (SELECT filename FROM m5 WHERE k % 6 <> 0) HAVING count(*) > 0""",
-    "q26_response_cache": """WITH e AS (SELECT (user_id % 500)::VARCHAR AS cache_key, max(ts) AS t FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY 1)
+    "q26_response_cache": """WITH e AS (SELECT user_id::VARCHAR AS cache_key, max(ts) AS t FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY 1)
       SELECT cache_key, strftime(t, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM e""",
 }
-del ORACLES["q16_"]

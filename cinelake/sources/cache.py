@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinelake.sources.snapshots import file_system, written
+
 #: Version of the records' schema; a snapshot of another version is not read.
 VERSION = 9
 
@@ -26,17 +30,49 @@ def snapshot_path(root: str, version: int = VERSION) -> str:
     return f"{root.rstrip('/')}/records-v{version}"
 
 
+SNAPSHOT = "path string, size_bytes long, mtime_ns long, record_json string"
+RESPONSES = "cache_key string, fetched_at timestamp, response_json string"
+
+
+def read_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The Parquet table in a folder; without one, no rows."""
+    path, system = file_system(spark, folder)
+    return spark.read.schema(schema).parquet(folder) if system.exists(path) else spark.createDataFrame([], schema)
+
+
 def read_snapshot(spark: SparkSession, root: str, version: int = VERSION) -> DataFrame:
     """The snapshot of this version; without one, no rows."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(snapshot_path(root, version))
-    schema = "path string, size_bytes long, mtime_ns long, record_json string"
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(snapshot_path(root, version))
+    return read_table(spark, snapshot_path(root, version), SNAPSHOT)
+
+
+def write_snapshot(df: DataFrame, root: str, version: int = VERSION) -> None:
+    """Replaces the snapshot of this version; it is written beside the old one, which df may read, and then takes its place."""
+    spark, target = df.sparkSession, snapshot_path(root, version)
+    beside = f"{target}-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    path, system = file_system(spark, target)
+    system.delete(path, True)
+    if not system.rename(file_system(spark, beside)[0], path):
+        raise OSError(f"{beside} could not take the place of {target}")
 
 
 def fresh_responses(cache: DataFrame, now, days: int = 30) -> DataFrame:
     """The latest response of each key that is at most ``days`` old (one day at least) at ``now`` (column)."""
     young = cache.where(F.col("fetched_at") >= now - F.make_dt_interval(F.lit(max(days, 1))))
-    order = W.partitionBy("cache_key").orderBy(F.desc("fetched_at"), "response_json")
-    return young.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    latest = F.max(F.struct("fetched_at", "response_json")).alias("latest")
+    return young.groupBy("cache_key").agg(latest).select("cache_key", "latest.*")
+
+
+def answered(requests: DataFrame, ask: Callable[[DataFrame], DataFrame], folder: str, days: int = 30) -> DataFrame:
+    """cache_key, response, error for requests (cache_key and what ``ask`` needs): from the cache in the folder if it has
+    young ones, else asked, once per key, and added to the cache unless they failed.
+
+    ask: gets requests and returns cache_key, response, error.
+    """
+    spark = requests.sparkSession
+    known = fresh_responses(read_table(spark, folder, RESPONSES), F.current_timestamp(), days)
+    met = written(requests.dropDuplicates(["cache_key"]).join(known, "cache_key", "left"), "requests")
+    fresh = written(ask(met.where("response_json IS NULL").drop("fetched_at", "response_json")), "answers")
+    good = fresh.where("response IS NOT NULL AND error = ''")
+    good.select("cache_key", F.current_timestamp().alias("fetched_at"), F.col("response").alias("response_json")).write.mode("append").parquet(folder)
+    return met.where("response_json IS NOT NULL").select("cache_key", F.col("response_json").alias("response"), F.lit("").alias("error")).unionByName(fresh)

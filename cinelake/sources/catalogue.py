@@ -1,4 +1,4 @@
-"""The external film catalogue: cached HTTP requests from executor tasks, or prepared responses."""
+"""The external film catalogue: HTTP requests from executor tasks, answered from a cache of responses where it can."""
 
 from __future__ import annotations
 
@@ -12,6 +12,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cinelake.sources.cache import answered
+from cinelake.sources.snapshots import written
 
 
 @dataclass(frozen=True)
@@ -21,7 +25,7 @@ class Catalogue:
     base: str = "https://api.themoviedb.org/3"
     token: str = ""
     key: str = ""
-    language: str = "th-TH"
+    language: str = "en-US"
     timeout: float = 20
     fetch: Callable[[str, dict, float], str] | None = None
 
@@ -58,39 +62,64 @@ class Catalogue:
                 time.sleep(attempt)
         raise RuntimeError("no attempt left")
 
+    # Paths and parameters of the two requests.
+    def search_request(self, title: str, year: str) -> tuple[str, dict]:
+        return "/search/movie", {"query": title, "language": self.language, "include_adult": "false", "year": year if year.isdigit() else ""}
+
+    def details_request(self, movie: int) -> tuple[str, dict]:
+        return f"/movie/{movie}", {"language": self.language, "append_to_response": "alternative_titles,external_ids,credits"}
+
     def search(self, title: str, year: str) -> str:
         """Search by title and year; without results and with a year, once more without it."""
-        params = {"query": title, "language": self.language, "include_adult": "false"}
-        own = self.get("/search/movie", params | {"year": year if year.isdigit() else ""})
+        own = self.get(*self.search_request(title, year))
         if year and not json.loads(own).get("results"):
-            return self.get("/search/movie", params)
+            return self.get(*self.search_request(title, ""))
         return own
 
-    def details(self, movie: int) -> str:
-        return self.get(f"/movie/{movie}", {"language": self.language, "append_to_response": "alternative_titles,external_ids,credits"})
+
+def _keyed(rows: DataFrame, catalogue: Catalogue, request: Callable[..., tuple[str, dict]], names: list[str]) -> DataFrame:
+    """rows with the request that ``request`` makes of the named columns: path, params (JSON text), cache_key."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [request(*x) for x in batch[names].itertuples(index=False)]
+            yield batch.assign(path=[p for p, _ in made], params=[json.dumps(q) for _, q in made], cache_key=[catalogue.cache_key(p, q) for p, q in made])
+
+    return rows.mapInPandas(each, fields + ", path string, params string, cache_key string")
 
 
-def searched(groups: DataFrame, catalogue: Catalogue, tasks: int = 2) -> DataFrame:
-    """local_id, response, error for groups; few tasks, so that the service isn't flooded."""
+def asked(requests: DataFrame, catalogue: Catalogue, tasks: int = 2) -> DataFrame:
+    """cache_key, response, error of requests; few tasks, so that the service isn't flooded."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for own, title, year in zip(batch["local_id"], batch["title"], batch["year"], strict=True):
+            for key, path, params in zip(batch["cache_key"], batch["path"], batch["params"], strict=True):
                 try:
-                    rows.append((own, catalogue.search(title, year), ""))
+                    response = catalogue.get(path, json.loads(params))
+                    json.loads(response)
+                    rows.append((key, response, ""))
                 except (RuntimeError, ValueError) as e:
-                    rows.append((own, None, str(e)))
-            yield pd.DataFrame(rows, columns=["local_id", "response", "error"])
+                    rows.append((key, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["cache_key", "response", "error"])
 
-    return groups.select("local_id", "title", "year").coalesce(tasks).mapInPandas(each, "local_id string, response string, error string")
+    return requests.select("cache_key", "path", "params").coalesce(tasks).mapInPandas(each, "cache_key string, response string, error string")
 
 
-def detailed(ranked: DataFrame, catalogue: Catalogue, tasks: int = 2) -> DataFrame:
-    """id, response for the distinct ids of ranked candidates."""
+def searched(groups: DataFrame, catalogue: Catalogue, folder: str, days: int = 30) -> DataFrame:
+    """local_id, response, error for groups: a search by title and year, and where that finds nothing, by title alone."""
+    ask = lambda r: asked(r, catalogue)
+    keyed = written(_keyed(groups.select("local_id", "title", "year"), catalogue, catalogue.search_request, ["title", "year"]), "searches")
+    first = keyed.join(answered(keyed, ask, folder, days), "cache_key").select("local_id", "title", "year", "response", "error")
+    first = written(first, "found")
+    nothing = (F.col("year") != "") & (F.col("error") == "") & (F.coalesce(F.json_array_length(F.get_json_object("response", "$.results")), F.lit(0)) == 0)
+    again = written(_keyed(first.where(nothing).select("local_id", "title", F.lit("").alias("none")), catalogue, catalogue.search_request, ["title", "none"]), "searches")
+    second = again.join(answered(again, ask, folder, days), "cache_key").select("local_id", "response", "error")
+    return first.where(~nothing).select("local_id", "response", "error").unionByName(second)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(i, catalogue.details(int(i))) for i in batch["id"]], columns=["id", "response"])
 
-    return ranked.select("id").distinct().coalesce(tasks).mapInPandas(each, "id long, response string")
+def detailed(ranked: DataFrame, catalogue: Catalogue, folder: str, days: int = 30) -> DataFrame:
+    """id, response, error for the distinct ids of ranked candidates."""
+    keyed = written(_keyed(ranked.select("id").distinct(), catalogue, catalogue.details_request, ["id"]), "details")
+    return keyed.join(answered(keyed, lambda r: asked(r, catalogue), folder, days), "cache_key").select("id", "response", "error")

@@ -11,15 +11,16 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cinelake.functions.text import casefold
 from cinelake.functions.tokens import EXTENSIONS, SKIPPED_FOLDERS
+from cinelake.operators.order import numbered
 
 SCHEMA = "path string, root string, filename string, extension string, size_bytes long, mtime_ns long"
 CHUNK, BLOCK = 4 << 20, 8 << 20
+#: The folder that holds this package.
+HOME = Path(__file__).resolve().parents[2]
 
 
 class ArchiveListing(DataSource):
@@ -84,10 +85,10 @@ class _Reader(DataSourceReader):
 
 
 def list_archive(spark, roots: list[str]) -> DataFrame:
-    """The listing with ``ord``, its place in the order of the case-folded paths. Numbering gathers paths only."""
+    """The listing with ``ord``, its place in the order of the case-folded paths, from 1."""
     spark.dataSource.register(ArchiveListing)
     df = spark.read.format("archive_listing").option("roots", "\n".join(roots)).load()
-    return df.withColumn("ord", F.row_number().over(W.orderBy(casefold("path"), "path")).cast("long"))
+    return numbered(df.withColumn("_fold", casefold("path")), ["_fold", "path"], "ord").drop("_fold")
 
 
 def quick_hash(path: str, chunk: int = CHUNK) -> str:
@@ -128,10 +129,10 @@ def hashed(files: DataFrame, kind: str) -> DataFrame:
 
 
 def find_ffprobe(explicit: str = "") -> str:
-    """The given program, or the one beside this package's caller, or the one on the path."""
+    """The given program, or the one in the folder of this package, or the one on the path."""
     if explicit and os.path.isfile(explicit):
         return explicit
-    for beside in (Path.cwd() / "ffprobe.exe", Path.cwd() / "ffprobe"):
+    for beside in (HOME / "ffprobe.exe", HOME / "ffprobe"):
         if beside.is_file():
             return str(beside)
     if found := shutil.which("ffprobe"):

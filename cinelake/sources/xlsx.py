@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
-# The colour of each status.
+# The colour of each status, and the columns that hold one.
 COLOURS = {
-    "OK": "C6EFCE", "SAFE": "C6EFCE", "HIGH_CONFIDENCE": "C6EFCE", "LEGACY": "FCE4D6", "REVIEW": "FFEB9C", "UNPARSED": "FFEB9C",
-    "NO_MATCH": "FFEB9C", "MISMATCH": "FFC7CE", "ERROR": "FFC7CE",
+    "OK": "E2F0D9", "SAFE": "E2F0D9", "HIGH_CONFIDENCE": "E2F0D9", "HIGH_CONFIDENCE / MERGED": "E2F0D9", "LEGACY": "FCE4D6", "REVIEW": "FFF2CC",
+    "UNPARSED": "FFF2CC", "NO_MATCH": "FFF2CC", "MISMATCH": "F4CCCC", "ERROR": "F4CCCC",
 }
+STATUSES = {
+    "Status", "Filename Standard", "Resolution Match", "Audio Match", "Channels Match", "Audio Feature Match", "Video Match", "Metadata Check",
+    "Rename Status", "Match Status", "TMDb Match",
+}
+#: Rows that a sheet of the format can hold, the labels included.
+MOST_ROWS = 1 << 20
 _FILLS = sorted(set(COLOURS.values()))
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -25,7 +33,7 @@ def column_name(i: int) -> str:
     return out
 
 
-def _cell(ref: str, value) -> str:
+def _cell(ref: str, value, status: bool = False) -> str:
     if value is None or value == "" or value is False:
         return ""
     if value is True:
@@ -33,7 +41,7 @@ def _cell(ref: str, value) -> str:
     if isinstance(value, int | float):
         return f'<c r="{ref}"><v>{value}</v></c>'
     text = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")
-    style = f' s="{2 + _FILLS.index(COLOURS[text])}"' if text in COLOURS else ""
+    style = f' s="{2 + _FILLS.index(COLOURS[text])}"' if status and text in COLOURS else ""
     return f'<c r="{ref}" t="inlineStr"{style}><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
@@ -46,10 +54,41 @@ def _styles() -> str:
     )
 
 
-def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
-    """Writes one sheet per DataFrame: bold labels, frozen first row, filter, coloured statuses. No rows: "No rows"."""
+def _sheet(out, df: DataFrame, rows: Iterator, widths: dict[str, int], fixed: int, most: int) -> bool:
+    """Writes rows as one sheet, as many as it can hold; whether there are more."""
+    put = lambda x: out.write(x.encode())
+    pane = f'<pane {f'xSplit="{fixed}" ' if fixed else ""}ySplit="1" topLeftCell="{column_name(fixed)}2" activePane="bottom{"Right" if fixed else "Left"}" state="frozen"/>'
+    columns = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{widths.get(c, widths.get("", 18))}" customWidth="1"/>' for k, c in enumerate(df.columns))
+    put(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews><cols>{columns}</cols><sheetData>')
+    n = 1
+    while n < most and (row := next(rows, None)) is not None:
+        if n == 1:
+            put('<row r="1">' + "".join(f'<c r="{column_name(k)}1" t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for k, c in enumerate(df.columns)) + "</row>")
+        n += 1
+        put(f'<row r="{n}">' + "".join(_cell(f"{column_name(k)}{n}", v, df.columns[k] in STATUSES) for k, v in enumerate(row)) + "</row>")
+    if n == 1:
+        put('<row r="1"><c r="A1" t="inlineStr"><is><t>No rows</t></is></c></row>')
+    put("</sheetData>" + (f'<autoFilter ref="A1:{column_name(len(df.columns) - 1)}{n}"/>' if n > 1 else "") + "</worksheet>")
+    return n == most
+
+
+def write_workbook(path: str, sheets: dict[str, DataFrame], widths: dict[str, dict[str, int]] | None = None, fixed: dict[str, int] | None = None, most: int = MOST_ROWS) -> None:
+    """Writes one sheet per DataFrame: bold labels, frozen first row (and ``fixed`` columns), filter, coloured statuses, column
+    widths (18 if not given, or what "" says). No rows: "No rows". Rows past what a sheet holds go on in further sheets with
+    a number after the name."""
+    names: list[str] = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(sheets)))
+        for name, df in sheets.items():
+            rows, part, more = df.toLocalIterator(), 1, True
+            while more:
+                end = f" ({part})" if part > 1 else ""
+                names.append(name[: 31 - len(end)] + end)
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
+                    more = _sheet(out, df, rows, (widths or {}).get(name, {}), (fixed or {}).get(name, 0), most)
+                if more:  # unless the last row was the sheet's last, too
+                    head = next(rows, None)
+                    more, rows, part = head is not None, itertools.chain([head], rows), part + 1
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(names)))
         z.writestr(
             "[Content_Types].xml",
             f'{_HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
@@ -58,21 +97,8 @@ def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
         )
         rels = "http://schemas.openxmlformats.org/package/2006/relationships"
         z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{rels}"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(sheets))
-        z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{i + 1}" Type="{_REL}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{rels}">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{_REL}/styles" Target="styles.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(names))
+        z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i + 1}" Type="{_REL}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(names)))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{rels}">{links}<Relationship Id="rId{len(names) + 1}" Type="{_REL}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", _styles())
-        for i, df in enumerate(sheets.values()):
-            with z.open(f"xl/worksheets/sheet{i + 1}.xml", "w") as out:
-                put = lambda x: out.write(x.encode())  # noqa: B023, E731
-                put(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>')
-                n = 1
-                for row in df.toLocalIterator():
-                    if n == 1:
-                        put('<row r="1">' + "".join(f'<c r="{column_name(k)}1" t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for k, c in enumerate(df.columns)) + "</row>")
-                    n += 1
-                    put(f'<row r="{n}">' + "".join(_cell(f"{column_name(k)}{n}", v) for k, v in enumerate(row)) + "</row>")
-                if n == 1:
-                    put('<row r="1"><c r="A1" t="inlineStr"><is><t>No rows</t></is></c></row>')
-                put("</sheetData>" + (f'<autoFilter ref="A1:{column_name(len(df.columns) - 1)}{n}"/>' if n > 1 else "") + "</worksheet>")
