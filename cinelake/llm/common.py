@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,39 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OPENED: dict[str, SparkSession] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset.
-
-    Unset on a local master means a temporary folder (one machine holds every task); unset on a cluster means a
-    folder below the warehouse, which is shared by definition.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file://" + os.path.join(tempfile.gettempdir(), "cinelake-scratch")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
+from cinelake.sources.snapshots import new_path
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; everything below it goes when the driver ends."""
-    home = f"{scratch_root(spark)}/cinelake-{spark.sparkContext.applicationId}"
-    if home not in _OPENED:
-        _OPENED[home] = spark
-        atexit.register(_drop, home)
-    return f"{home}/{label}-{uuid.uuid4().hex}"
-
-
-def _drop(home: str) -> None:
-    spark = _OPENED.pop(home, None)
-    if spark is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(home)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """A new path in the folder that all executors share (spark.checkpoint.dir, or one of our own where it is unset);
+    everything goes when the driver ends."""
+    return new_path(spark, label)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
