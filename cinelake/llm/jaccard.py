@@ -24,6 +24,8 @@ _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 #: Shingles and sets that one verification task holds at most at once, unless a single text has more.
 TASK_SHINGLES, TASK_SETS = 1 << 21, 2048
+#: Tasks over which the nodes of one leader spread where facts of leaders are joined to them.
+SPREAD = 32
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +277,14 @@ def _verify(rows: DataFrame, groups: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*groups).applyInArrow(run, "a long, b long")
 
 
+def _with_lead_facts(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """rows (lead, node, ...) with the facts of their leaders, one row a leader, dealt by leader and a salt of the node, so
+    that a very common leader's rows are in SPREAD tasks. Each fact is repeated as often: for few leaders only."""
+    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SPREAD)).cast("int"))
+    return rows.join(salted, ["lead", "__salt"], how).drop("__salt")
+
+
 def jaccard_classes(
     df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS
 ) -> DataFrame:
@@ -382,7 +392,9 @@ def jaccard_classes(
     needed = F.ceil(F.greatest(F.sum("__n") / task_shingles, F.count(F.lit(1)) / task_sets)).cast("int")
     weight = pairs.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k")).groupBy("lead").agg(needed.alias("parts"))
     weight = materialize(weight, "leaders")
-    members = pairs.join(weight, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # leaders of several parts have over task_sets nodes or task_shingles shingles each, so they are few
+    members = _with_lead_facts(pairs, weight.where("parts > 1"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     leads = weight.select("lead", F.col("lead").alias("node"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = materialize(members.select("lead", "node", "parts", "part").unionByName(leads), "members")
 
@@ -430,9 +442,9 @@ def jaccard_classes(
         loose = large.join(direct, ["lead", "node"], "left_anti").where("lead <> node")
         loose = loose.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k"))
         blocks = loose.groupBy("lead").agg(needed.alias("blocks"))
-        loose = loose.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        loose = _with_lead_facts(loose, blocks, "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         loose = loose.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node")
-        again = large.join(blocks, "lead").select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
+        again = _with_lead_facts(large, blocks, "inner").select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
         again = again.unionByName(loose).distinct().join(sets, F.col("node") == F.col("__node")).select("lead", "part", "block", "node", "grams")
         links = links.unionByName(materialize(_verify(again, ["lead", "part", "block"], percent), "links"))
 
