@@ -15,6 +15,7 @@ from cinelake.plans import media, reports
 from cinelake.sources import cache
 from cinelake.config import Settings
 from cinelake.plans.scan import film_layer, reports_of
+from cinelake.sources.files import CHUNK
 from cinelake.sources.snapshots import folder_state, kept, written
 
 
@@ -110,8 +111,8 @@ def q12(spark, d):
         return lambda todo: own.join(todo.select("path"), "path", "left_semi")
 
     files = docs.select("path", "size_bytes", F.lit("").alias("quick_hash"), F.lit("").alias("sha256"))
-    long = F.length("content") > 64  # the first and the last 64 characters, and the size
-    ends = F.concat(F.substring("content", 1, 64), F.when(long, F.substring(F.col("content"), -64, 64)).otherwise(""), F.col("size_bytes"))
+    long = F.length("content") > CHUNK  # the first and the last 4 Mi characters, and the size
+    ends = F.concat(F.substring("content", 1, CHUNK), F.when(long, F.substring(F.col("content"), -CHUNK, CHUNK)).otherwise(""), F.col("size_bytes"))
     return duplicates.hash_cascade(files, by(ends), by(F.col("content"))).select("path", "size_bytes", "quick_hash", "sha256")
 
 
@@ -210,7 +211,7 @@ def q23(spark, d):
     g = films.local_groups(r)
     enrichment = films.film_records(g, films.not_run(g))["enrichment"].unionByName(films.skipped_enrichment(r))
     sheet = reports.inventory(r, enrichment)
-    return sheet.select(F.col("Path").alias("path"), F.col("Film Record ID").alias("film"), F.col("TMDb Match").alias("status"), F.col("Canonical Title").alias("title"))
+    return sheet.toDF(*reports.fields(reports.INVENTORY))
 
 
 def q24(spark, d):
@@ -323,7 +324,7 @@ ORACLES = {
     "q11_exact_duplicates": """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), n AS (SELECT sha256 FROM h GROUP BY 1 HAVING count(*) > 1),
       r AS (SELECT sha256, row_number() OVER (ORDER BY sha256) AS duplicate_group FROM n) SELECT duplicate_group, sha256, doc_id AS path FROM h JOIN r USING (sha256)""",
     "q12_hash_cascade": """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS c, octet_length(encode(coalesce(text, ''))) AS size_bytes FROM documents),
-      a AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n1 FROM d), b AS (SELECT *, CASE WHEN n1 > 1 THEN sha256(substr(c, 1, 64) || CASE WHEN length(c) > 64 THEN right(c, 64) ELSE '' END || size_bytes) ELSE '' END AS quick_hash FROM a),
+      a AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n1 FROM d), b AS (SELECT *, CASE WHEN n1 > 1 THEN sha256(substr(c, 1, 4194304) || CASE WHEN length(c) > 4194304 THEN right(c, 4194304) ELSE '' END || size_bytes) ELSE '' END AS quick_hash FROM a),
       e AS (SELECT *, count(*) OVER (PARTITION BY size_bytes, quick_hash) AS n2 FROM b) SELECT path, size_bytes, quick_hash, CASE WHEN quick_hash <> '' AND n2 > 1 THEN sha256(c) ELSE '' END AS sha256 FROM e""",
     "q13_same_film": media.DUCK + _SAME + " SELECT dense_rank() OVER (ORDER BY norm, o1, o2) AS possible_group, norm AS title, y AS year, sec AS seconds, path FROM f WHERE n3 > 1",
     "q14_best_versions": media.DUCK
@@ -357,8 +358,32 @@ ORACLES = {
       CASE WHEN nothing THEN 'TMDb search returned no candidates' ELSE 'best alias: ' || CASE WHEN id % 3 = 0 THEN 'Other ' ELSE '' END || title || '; margin: ' || printf('%.1f', score) END AS notes
       FROM d WHERE status <> 'HIGH_CONFIDENCE'""",
     "q23_enrichment": media.DUCK
-    + """ SELECT path, CASE WHEN defect IN (5, 6) THEN '' ELSE 'LOCAL-' || upper(substr(sha1(norm || '|' || known_year), 1, 12)) END AS film,
-      CASE defect WHEN 6 THEN 'SKIPPED_TV_EPISODE' WHEN 5 THEN 'SKIPPED_UNPARSED' ELSE 'NOT_RUN' END AS status, CASE WHEN defect IN (5, 6) THEN '' ELSE title END AS title FROM m5""",
+    + """ SELECT filename, path, CASE WHEN defect IN (5, 6) THEN '' ELSE 'LOCAL-' || upper(substr(sha1(norm || '|' || known_year), 1, 12)) END AS film_record_id,
+      CASE WHEN defect IN (5, 6) THEN '' ELSE title END AS canonical_title, '' AS original_thai_title, NULL::BIGINT AS tmdb_id, '' AS imdb_id,
+      CASE defect WHEN 6 THEN 'SKIPPED_TV_EPISODE' WHEN 5 THEN 'SKIPPED_UNPARSED' ELSE 'NOT_RUN' END AS tmdb_match_status, NULL::DOUBLE AS tmdb_match_confidence,
+      CASE defect WHEN 5 THEN norm WHEN 6 THEN title || ' S01E02' ELSE title END AS filename_title, year AS filename_year,
+      CASE defect WHEN 5 THEN '' ELSE source END AS streaming_source, CASE defect WHEN 5 THEN '' ELSE release_type END AS release_type,
+      CASE defect WHEN 5 THEN '' ELSE variant END AS filename_variant, CASE defect WHEN 5 THEN '' ELSE res END AS name_resolution,
+      CASE WHEN probed = 1 THEN w || 'x' || h ELSE '' END AS resolution, CASE WHEN probed = 1 THEN class ELSE '' END AS actual_resolution_class, resolution_match,
+      CASE defect WHEN 5 THEN '' ELSE audio END AS name_audio, CASE WHEN probed = 0 THEN '' WHEN acodec = 'eac3' THEN 'DDP' WHEN acodec = 'aac' THEN 'AAC' ELSE 'DD' END AS primary_audio_codec,
+      audio_match, CASE defect WHEN 5 THEN '' ELSE channels END AS name_channels, CASE WHEN probed = 0 THEN '' WHEN achannels = 6 THEN '5.1' ELSE '2.0' END AS primary_audio_channels,
+      channels_match, CASE defect WHEN 5 THEN '' ELSE feature END AS name_audio_features, CASE WHEN probed = 1 AND k % 22 = 0 THEN 'Atmos' ELSE '' END AS actual_audio_features,
+      audio_features_match, CASE defect WHEN 5 THEN '' ELSE video END AS name_video, CASE WHEN probed = 1 THEN upper(vcodec) ELSE '' END AS video_codec, video_match,
+      '' AS video_encoder, standard AS filename_standard, metadata_check,
+      CASE defect WHEN 5 THEN 'No recognizable technical boundary found' WHEN 1 THEN 'release year missing' WHEN 2 THEN 'placeholder year: 20XX' WHEN 3 THEN 'trailing annotation after video codec: -kass' ELSE '' END AS filename_parse_notes,
+      rename_candidate, CASE WHEN rename_candidate = '' THEN '' WHEN resolution_match IN ('OK', 'LEGACY') AND audio_match IN ('OK', 'LEGACY') AND channels_match IN ('OK', 'LEGACY') THEN 'SAFE' ELSE 'REVIEW' END AS rename_status,
+      CASE WHEN rename_candidate = '' THEN '' ELSE replace(filename, '.x264.mkv', '.H.264.mkv') END AS rename_target, round_even((s * 100000000 + k) / 1073741824.0::DOUBLE, 3)::DOUBLE AS size_gib,
+      CASE WHEN probed = 0 THEN '' ELSE (seconds // 3600) || ':' || lpad(CAST(seconds % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seconds % 60 AS VARCHAR), 2, '0') END AS duration_text,
+      CASE WHEN probed = 1 THEN 'matroska,webm' ELSE '' END AS container, CASE WHEN probed = 1 THEN round_even((s * 100000000 + k) * 8 / seconds::DOUBLE / 1000, 0)::INT END AS computed_bitrate_kbps,
+      CASE WHEN probed = 1 THEN 4000 END::INT AS overall_bitrate_kbps, '' AS video_profile, CASE WHEN probed = 1 THEN 23.976 END::DOUBLE AS fps, CASE WHEN probed = 1 THEN pix ELSE '' END AS pixel_format,
+      CASE WHEN probed = 0 OR pix = '' THEN '' WHEN pix LIKE '%10%' THEN '10' WHEN pix LIKE '%12%' THEN '12' ELSE '8' END AS bit_depth,
+      CASE WHEN probed = 0 THEN '' WHEN transfer = 'smpte2084' THEN 'HDR10/PQ' WHEN transfer = 'arib-std-b67' THEN 'HLG' WHEN pix LIKE '%10%' THEN '10-bit / BT.2020' ELSE '' END AS hdr,
+      NULL::INT AS video_bitrate_kbps, CASE WHEN probed = 1 THEN 1 + second ELSE 0 END AS audio_tracks,
+      CASE WHEN probed = 0 THEN '' ELSE CASE WHEN second = 1 THEN 'MP3 2ch | ' ELSE '' END || upper(acodec) || CASE WHEN k % 22 = 0 THEN ' Dolby Atmos' ELSE '' END || ' ' || achannels || 'ch' END AS audio_summary,
+      CASE WHEN probed = 1 THEN achannels END AS max_audio_channels, probed = 1 AND achannels = 6 AS has_51, CASE WHEN probed = 1 AND sub <> '' THEN 1 ELSE 0 END AS subtitle_tracks,
+      CASE WHEN probed = 1 AND sub <> '' THEN sub || ' SUBRIP' ELSE '' END AS subtitle_summary, probed = 1 AND sub IN ('eng', 'ben') AS has_english_sub, CASE WHEN probed = 1 THEN title ELSE '' END AS title_tag,
+      norm AS normalized_title, '' AS quick_hash, sha256((k % 40)::VARCHAR) AS sha256, '2023-11-14 22:13:20' AS modified, probed = 1 AS ffprobe_ok, CASE WHEN probed = 0 THEN 'no document' ELSE '' END AS error
+      FROM m5""",
     "q24_summary": media.DUCK
     + _G
     + _SAME
