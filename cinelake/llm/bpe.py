@@ -205,7 +205,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        library = Tokenizer.from_file(path)
+        self.normalize, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.most_words = most_words
         self._reset()
 
@@ -219,7 +220,7 @@ class Encoder:
         """For each pre-token of the batch: its row in ``ids`` and ``text``; and where each text's pre-tokens start."""
         if len(self.row) > self.most_words:
             self._reset()
-        p = Pretokens(texts, self.normalize)
+        p = Pretokens(texts, self._cut)
         keys = np.where(p.special > 0, p.special.astype(np.uint64), span_hashes(p.data, p.starts, p.ends))
         distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         row = self.row
@@ -252,6 +253,11 @@ class Encoder:
         special = dict(zip(v.special, SPECIAL, strict=True))
         return " ".join([special.get(i) or v.names[i] for i in np.frombuffer(ids, "<u4").tolist()]).encode()
 
+    def _cut(self, text: str) -> list[str]:
+        """Pre-tokens as the library cuts them, whose letters are those of its own version of Unicode."""
+        text = self.normalize(text)
+        return [text[a:b] for _, (a, b) in self.pieces(text)]
+
     def encode_and_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text and the text they decode to. Names of tokens don't depend on their neighbours, so the
         decoded text is joined from the decoded words."""

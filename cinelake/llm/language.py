@@ -7,24 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import mix, slices
-from cinelake.llm.words import Pretokens, span_hashes
+from cinelake.llm.words import PLAIN, Pretokens, span_hashes
 
 ORDER, DISCOUNT, GROUP = 5, 0.75, 32
 _HEAD, _TAIL = 0x110000, 0x110001  # stand before and after every word
 
 
-def _normal(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+def _cut(text: str) -> list[str]:
+    return regex.findall(PLAIN, unicodedata.normalize("NFC", text).lower())
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of letters of a batch: the bytes, each run's start and end in them, and its text."""
-    p = Pretokens(texts, _normal, special=False)
+    p = Pretokens(texts, _cut, special=False, contractions=False)
     if len(p.starts) == 0:
         return p.data, p.starts, p.ends, p.owner
     first = p.data[p.starts]

@@ -9,18 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import mix, slices
-from cinelake.llm.words import Pretokens, span_hashes
+from cinelake.llm.words import PRETOKEN, Pretokens, span_hashes
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND, CHAR_ROWS = 8, 8, 8, 8, 2048
 
 
-def _normal(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+def _cut(text: str) -> list[str]:
+    return regex.findall(PRETOKEN, unicodedata.normalize("NFC", text).lower())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,7 +51,7 @@ class Tokens:
 
 def tokens_of(texts: list[str]) -> Tokens:
     """Lower-cased runs of letters, digits one by one, and runs of other signs; with the hashed 3-grams of their bytes."""
-    p = Pretokens(texts, _normal, special=False)
+    p = Pretokens(texts, _cut, special=False)
     keys = span_hashes(p.data, p.starts, p.ends) if len(p.data) else np.zeros(len(p.starts), np.uint64)
     hashes, at, rows = np.unique(keys, return_index=True, return_inverse=True)
     start, size = p.starts[at], p.ends[at] - p.starts[at]
@@ -304,14 +305,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 500, clean: i
     """At most ``toxic`` and ``clean`` labelled texts of at most ``longest`` characters, picked by a hash of the id.
 
     The bound is the whole cost of training, whatever the input's size. A label that repeats for an id counts once (the
-    largest); null ids, labels and texts are left out.
+    largest), and of an id's texts the least; null ids, labels and texts are left out.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     own = own.groupBy("id").agg(F.max("y").alias("y"))
     pick = own.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(toxic).unionByName(own.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(clean))
     text = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
     # at most toxic + clean rows of two numbers are broadcast
-    rows = text.join(F.broadcast(pick), F.col("d") == F.col("id")).select("id", "y", "text").dropDuplicates(["id"]).collect()
+    rows = text.join(F.broadcast(pick), F.col("d") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     return sorted(rows, key=lambda x: x.id)
 
 

@@ -17,6 +17,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 
 #: The pre-token pattern, white space and special tokens of the vocabulary file.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -83,9 +84,9 @@ _SPLIT_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 class Pretokens:
     """Pre-tokens of a batch of texts: spans of ``data`` with the text each belongs to. special: 0, or 1 + its index."""
 
-    def __init__(self, texts: list[str], normalize, special: bool = True):
-        """normalize: the library's own normalizer, for texts that the byte tables don't cover. special: whether the
-        strings of the special tokens are tokens of their own."""
+    def __init__(self, texts: list[str], cut, special: bool = True, contractions: bool = True):
+        """cut: the pre-tokens of a text that the byte tables don't cover, in order. special: whether the strings of the special
+        tokens are tokens of their own. contractions: whether the byte tables keep an apostrophe with s, t, re, ve, m, ll, d."""
         parts: list[tuple[int, bytes, list | None]] = []
         for k, text in enumerate(texts):
             pieces = _SPLIT_SPECIAL.split(text) if special and "<|" in text else [text]
@@ -98,12 +99,12 @@ class Pretokens:
                 if low.isascii() or max(low) < "ɐ":
                     parts.append((k, raw, None))
                 else:
-                    found = regex.findall(PRETOKEN, normalize(piece))
+                    found = cut(piece)
                     parts.append((k, "".join(found).encode("utf-8"), [len(x.encode("utf-8")) for x in found]))
         starts, ends, owner, special = [], [], [], []
         plain = [(k, raw) for k, raw, how in parts if how is None]
         self.data = np.frombuffer(b" ".join([r for _, r in plain] + [b""]), np.uint8) if plain else np.zeros(0, np.uint8)
-        s, e = _scan(self.data)
+        s, e = _scan(self.data, contractions)
         edges = np.cumsum([len(r) + 1 for _, r in plain]) if plain else np.zeros(0, np.int64)
         own = np.array([k for k, _ in plain], np.int64)[np.searchsorted(edges, s, side="right")] if plain else np.zeros(0, np.int64)
         starts.append(s), ends.append(e), owner.append(own), special.append(np.zeros(len(s), np.int64))
@@ -130,7 +131,7 @@ class Pretokens:
         self.starts, self.ends, self.owner, self.special = (np.concatenate(x)[order] for x in (starts, ends, owner, special))
 
 
-def _scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scan(data: np.ndarray, contractions: bool) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the pre-tokens of lower-case UTF-8 bytes with code points below U+0250."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -147,7 +148,7 @@ def _scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[0] = True
     first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
     first &= ~follow
-    quote = np.flatnonzero((data == 39) & first & (kind == 3))
+    quote = np.flatnonzero((data == 39) & first & (kind == 3) & contractions)
     if len(quote):
         padded = np.concatenate([data, np.zeros(3, np.uint8)])
         a, b = padded[quote + 1], padded[quote + 2]

@@ -31,6 +31,26 @@ def test_bpe_equals_the_library(encoder):
         assert decoded.decode() == t.decode(want, skip_special_tokens=False) and encoder.decode(ids) == decoded
 
 
+def test_bpe_of_every_code_point(encoder):
+    """Each between two letters, the letters of newer versions of Unicode too."""
+    t = Tokenizer.from_file(PATH)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 1 << 16):
+        texts = [" ".join(f"a{c}b" for c in points[b : b + 512]) for b in range(a, min(a + (1 << 16), len(points)), 512)]
+        want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
+def test_words_of_a_language_have_no_contractions():
+    texts = ["'s", "3's", "12 'll 34", "\"'S=", "it's", "''", "7 '", "日's"]
+    data, starts, ends, owner = language.words_of(texts)
+    raw = data.tobytes()
+    words = [[] for _ in texts]
+    for a, b, k in zip(starts, ends, owner, strict=True):
+        words[k].append(raw[a:b].decode())
+    assert words == [["s"], ["s"], ["ll"], ["s"], ["it", "s"], [], [], ["日", "s"]]
+
+
 def test_bins_hold_all_and_are_few():
     r = np.random.default_rng(0)
     for n in (0, 1, 7, 500):
