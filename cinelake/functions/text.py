@@ -34,12 +34,20 @@ def alias_key(text: str | None) -> str:
     return _words(unicodedata.normalize("NFKC", text or "").casefold())
 
 
-def similarity(a: str | None, b: str | None) -> float:
-    """Share of matching blocks of two titles' alias keys, 0 to 100, one decimal. The order of the two matters."""
-    x, y = alias_key(a), alias_key(b)
+def ratio_of_keys(x: str, y: str, matcher: difflib.SequenceMatcher | None = None) -> float:
+    """Share of matching blocks of two alias keys, 0 to 100, one decimal. matcher: one whose second text is y already."""
     if not x or not y:
         return 0.0
-    return 100.0 if x == y else round(difflib.SequenceMatcher(None, x, y).ratio() * 100, 1)
+    if x == y:
+        return 100.0
+    matcher = matcher or difflib.SequenceMatcher(None, "", y)
+    matcher.set_seq1(x)
+    return round(matcher.ratio() * 100, 1)
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """ratio_of_keys of two titles' alias keys. The order of the two matters."""
+    return ratio_of_keys(alias_key(a), alias_key(b))
 
 
 @pandas_udf(StringType())

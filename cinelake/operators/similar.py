@@ -1,59 +1,148 @@
-"""Similarity of every text of one table with every text of another, in blocks."""
+"""Pairs of texts whose similarity reaches a threshold: candidates that share a segment, exact bounds, then the ratio itself."""
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinelake.functions.text import alias_key
+from cinelake.functions.text import normalize_alias, or_empty, ratio_of_keys
+from cinelake.sources.snapshots import written
 
-#: Rows of the right side that one task takes at a time.
-BLOCK = 16
+#: Rows of a batch of segments.
+BATCH = 50_000
 
 
-def compared(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, similarity for every row of left (doc_id, a) with every row of right (item_id, b).
+class Bounds:
+    """What a similarity of at least ``least`` percent (one decimal, half of it allowed for rounding) says of two lengths.
 
-    The value is functions.text.similarity of the whole texts, null as empty. Left rows are dealt out evenly; right rows
-    come in blocks of about ``block``, and each left row meets each block once, so the pairs of a long text can be split
-    over tasks and no pair is left out. A block's keys and difflib's tables of them are made once per Arrow batch.
+    The matching blocks of two texts follow each other in both, so M matched characters leave len(a) + len(b) - 2 M edits,
+    each of which spoils one segment of b at most.
     """
-    spark = left.sparkSession
-    blocks = max(1, -(-right.count() // block))
-    right = right.groupBy(F.pmod(F.xxhash64("item_id", "b"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "b")).alias("items"))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    pairs = left.select("doc_id", "a").repartition(width).crossJoin(right)
+
+    def __init__(self, least: float):
+        if not 70 <= least <= 100:
+            raise ValueError("the bounds need a similarity of 70 to 100")
+        self.least, self.share = least, (least - 0.05) / 100 - 1e-9
+
+    def edits(self, both: int) -> int:
+        return int((1 - self.share) * both)
+
+    def partners(self, size: int) -> tuple[int, int]:
+        """Lengths that a text of this length can be similar to."""
+        wide = (2 - self.share) / self.share
+        return max(1, -int(-size / wide // 1)), int(size * wide)
+
+    def segment(self, size: int) -> tuple[int, int]:
+        """The length of a text's segments and how many of them any partner must hold one of. Segments of four and more are
+        cut a character shorter than that needs, which leaves a choice of rare ones."""
+        need = self.edits(size + self.partners(size)[1]) + 1
+        length = max(1, size // need)
+        return length - 1 if length > 3 else length, min(need, size)
+
+    def matched(self, a: int | np.ndarray, b: int | np.ndarray) -> float | np.ndarray:
+        """Characters that two texts of these lengths must have in common at least."""
+        return self.share * (a + b) / 2
+
+
+def _cut(nodes: DataFrame, bounds: Bounds, every: bool) -> DataFrame:
+    """node, size, place, gram, need of keys: their segments, or (every) all grams as long as a partner's segments may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = lru_cache(4096)(lambda size: sorted({bounds.segment(n)[0] for n in range(bounds.partners(size)[0], bounds.partners(size)[1] + 1)}))
+        names = ["node", "size", "place", "gram", "need"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        rows: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            known: dict[str, tuple[str, difflib.SequenceMatcher]] = {}
-            keys: dict[str, str] = {}
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
-                x = keys.get(text)
-                if x is None:
-                    keys = {text: alias_key(text)}  # a text's blocks follow each other
-                    x = keys[text]
-                ids, found = [], []
-                for item in batch.column(3)[k].as_py():
-                    other = item["b"] or ""
-                    if other not in known:
-                        y = alias_key(other)
-                        known[other] = (y, difflib.SequenceMatcher(None, "", y))
-                    y, matcher = known[other]
-                    ids.append(item["item_id"])
-                    if not x or not y:
-                        found.append(0.0)
-                    elif x == y:
-                        found.append(100.0)
-                    else:
-                        matcher.set_seq1(x)
-                        found.append(round(matcher.ratio() * 100, 1))
-                own = pa.array([batch.column(0)[k].as_py()] * len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.int64()), pa.array(found, pa.float64())], ["doc_id", "item_id", "similarity"])
-
-    return pairs.select("doc_id", "a", "block", "items").mapInArrow(run, "doc_id long, item_id long, similarity double")
+            for node, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = len(key)
+                length, need = bounds.segment(size)
+                for n in lengths(size) if every else [length]:
+                    for at in range(0, size - n + 1, 1 if every else n):
+                        rows.append((node, size, at, key[at : at + n], need))
+                        if len(rows) == BATCH:
+                            yield made()
+                            rows = []
+        if rows:
+            yield made()
+
+    return nodes.select("node", "key").mapInArrow(run, "node long, size int, place int, gram string, need int")
+
+
+def _counts(keys: list[str]) -> np.ndarray:
+    """How often characters occur in each key, in 64 classes of characters."""
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 64
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    return np.bincount(64 * owner + codes, minlength=64 * len(keys)).reshape(-1, 64)
+
+
+def _verified(pairs: DataFrame, bounds: Bounds) -> DataFrame:
+    """a, b, similarity of the pairs (a, b, a_key, b_key) that reach the threshold. Lengths and the counts of characters, which
+    bound the ratio from above, come first, for a batch at once; the ratio is difflib's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, last = difflib.SequenceMatcher(None), None
+        for batch in batches:
+            (x, i), (y, j) = ((d.dictionary.to_pylist(), d.indices.to_numpy()) for d in (batch.column(k).dictionary_encode() for k in (2, 3)))
+            sizes = [np.array([len(k) for k in own], np.int64)[at] for own, at in ((x, i), (y, j))]
+            least, most, left, right = bounds.matched(*sizes), np.minimum(*sizes), _counts(x), _counts(y)
+            for k in range(0, len(i), BATCH):
+                part = slice(k, k + BATCH)
+                most[part] = np.minimum(most[part], np.minimum(left[i[part]], right[j[part]]).sum(axis=1))
+            near, found = np.flatnonzero(most >= least), []
+            for k in near.tolist():
+                if y[j[k]] != last:
+                    last = y[j[k]]
+                    matcher.set_seq2(last)
+                found.append(ratio_of_keys(x[i[k]], last, matcher))
+            hit = np.array(found, np.float64) >= bounds.least
+            own = batch.take(pa.array(near[hit]))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.array(found, np.float64)[hit])], ["a", "b", "similarity"])
+
+    return pairs.select("a", "b", "a_key", "b_key").mapInArrow(run, "a long, b long, similarity double")
+
+
+def keyed(df: DataFrame, text: str) -> DataFrame:
+    """df with ``key``, the normal form of a text by which titles are compared; null counts as empty."""
+    return df.withColumn("key", normalize_alias(or_empty(F.col(text))))
+
+
+def similar_keys(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity for all keys of left and right (column ``key``) whose similarity is ``least`` or more (70 at least).
+
+    The value is functions.text.similarity of the two, in this order. Keys are compared once each, however many rows have
+    them; empty ones are similar to nothing. No rows on a side give none.
+
+    By the pigeonhole, of edits + 1 segments of b one stands in a as it is, not farther from its place than the edits allow.
+    Of b's segments the rarest are kept; they meet the grams of a by equality. So no pair is looked at that shares no
+    segment; what is left goes through the bounds by length and by counts of characters, and then through the ratio.
+    """
+    bounds = Bounds(least)
+    nodes = lambda df, name: written(df.select("key").where("key <> ''").distinct().withColumn("node", F.monotonically_increasing_id()), name)
+    a, b = nodes(left, "left"), nodes(right, "right")
+    size = F.length("key")
+    shortest, longest = b.agg(F.min(size), F.max(size)).first()
+    if shortest is None:
+        shortest, longest = 1, 0
+    fit = a.where(size.between(bounds.partners(shortest)[0], bounds.partners(max(longest, 1))[1]) & F.lit(longest > 0))
+    cut = written(_cut(b, bounds, False), "segments")
+    often = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rare = F.row_number().over(W.partitionBy("node").orderBy("often", "place"))
+    cut = cut.join(often, "gram").withColumn("rare", rare).where("rare <= need")
+    cut = cut.select("gram", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"))
+    grams = _cut(fit, bounds, True).select("gram", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"))
+    edits = F.floor((F.col("a_size") + F.col("b_size")) * (1 - bounds.share))
+    longer, shift = F.col("a_size") - F.col("b_size"), F.col("a_place") - F.col("b_place")
+    met = grams.join(cut, "gram").where((F.abs(longer) <= edits) & (2 * shift <= edits + longer) & (-2 * shift <= edits - longer))
+    pairs = written(met.select("a", "b").distinct(), "candidates")
+    pairs = pairs.join(a.select(F.col("node").alias("a"), F.col("key").alias("a_key")), "a").join(b.select(F.col("node").alias("b"), F.col("key").alias("b_key")), "b")
+    found = written(_verified(pairs.sortWithinPartitions("b"), bounds), "similar")
+    named = lambda df, n: df.select(F.col("node").alias(n), F.col("key").alias(f"{n}_key"))
+    return found.join(named(a, "a"), "a").join(named(b, "b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "similarity")

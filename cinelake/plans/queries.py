@@ -10,7 +10,7 @@ from cinelake.operators import compare as C
 from cinelake.operators import duplicates, films
 from cinelake.operators.filenames import parse_filenames
 from cinelake.operators.records import inventory_records
-from cinelake.operators.similar import compared
+from cinelake.operators.similar import keyed, similar_keys
 from cinelake.plans import media, reports
 from cinelake.sources import cache
 from cinelake.config import Settings
@@ -157,9 +157,16 @@ def q18(spark, d):
 
 
 def q19(spark, d):
-    """Every document with every benchmark item, both whole."""
-    b = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    return compared(_table(spark, d, "documents").select("doc_id", F.col("text").alias("a")), b)
+    """Different names of clients that are nearly the same."""
+    names = keyed(_table(spark, d, "clients").select("name").distinct(), "name")
+    return similar_keys(names, names, 95).where("a <> b").select(F.col("a").alias("name"), F.col("b").alias("other"), "similarity")
+
+
+def q27(spark, d):
+    """Titles of film groups that are nearly the same."""
+    titles = records(spark, d).where(films.skip_reason(F.col("filename_title"), F.col("filename"), F.col("normalized_title"), F.col("filename_standard")).isNull())
+    titles = keyed(titles.select("normalized_title").distinct(), "normalized_title")
+    return similar_keys(titles, titles, 85).where("a <> b").select(F.col("a").alias("title"), F.col("b").alias("other"), "similarity")
 
 
 def _catalogue(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,7 +247,7 @@ NAMES = {
     "q07_streams": q07, "q08_hdr_depth_rates": q08, "q09_rename_rows": q09, "q10_metadata_review": q10, "q11_exact_duplicates": q11, "q12_hash_cascade": q12,
     "q13_same_film": q13, "q14_best_versions": q14, "q15_local_groups": q15, "q16_skip_reasons": q16, "q17_score_components": q17, "q18_scores": q18,
     "q19_similarity": q19, "q20_film_records": q20, "q21_film_aliases": q21, "q22_review_rows": q22, "q23_enrichment": q23, "q24_summary": q24,
-    "q25_record_cache": q25, "q26_response_cache": q26,
+    "q25_record_cache": q25, "q26_response_cache": q26, "q27_similar_titles": q27,
 }
 QUERIES = NAMES
 
@@ -398,6 +405,18 @@ ORACLES = {
       ('Exact duplicate rows', (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM m5 GROUP BY k % 40) WHERE n > 1)), ('Possible same-film rows', (SELECT count(*) FROM f WHERE n3 > 1)),
       ('Multi-version title groups', (SELECT count(*) FROM (SELECT norm FROM m5 WHERE length(norm) >= 3 GROUP BY norm HAVING count(*) > 1)))) v(metric, value))
       SELECT metric, value::BIGINT::VARCHAR AS value FROM c UNION ALL SELECT 'Generated', '2024-01-01 00:00:00'""",
+    # Titles of one name share all before their numbers; of numbers of three digits at most, what differs after a common start
+    # matches by a common piece of two digits, or digit by digit in order.
+    "q27_similar_titles": media.DUCK
+    + """, t AS (SELECT DISTINCT norm, regexp_extract(norm, '^(.* )[0-9]+$', 1) AS name, regexp_extract(norm, '([0-9]+)$', 1) AS n FROM m5 WHERE defect NOT IN (5, 6)),
+      p AS (SELECT a.norm AS title, b.norm AS other, length(a.name) AS l, a.n AS u, b.n AS v, CASE WHEN a.n[1] <> b.n[1] THEN 0 WHEN a.n[2] <> b.n[2] OR a.n[2] = '' OR b.n[2] = '' THEN 1 ELSE 2 END AS c
+            FROM t a JOIN t b ON a.name = b.name AND a.norm <> b.norm),
+      r AS (SELECT *, u[c + 1 :] AS x, v[c + 1 :] AS y FROM p),
+      s AS (SELECT *, (length(x) >= 2 AND contains(y, x[1:2])) OR (length(x) >= 3 AND contains(y, x[2:3])) AS two, CASE WHEN x <> '' THEN strpos(y, x[1]) ELSE 0 END AS j FROM r),
+      s2 AS (SELECT *, y[j + 1 :] AS y2, CASE WHEN length(x) >= 2 THEN strpos(y[j + 1 :], x[2]) ELSE 0 END AS j2 FROM s),
+      s3 AS (SELECT *, CASE WHEN length(x) >= 3 THEN strpos(y2[j2 + 1 :], x[3]) ELSE 0 END AS j3 FROM s2),
+      m AS (SELECT title, other, l + c + CASE WHEN two THEN 2 ELSE (j > 0)::INT + (j2 > 0)::INT + (j3 > 0)::INT END AS matched, length(title) + length(other) AS total FROM s3)
+      SELECT title, other, round_even(200.0::DOUBLE * matched / total, 1)::DOUBLE AS similarity FROM m WHERE round_even(200.0::DOUBLE * matched / total, 1) >= 85""",
     "q25_record_cache": media.DUCK
     + """ SELECT filename AS path, CASE WHEN k % 6 = 0 THEN 'known' ELSE 'probe' END AS state FROM m5 UNION ALL
       SELECT 'snapshot new', count(*)::VARCHAR FROM m5 WHERE k % 6 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'snapshot {}', count(*)::VARCHAR FROM m5 WHERE k % 6 = 0 AND filename NOT IN (SELECT filename FROM m5 WHERE k % 6 <> 0) HAVING count(*) > 0""",
