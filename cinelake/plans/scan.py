@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +45,25 @@ def record_schema(records: DataFrame) -> T.StructType:
     return T.StructType([records.schema[c] for c in FIELDS])
 
 
-def scan(spark: SparkSession, own: Settings, program: str) -> dict[str, DataFrame]:
-    """records, and the reports by name. Files whose size and time are those of a kept record are not probed again; failed
-    probes are kept, too. Records are written back with their hashes."""
+def scan(spark: SparkSession, own: Settings, program: str, say: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
+    """records, and the reports by name. Files whose size and time are those of a kept record that can be read are not probed
+    again; failed probes are kept, too. Records are written back with their hashes. say: gets a line for each step."""
+    say = say or (lambda text: None)
     listing = written(files.list_archive(spark, list(own.roots)), "listing")
+    n = listing.count()
+    say(f"Found {n} media files.")
     old = cache.read_snapshot(spark, own.cache)
-    known, todo = cache.split_known(listing, old.limit(0) if own.refresh else old)
-    known = written(known, "known")  # the snapshot that it reads is replaced below
-    fresh = inventory_records(files.probed(written(todo, "todo"), program))
-    schema = record_schema(fresh)
+    schema = record_schema(inventory_records(listing.limit(0).withColumns({"probe_json": F.lit(""), "error": F.lit("")})))
+    readable = F.from_json("record_json", schema)["path"] == F.col("path")
+    known, todo = cache.split_known(listing, old.limit(0) if own.refresh else old, readable)
+    known, todo = written(known, "known"), written(todo, "todo")
+    hits = known.count()
+    probed = written(files.probed(todo, program), "probed")
+    say(f"[{n}/{n}] scanned  (cache hits: {hits})")
+    fresh = inventory_records(probed)
     again = known.select("ord", F.from_json("record_json", schema).alias("r")).select("ord", "r.*")
     records = written(fresh.unionByName(again), "records")
+    say("Duplicate hashing...")
     hashed = duplicates.hash_cascade(records, lambda t: files.hashed(t, "quick"), lambda t: files.hashed(t, "full"), own.hash_mode)
     said = F.concat_ws(" | ", F.nullif("error", F.lit("")), F.nullif("hash_error", F.lit("")))
     records = written(hashed.withColumn("error", said).select("ord", *FIELDS), "hashed")

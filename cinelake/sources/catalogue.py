@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -9,24 +10,27 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.sources.cache import answered
+from cinelake.sources.cache import answered, store_answers
 from cinelake.sources.snapshots import written
 
 
 @dataclass(frozen=True)
 class Catalogue:
-    """Access to the catalogue's service. ``fetch`` is replaced in tests."""
+    """Access to the catalogue's service, asked at most ``per_second`` times a second by all tasks (0: as they can). ``fetch`` is
+    replaced in tests."""
 
     base: str = "https://api.themoviedb.org/3"
     token: str = ""
     key: str = ""
     language: str = "en-US"
     timeout: float = 20
+    per_second: float = 40
     fetch: Callable[[str, dict, float], str] | None = None
 
     @property
@@ -38,8 +42,9 @@ class Catalogue:
         return path + "?" + urllib.parse.urlencode(sorted((k, v) for k, v in params.items() if v not in (None, "")))
 
     def get(self, path: str, params: dict) -> str:
-        """The response as JSON text. Three attempts: waits as told (10 s at most) when asked to slow down, 1 and 2 s
-        after network failures; other answers are errors with at most 500 characters of their text."""
+        """The response as JSON text. Three attempts: when asked to slow down, waits as many seconds as told (10 at most; 2, then
+        4, if no number is given), and 1 and 2 s after network failures, a broken connection or a timeout too; other answers
+        are errors with at most 500 characters of their text."""
         params = {k: v for k, v in params.items() if v not in (None, "")}
         if self.key:
             params["api_key"] = self.key
@@ -53,12 +58,13 @@ class Catalogue:
                     return r.read().decode("utf-8")
             except urllib.error.HTTPError as e:
                 if e.code == 429 and attempt < 3:
-                    time.sleep(min(10, float(e.headers.get("Retry-After") or 1)))
+                    told = str(e.headers.get("Retry-After") or "").strip()
+                    time.sleep(min(10, int(told) if told.isdecimal() and int(told) else 2 * attempt))
                     continue
-                raise RuntimeError(f"HTTP {e.code}: {e.read()[:500].decode('utf-8', 'replace')}") from e
-            except urllib.error.URLError as e:
+                raise RuntimeError(f"HTTP {e.code}: {e.read()[:500].decode('utf-8', 'replace') or e.reason}") from e
+            except (OSError, http.client.HTTPException) as e:
                 if attempt == 3:
-                    raise RuntimeError(f"network: {e.reason}") from e
+                    raise RuntimeError(f"network: {getattr(e, 'reason', '') or e or type(e).__name__}") from e
                 time.sleep(attempt)
         raise RuntimeError("no attempt left")
 
@@ -89,27 +95,45 @@ def _keyed(rows: DataFrame, catalogue: Catalogue, request: Callable[..., tuple[s
     return rows.mapInPandas(each, fields + ", path string, params string, cache_key string")
 
 
-def asked(requests: DataFrame, catalogue: Catalogue, tasks: int = 2) -> DataFrame:
-    """cache_key, response, error of requests; few tasks, so that the service isn't flooded."""
+def asked(requests: DataFrame, catalogue: Catalogue, folder: str, tasks: int = 2, together: int = 20) -> DataFrame:
+    """cache_key, response, error of requests, and the responses stored in the folder, ``together`` of them in a file and at the
+    latest when a task ends or fails.
+
+    A few tasks share the service's rate: each may ask per_second / tasks times a second. Whatever goes wrong with a request is
+    the error of its key alone.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, path, params in zip(batch["cache_key"], batch["path"], batch["params"], strict=True):
-                try:
-                    response = catalogue.get(path, json.loads(params))
-                    json.loads(response)
-                    rows.append((key, response, ""))
-                except (RuntimeError, ValueError) as e:
-                    rows.append((key, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["cache_key", "response", "error"])
+        held, due = [], 0.0
+        try:
+            for batch in batches:
+                rows = []
+                for key, path, params in zip(batch["cache_key"], batch["path"], batch["params"], strict=True):
+                    if catalogue.per_second > 0:
+                        time.sleep(max(0.0, due - time.monotonic()))
+                        due = time.monotonic() + tasks / catalogue.per_second
+                    try:
+                        response = catalogue.get(path, json.loads(params))
+                        if not isinstance(json.loads(response), dict):
+                            raise ValueError("the response is no object")
+                        rows.append((key, response, ""))
+                        held.append((key, response, datetime.now(UTC)))
+                    except Exception as e:  # noqa: BLE001
+                        rows.append((key, None, str(e) or type(e).__name__))
+                    if len(held) >= together:
+                        store_answers(folder, held)
+                        held = []
+                yield pd.DataFrame(rows, columns=["cache_key", "response", "error"])
+        finally:
+            if held:
+                store_answers(folder, held)
 
     return requests.select("cache_key", "path", "params").coalesce(tasks).mapInPandas(each, "cache_key string, response string, error string")
 
 
 def searched(groups: DataFrame, catalogue: Catalogue, folder: str, days: int = 30) -> DataFrame:
     """local_id, response, error for groups: a search by title and year, and where that finds nothing, by title alone."""
-    ask = lambda r: asked(r, catalogue)
+    ask = lambda r: asked(r, catalogue, folder)
     keyed = written(_keyed(groups.select("local_id", "title", "year"), catalogue, catalogue.search_request, ["title", "year"]), "searches")
     first = keyed.join(answered(keyed, ask, folder, days), "cache_key").select("local_id", "title", "year", "response", "error")
     first = written(first, "found")
@@ -122,4 +146,4 @@ def searched(groups: DataFrame, catalogue: Catalogue, folder: str, days: int = 3
 def detailed(ranked: DataFrame, catalogue: Catalogue, folder: str, days: int = 30) -> DataFrame:
     """id, response, error for the distinct ids of ranked candidates."""
     keyed = written(_keyed(ranked.select("id").distinct(), catalogue, catalogue.details_request, ["id"]), "details")
-    return keyed.join(answered(keyed, lambda r: asked(r, catalogue), folder, days), "cache_key").select("id", "response", "error")
+    return keyed.join(answered(keyed, lambda r: asked(r, catalogue, folder), folder, days), "cache_key").select("id", "response", "error")

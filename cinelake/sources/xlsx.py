@@ -18,9 +18,13 @@ STATUSES = {
     "Status", "Filename Standard", "Resolution Match", "Audio Match", "Channels Match", "Audio Feature Match", "Video Match", "Metadata Check",
     "Rename Status", "Match Status", "TMDb Match",
 }
-#: Rows that a sheet of the format can hold, the labels included.
-MOST_ROWS = 1 << 20
+# The colours of labels and of lines between cells, and the columns whose numbers have three decimals.
+LABELS, LINES = "1F4E78", "D6E2EA"
+SIZES = {"Size GiB"}
+#: Rows that a sheet of the format can hold, the labels included, and characters (of UTF-16) of a cell.
+MOST_ROWS, MOST_TEXT = 1 << 20, 32_767
 _FILLS = sorted(set(COLOURS.values()))
+_CELL, _SIZE = 2 + len(_FILLS), 3 + len(_FILLS)
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -33,24 +37,40 @@ def column_name(i: int) -> str:
     return out
 
 
-def _cell(ref: str, value, status: bool = False) -> str:
+def _text(value) -> str:
+    """Text as a cell can hold it: without control characters, cut with a mark where it is too long."""
+    text = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")
+    if len(text) > MOST_TEXT // 2 and len(units := text.encode("utf-16-le", "replace")) > 2 * MOST_TEXT:
+        text = units[: 2 * (MOST_TEXT - 1)].decode("utf-16-le", "ignore") + "…"
+    return text
+
+
+def _cell(ref: str, value, label: str = "") -> str:
+    style = _SIZE if label in SIZES else _CELL
     if value is None or value == "" or value is False:
-        return ""
+        return f'<c r="{ref}" s="{style}"/>'
     if value is True:
         value = "YES"
     if isinstance(value, int | float):
-        return f'<c r="{ref}"><v>{value}</v></c>'
-    text = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")
-    style = f' s="{2 + _FILLS.index(COLOURS[text])}"' if status and text in COLOURS else ""
-    return f'<c r="{ref}" t="inlineStr"{style}><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+        return f'<c r="{ref}" s="{style}"><v>{value}</v></c>'
+    text = _text(value)
+    if label in STATUSES and text in COLOURS:
+        style = 2 + _FILLS.index(COLOURS[text])
+    return f'<c r="{ref}" t="inlineStr" s="{style}"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
 def _styles() -> str:
-    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in _FILLS)
-    xfs = '<xf fontId="0" fillId="0"/><xf fontId="1" fillId="0" applyFont="1"/>' + "".join(f'<xf fontId="0" fillId="{i + 2}" applyFill="1"/>' for i in range(len(_FILLS)))
+    """Cell formats: 0 none, 1 labels, from 2 the statuses' colours, then plain cells, then sizes."""
+    fill = lambda c: f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>'
+    side = lambda c: "".join(f'<{s} style="thin"><color rgb="FF{c}"/></{s}>' for s in ("left", "right", "top", "bottom"))
+    middle = '<alignment vertical="center"/>'
+    xfs = ['<xf fontId="0" fillId="0" borderId="0"/>', '<xf fontId="1" fillId="2" borderId="2" applyFont="1" applyFill="1" applyBorder="1" applyAlignment="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>']
+    xfs += [f'<xf fontId="0" fillId="{i + 3}" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1"><alignment horizontal="center"/></xf>' for i in range(len(_FILLS))]
+    xfs += [f'<xf fontId="0" fillId="0" borderId="1" applyBorder="1" applyAlignment="1">{middle}</xf>', f'<xf numFmtId="164" fontId="0" fillId="0" borderId="1" applyNumberFormat="1" applyBorder="1" applyAlignment="1">{middle}</xf>']
     return (
-        f'{_HEAD}<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="{2 + len(_FILLS)}"><fill/><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
-        f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{2 + len(_FILLS)}">{xfs}</cellXfs></styleSheet>'
+        f'{_HEAD}<styleSheet xmlns="{_MAIN}"><numFmts count="1"><numFmt numFmtId="164" formatCode="0.000"/></numFmts><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts>'
+        f'<fills count="{3 + len(_FILLS)}"><fill/><fill><patternFill patternType="gray125"/></fill>{fill(LABELS)}{"".join(map(fill, _FILLS))}</fills>'
+        f'<borders count="3"><border/><border>{side(LINES)}</border><border>{side(LABELS)}</border></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(xfs)}">{"".join(xfs)}</cellXfs></styleSheet>'
     )
 
 
@@ -63,9 +83,9 @@ def _sheet(out, df: DataFrame, rows: Iterator, widths: dict[str, int], fixed: in
     n = 1
     while n < most and (row := next(rows, None)) is not None:
         if n == 1:
-            put('<row r="1">' + "".join(f'<c r="{column_name(k)}1" t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for k, c in enumerate(df.columns)) + "</row>")
+            put('<row r="1" ht="34" customHeight="1">' + "".join(f'<c r="{column_name(k)}1" t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for k, c in enumerate(df.columns)) + "</row>")
         n += 1
-        put(f'<row r="{n}">' + "".join(_cell(f"{column_name(k)}{n}", v, df.columns[k] in STATUSES) for k, v in enumerate(row)) + "</row>")
+        put(f'<row r="{n}">' + "".join(_cell(f"{column_name(k)}{n}", v, df.columns[k]) for k, v in enumerate(row)) + "</row>")
     if n == 1:
         put('<row r="1"><c r="A1" t="inlineStr"><is><t>No rows</t></is></c></row>')
     put("</sheetData>" + (f'<autoFilter ref="A1:{column_name(len(df.columns) - 1)}{n}"/>' if n > 1 else "") + "</worksheet>")
