@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     if unlocked:
         print("WARNING: the catalogue is enabled but has no credentials.", file=sys.stderr)
     print("Catalogue: " + (f"language={own.catalogue.language}, cache={own.responses}" if own.catalogue else "off; local film records are made"))
-    spark = SparkSession.builder.appName("cinelake").getOrCreate()
+    spark = SparkSession.builder.appName("cinelake").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()  # plans sooner
     found = scan(spark, own, program, print)
     counts = write_reports(found, own.output)
     print("DONE")

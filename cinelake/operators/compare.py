@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cinelake.functions import tokens as T
-from cinelake.functions.text import lookup, or_empty, to_int
+from cinelake.functions.text import lookup, or_empty
 
 
 def _bare(value: Column) -> Column:
@@ -143,6 +143,3 @@ def rename_target(filename: Column, named_video: Column, actual_video: Column) -
     wanted = (F.lower(named_video) == "x264") & (canonical_video_codec(actual_video) == "h264") & filename.rlike(r"(?i)\.x264\.[^.]+$")
     return F.when(wanted, new).otherwise("")
 
-
-def numbers(streams: Column, field: str) -> Column:
-    return F.transform(streams, lambda s: to_int(F.get_json_object(s, f"$.{field}")))

@@ -47,14 +47,15 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
 
 
-def parse_filenames(df: DataFrame, filename: str = "filename", prefix: str = "") -> DataFrame:
-    """Adds the FIELDS (each with ``prefix``) for the names in a column; all are text, empty where nothing is known.
+def parse_filenames(df: DataFrame, filename: str = "filename", prefix: str = "", stems: str | None = None) -> DataFrame:
+    """Adds the FIELDS (each with ``prefix``) for the names in a column; all are text, empty where nothing is known. stems: a
+    column that has the names' NFKC stems already.
 
     The last resolution token with something after it splits a name; without one, the last release token does, and the
     missing resolution stands for SD. A name without either is UNPARSED. A null name counts as empty and is UNPARSED.
     """
     keep = df.columns
-    d = df.withColumn("_p_stem", nfkc(stem(or_empty(F.col(filename)))))
+    d = df.withColumn("_p_stem", F.col(stems) if stems else nfkc(stem(or_empty(F.col(filename)))))
     s = F.col("_p_stem")
     mode = F.when(s.rlike(_BOUNDARY), F.when(F.regexp_extract(s, _BOUNDARY, 3).rlike(_RELEASE), "full").otherwise("loose")).when(s.rlike(_RELEASE_FIRST), "sd").otherwise("none")
     d = step(d, {"_p_mode": mode, "_p_rest": F.regexp_extract(s, _BOUNDARY, 3)})
@@ -163,9 +164,9 @@ def parse_filenames(df: DataFrame, filename: str = "filename", prefix: str = "")
     return step(d, {prefix + f: out[f] for f in FIELDS}).select(*[F.col(f"`{c}`") for c in keep], *[prefix + f for f in FIELDS])
 
 
-def normalized_titles(df: DataFrame, filename: str = "filename", title: str = "title", standard: str = "standard", name: str = "normalized_title") -> DataFrame:
+def normalized_titles(df: DataFrame, filename: str = "filename", title: str = "title", standard: str = "standard", name: str = "normalized_title", stems: str | None = None) -> DataFrame:
     """Adds the normal form of the parsed title; a name whose title is empty is stripped of noise words instead."""
-    s = nfkc(stem(or_empty(F.col(filename))))
+    s = F.col(stems) if stems else nfkc(stem(or_empty(F.col(filename))))
     s = F.regexp_replace(s, T.BRACKET, " ")
     s = F.regexp_replace(s, _ANY_YEAR, " ")
     s = F.regexp_replace(s, T.EPISODE, " ")

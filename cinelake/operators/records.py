@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.functions.text import duration_text, or_empty, rate, step, to_int
+from cinelake.functions.text import duration_text, nfkc, or_empty, rate, step, to_int
 from cinelake.operators import compare as C
-from cinelake.operators.filenames import normalized_titles, parse_filenames
+from cinelake.operators.filenames import normalized_titles, parse_filenames, stem
 
 #: The record's fields in order.
 FIELDS = (
@@ -26,9 +26,22 @@ _NAMES = {
 }
 
 
-def _get(s: Column, *paths: str) -> Column:
-    """The first of the fields that is there and not empty, as text; else empty."""
-    return F.coalesce(*[F.nullif(F.get_json_object(s, f"$.{p}"), F.lit("")) for p in paths], F.lit(""))
+# The fields of a probe document that are read; tags are looked up by their exact names.
+_STREAM = (
+    "codec_type string, codec_name string, profile string, width string, height string, field_order string, avg_frame_rate string, r_frame_rate string, "
+    "pix_fmt string, color_transfer string, color_primaries string, side_data_list string, bit_rate string, channels string, channel_layout string, "
+    "disposition map<string,string>, tags map<string,string>"
+)
+_FORMAT = "duration string, bit_rate string, format_name string, tags map<string,string>"
+
+
+def _first(*values: Column) -> Column:
+    """The first that is there and not empty; else empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+
+
+def _tag(s: Column, *names: str) -> Column:
+    return _first(*[s["tags"][n] for n in names])
 
 
 def _joined(*parts: Column) -> Column:
@@ -36,85 +49,81 @@ def _joined(*parts: Column) -> Column:
 
 
 def _language(s: Column) -> Column:
-    return F.lower(F.trim(_get(s, "tags.language", "tags.LANGUAGE")))
+    return F.lower(F.trim(_tag(s, "language", "LANGUAGE")))
 
 
 def _audio_text(s: Column) -> Column:
-    count, bits = to_int(F.get_json_object(s, "$.channels")), to_int(F.get_json_object(s, "$.bit_rate"))
-    profile = _get(s, "profile")
-    size = F.when(F.coalesce(count, F.lit(0)) != 0, F.concat(count.cast("string"), F.lit("ch"))).otherwise(_get(s, "channel_layout"))
+    count, bits = to_int(s["channels"]), to_int(s["bit_rate"])
+    profile = _first(s["profile"])
+    size = F.when(F.coalesce(count, F.lit(0)) != 0, F.concat(count.cast("string"), F.lit("ch"))).otherwise(_first(s["channel_layout"]))
     speed = F.when(F.coalesce(bits, F.lit(0)) != 0, F.concat(F.bround(bits / 1000).cast("long").cast("string"), F.lit("kbps"))).otherwise("")
-    return _joined(_language(s), F.upper(_get(s, "codec_name")), F.when(F.lower(profile) == "unknown", "").otherwise(profile), size, speed)
+    return _joined(_language(s), F.upper(_first(s["codec_name"])), F.when(F.lower(profile) == "unknown", "").otherwise(profile), size, speed)
 
 
 def _subtitle_text(s: Column) -> Column:
-    return _joined(_language(s), F.upper(_get(s, "codec_name")), F.trim(_get(s, "tags.title")))
+    return _joined(_language(s), F.upper(_first(s["codec_name"])), F.trim(_tag(s, "title")))
 
 
 def probe_columns(df: DataFrame, probe: str = "probe_json", size: str = "size_bytes") -> DataFrame:
     """Adds the measured fields from a probe document (JSON text). A null, empty or unreadable document measures nothing:
-    texts are empty, numbers null, counts 0, and ``ffprobe_ok`` is false."""
-    doc = F.from_json(F.col(probe), "format string, streams array<string>")
-    d = step(df, {"_doc": doc})
+    texts are empty, numbers null, counts 0, and ``ffprobe_ok`` is false. The document is read once, and each stream once."""
+    d = step(df, {"_doc": F.from_json(F.col(probe), "format string, streams array<string>")})
     ok = F.col("_doc.format").isNotNull() | F.col("_doc.streams").isNotNull()
     streams = F.coalesce(F.col("_doc.streams"), F.array().cast("array<string>"))
-    d = step(
-        d,
-        {
-            "ffprobe_ok": F.coalesce(ok, F.lit(False)),
-            "_audio": F.filter(streams, lambda s: F.get_json_object(s, "$.codec_type") == "audio"),
-            "_subs": F.filter(streams, lambda s: F.get_json_object(s, "$.codec_type") == "subtitle"),
-            "_video": F.try_element_at(F.filter(streams, lambda s: F.get_json_object(s, "$.codec_type") == "video"), F.lit(1)),
-            "_format": F.col("_doc.format"),
-        }
-    )
+    read = F.transform(streams, lambda s: F.struct(s.alias("raw"), F.from_json(s, _STREAM).alias("s")))
+    d = step(d, {"ffprobe_ok": F.coalesce(ok, F.lit(False)), "_format": F.from_json("_doc.format", _FORMAT), "_streams": read})
+    of = lambda kind: F.filter("_streams", lambda x: x["s"]["codec_type"] == kind)
+    d = step(d, {"_audio": of("audio"), "_subs": F.transform(of("subtitle"), lambda x: x["s"]), "_video": F.try_element_at(of("video"), F.lit(1))["s"]})
     audio, video, fmt = F.col("_audio"), F.col("_video"), F.col("_format")
-    chosen = F.filter(audio, lambda s: to_int(F.get_json_object(s, "$.disposition.default")) == 1)
+    chosen = F.filter(audio, lambda x: to_int(x["s"]["disposition"]["default"]) == 1)
     d = step(
         d,
         {
-            "_primary": F.coalesce(F.try_element_at(chosen, F.lit(1)), F.try_element_at(audio, F.lit(1))),
-            "_seconds": F.get_json_object(fmt, "$.duration").try_cast("double"),
-            "_overall": to_int(F.get_json_object(fmt, "$.bit_rate")),
-            "width": to_int(F.get_json_object(video, "$.width")).cast("int"),
-            "height": to_int(F.get_json_object(video, "$.height")).cast("int"),
-            "_fps": rate(_get(video, "avg_frame_rate", "r_frame_rate")),
-            "_counts": C.numbers(audio, "channels"),
-            "_codecs": F.transform(audio, lambda s: _get(s, "codec_name")),
+            "_first": F.coalesce(F.try_element_at(chosen, F.lit(1)), F.try_element_at(audio, F.lit(1))),
+            "_seconds": fmt["duration"].try_cast("double"),
+            "_overall": to_int(fmt["bit_rate"]),
+            "width": to_int(video["width"]).cast("int"),
+            "height": to_int(video["height"]).cast("int"),
+            "_fps": rate(_first(video["avg_frame_rate"], video["r_frame_rate"])),
+            "_counts": F.transform(audio, lambda x: to_int(x["s"]["channels"])),
+            "_codecs": F.transform(audio, lambda x: _first(x["s"]["codec_name"])),
         }
     )
-    seconds, primary, w, h = F.col("_seconds"), F.col("_primary"), F.col("width"), F.col("height")
+    seconds, w, h = F.col("_seconds"), F.col("width"), F.col("height")
     most = F.nullif(F.array_max(F.transform("_counts", lambda c: F.coalesce(c, F.lit(0)))), F.lit(0))
     kbps = lambda c: F.bround(c / 1000).cast("int")
+    primary = F.col("_first")["s"]
     return step(
         d,
         {
+            "_primary_codec": _first(primary["codec_name"]),
+            "_primary_count": to_int(primary["channels"]),
             "duration_sec": F.bround(seconds, 3),
             "duration_text": duration_text(seconds),
-            "container": _get(fmt, "format_name"),
+            "container": _first(fmt["format_name"]),
             "overall_bitrate_kbps": kbps(F.nullif(F.col("_overall"), F.lit(0))),
             "computed_bitrate_kbps": F.when(seconds > 0, F.bround(F.col(size) * 8 / seconds / 1000).cast("int")),
-            "video_codec": F.upper(_get(video, "codec_name")),
-            "video_profile": _get(video, "profile"),
-            "video_encoder": F.trim(_get(video, "tags.encoder", "tags.ENCODER", "tags.writing_library", "tags.WRITING_LIBRARY")),
+            "video_codec": F.upper(_first(video["codec_name"])),
+            "video_profile": _first(video["profile"]),
+            "video_encoder": F.trim(_tag(video, "encoder", "ENCODER", "writing_library", "WRITING_LIBRARY")),
             "resolution": F.when((F.coalesce(w, F.lit(0)) != 0) & (F.coalesce(h, F.lit(0)) != 0), F.concat(w, F.lit("x"), h)).otherwise(""),
-            "actual_resolution_class": C.resolution_class(w, h, _get(video, "field_order")),
+            "actual_resolution_class": C.resolution_class(w, h, _first(video["field_order"])),
             "fps": F.bround(F.nullif(F.col("_fps"), F.lit(0.0)), 3),
-            "pixel_format": _get(video, "pix_fmt"),
-            "bit_depth": C.bit_depth(_get(video, "pix_fmt")),
-            "hdr": C.detect_hdr(_get(video, "color_transfer"), _get(video, "color_primaries"), _get(video, "pix_fmt"), _get(video, "side_data_list")),
-            "video_bitrate_kbps": F.nullif(kbps(to_int(F.get_json_object(video, "$.bit_rate"))), F.lit(0)),
+            "pixel_format": _first(video["pix_fmt"]),
+            "bit_depth": C.bit_depth(_first(video["pix_fmt"])),
+            "hdr": C.detect_hdr(_first(video["color_transfer"]), _first(video["color_primaries"]), _first(video["pix_fmt"]), _first(video["side_data_list"])),
+            "video_bitrate_kbps": F.nullif(kbps(to_int(video["bit_rate"])), F.lit(0)),
             "audio_tracks": F.size(audio),
-            "audio_summary": F.array_join(F.filter(F.transform(audio, _audio_text), lambda x: x != ""), " | "),
-            "primary_audio_codec": F.when(primary.isNull(), "").otherwise(C.display_audio_codec(_get(primary, "codec_name"))),
-            "primary_audio_channels": C.channel_label(to_int(F.get_json_object(primary, "$.channels"))),
-            "actual_audio_features": C.detect_audio_features(primary),
+            "audio_summary": F.array_join(F.filter(F.transform(audio, lambda x: _audio_text(x["s"])), lambda x: x != ""), " | "),
+            "primary_audio_codec": F.when(F.col("_first").isNull(), "").otherwise(C.display_audio_codec(_first(primary["codec_name"]))),
+            "primary_audio_channels": C.channel_label(to_int(primary["channels"])),
+            "actual_audio_features": C.detect_audio_features(F.col("_first")["raw"]),
             "max_audio_channels": most.cast("int"),
             "has_51": F.coalesce(most >= 6, F.lit(False)),
             "subtitle_tracks": F.size("_subs"),
             "subtitle_summary": F.array_join(F.filter(F.transform("_subs", _subtitle_text), lambda x: x != ""), " | "),
-            "has_english_sub": F.exists("_subs", lambda s: C.is_english(_language(s), _get(s, "tags.title"))),
-            "title_tag": F.trim(_get(fmt, "tags.title", "tags.TITLE")),
+            "has_english_sub": F.exists("_subs", lambda s: C.is_english(_language(s), _tag(s, "title"))),
+            "title_tag": F.trim(_tag(fmt, "title", "TITLE")),
         }
     )
 
@@ -130,8 +139,8 @@ def inventory_records(listing: DataFrame) -> DataFrame:
         d = d.withColumn(c, or_empty(F.col(c)) if c in d.columns else F.lit(""))
     keep = ["ord"] if "ord" in listing.columns else []
     d = d.withColumns({"path": or_empty(F.col("path")), "root": or_empty(F.col("root")), "filename": or_empty(F.col("filename"))})
-    d = parse_filenames(d.select(*keep, "path", "root", "filename", "size_bytes", "mtime_ns", "probe_json", "error", "quick_hash", "sha256"))
-    d = normalized_titles(d).withColumnsRenamed({k: v for k, v in _NAMES.items() if k != v})
+    d = d.select(*keep, "path", "root", "filename", "size_bytes", "mtime_ns", "probe_json", "error", "quick_hash", "sha256", nfkc(stem(F.col("filename"))).alias("_stem"))
+    d = normalized_titles(parse_filenames(d, stems="_stem"), stems="_stem").withColumnsRenamed({k: v for k, v in _NAMES.items() if k != v})
     d = probe_columns(d)
     ok = F.col("ffprobe_ok")
     review = lambda c: F.when(ok, c).otherwise("REVIEW")
@@ -142,8 +151,8 @@ def inventory_records(listing: DataFrame) -> DataFrame:
             "size_gib": F.bround(F.col("size_bytes") / (1 << 30), 3),
             "modified": F.date_format(F.timestamp_micros(F.expr("mtime_ns div 1000")), "yyyy-MM-dd HH:mm:ss"),
             "resolution_match": review(C.compare_resolution(F.col("name_resolution"), F.col("actual_resolution_class"))),
-            "audio_match": review(C.compare_audio_codec(F.col("name_audio"), _get(F.col("_primary"), "codec_name"), F.col("_codecs"))),
-            "channels_match": review(C.compare_audio_channels(F.col("name_channels"), to_int(F.get_json_object("_primary", "$.channels")), F.col("_counts"))),
+            "audio_match": review(C.compare_audio_codec(F.col("name_audio"), F.col("_primary_codec"), F.col("_codecs"))),
+            "channels_match": review(C.compare_audio_channels(F.col("name_channels"), F.col("_primary_count"), F.col("_counts"))),
             "audio_features_match": C.compare_audio_features(F.col("name_audio_features"), F.when(ok, F.col("actual_audio_features")).otherwise("")),
             "video_match": review(C.compare_video(F.col("name_video"), F.col("video_codec"))),
             "rename_target": F.when(ok, C.rename_target(F.col("filename"), F.col("name_video"), F.col("video_codec"))).otherwise(""),

@@ -24,7 +24,11 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def media_view(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(media.SPARK + " SELECT * FROM m2", part=_table(spark, d, "part").select("p_partkey", "p_size"))
+    part = _table(spark, d, "part").select("p_partkey", "p_size")
+    cores = spark.sparkContext.defaultParallelism
+    if part.rdd.getNumPartitions() < cores:  # names and documents are made from two numbers a row
+        part = part.repartition(cores)
+    return spark.sql(media.SPARK + " SELECT * FROM m2", part=part)
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
