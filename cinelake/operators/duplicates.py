@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions.text import or_empty
@@ -46,10 +45,15 @@ def hash_cascade(files: DataFrame, quick: Callable[[DataFrame], DataFrame], full
     return filled(first, colliding(first.where("quick_hash <> ''"), ["size_bytes", "quick_hash"]), full, "sha256")
 
 
-def exact_duplicates(records: DataFrame) -> DataFrame:
-    """Rows that share a non-empty SHA-256, with the number of their group in the order of the hash."""
+def _numbered(groups: DataFrame, keys: list[str], number: bool) -> DataFrame:
+    return numbered(groups, keys, "_group") if number else groups.withColumn("_group", F.lit(None).cast("long"))
+
+
+def exact_duplicates(records: DataFrame, number: bool = True) -> DataFrame:
+    """Rows that share a non-empty SHA-256, with the number of their group in the order of the hash (null without ``number``,
+    for those who only count)."""
     groups = records.where("sha256 <> ''").groupBy(F.col("sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = numbered(groups, ["_sha"], "_group")
+    groups = _numbered(groups, ["_sha"], number)
     return records.join(groups, F.col("sha256") == F.col("_sha")).select(
         F.col("_group").alias("Duplicate Group"),
         F.col("sha256").alias("SHA256"),
@@ -60,31 +64,36 @@ def exact_duplicates(records: DataFrame) -> DataFrame:
     )
 
 
-def same_film_groups(records: DataFrame, tolerance: int = 120) -> DataFrame:
+def same_film_groups(records: DataFrame, tolerance: int = 120, number: bool = True) -> DataFrame:
     """Probable copies of a film: equal titles of three characters or more, apart by known years, then by running time.
 
     Years part a title only if two known ones differ (unknown years then stay together); running times part a set only if
     the known ones span more than ``tolerance`` seconds, into buckets of that width (half-even; unknown ones apart). Adds
-    ``_group`` in the order of title and first appearance. records needs ``ord``; a null or zero duration is unknown.
+    ``_group`` in the order of title and first appearance (null without ``number``). records needs ``ord``; a null or zero
+    duration is unknown.
+
+    Counts, first places and spans are aggregated by title and year, of which a title has few, and by bucket, and joined back:
+    the rows of a frequent title never meet in one task.
     """
     d = records.withColumn("_title", F.trim("normalized_title")).where(F.length("_title") >= 3)
-    d = d.withColumns({"_seconds": F.nullif(F.col("duration_sec"), F.lit(0.0)), "_y": F.nullif(F.col("filename_year"), F.lit(""))})
-    title = W.partitionBy("_title")
-    d = d.withColumns({"_n1": F.count(F.lit(1)).over(title), "_years": F.coalesce(F.min("_y").over(title) != F.max("_y").over(title), F.lit(False))}).where("_n1 > 1")
-    d = d.withColumn("_yk", F.when(F.col("_years"), F.coalesce("_y", F.lit("?"))).otherwise(F.lit("*")))
-    year = W.partitionBy("_title", "_yk")
-    span = F.max("_seconds").over(year) - F.min("_seconds").over(year)
-    d = d.withColumns({"_n2": F.count(F.lit(1)).over(year), "_ord1": F.min("ord").over(year), "_wide": F.coalesce(span > tolerance, F.lit(False))}).where("_n2 > 1")
+    d = d.withColumns({"_seconds": F.nullif(F.col("duration_sec"), F.lit(0.0)), "_y": or_empty(F.col("filename_year"))})
+    one = F.count(F.lit(1)).alias("_n")
+    years = d.groupBy("_title", "_y").agg(one, F.min("ord").alias("_ord"), F.min("_seconds").alias("_least"), F.max("_seconds").alias("_most"))
+    known = F.nullif("_y", F.lit(""))
+    titles = years.groupBy("_title").agg(F.sum("_n").alias("_n1"), F.coalesce(F.min(known) != F.max(known), F.lit(False)).alias("_apart")).where("_n1 > 1")
+    years = years.join(titles, "_title").withColumn("_yk", F.when(F.col("_apart"), F.coalesce(known, F.lit("?"))).otherwise("*"))
+    sets = years.groupBy("_title", "_yk").agg(
+        F.sum("_n").alias("_n2"), F.min("_ord").alias("_ord1"), F.coalesce(F.max("_most") - F.min("_least") > tolerance, F.lit(False)).alias("_wide")
+    )
+    d = d.join(years.select("_title", "_y", "_yk").join(sets.where("_n2 > 1").drop("_n2"), ["_title", "_yk"]), ["_title", "_y"])
     bucket = F.when(~F.col("_wide"), F.lit(0)).when(F.col("_seconds").isNull(), F.lit(-1)).otherwise(F.bround(F.col("_seconds") / tolerance).cast("long"))
     d = d.withColumn("_bucket", bucket)
-    part = W.partitionBy("_title", "_yk", "_bucket")
-    d = d.withColumns({"_n3": F.count(F.lit(1)).over(part), "_ord2": F.min("ord").over(part)}).where("_n3 > 1")
-    keys = ["_title", "_ord1", "_ord2"]
-    return d.join(numbered(d.select(*keys).distinct(), keys, "_group"), keys)
+    groups = d.groupBy("_title", "_yk", "_bucket").agg(one, F.min("_ord1").alias("_ord1"), F.min("ord").alias("_ord2")).where("_n > 1").drop("_n")
+    return d.drop("_ord1").join(_numbered(groups, ["_title", "_ord1", "_ord2"], number), ["_title", "_yk", "_bucket"])
 
 
-def same_film_report(records: DataFrame, tolerance: int = 120) -> DataFrame:
-    d = same_film_groups(records, tolerance)
+def same_film_report(records: DataFrame, tolerance: int = 120, number: bool = True) -> DataFrame:
+    d = same_film_groups(records, tolerance, number)
     named = {
         "Possible Group": "_group", "Normalized Title": "_title", "Filename Year": "filename_year", "Source": "streaming_source", "Variant": "filename_variant",
         "Duration": "duration_text", "Duration sec": "duration_sec", "Resolution": "resolution", "Computed kbps": "computed_bitrate_kbps", "Video": "video_codec",

@@ -14,7 +14,7 @@ from cinelake.operators.similar import keyed, similar_keys
 from cinelake.plans import media, reports
 from cinelake.sources import cache
 from cinelake.config import Settings
-from cinelake.plans.scan import film_layer, reports_of
+from cinelake.plans.scan import film_layer, summary_of
 from cinelake.sources.files import CHUNK
 from cinelake.sources.snapshots import folder_state, kept, written
 
@@ -227,7 +227,7 @@ def q23(spark, d):
 
 def q24(spark, d):
     r = records(spark, d)
-    return reports_of(r, film_layer(r, Settings()), "2024-01-01 00:00:00")["Summary"]
+    return summary_of(r, film_layer(r, Settings()), "2024-01-01 00:00:00")
 
 
 def q25(spark, d):

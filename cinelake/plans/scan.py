@@ -73,7 +73,7 @@ def scan(spark: SparkSession, own: Settings, program: str, say: Callable[[str],
 
 
 def reports_of(records: DataFrame, layer: dict[str, DataFrame], generated: str | None = None) -> dict[str, DataFrame]:
-    """The ten sheets by name, in order."""
+    """The ten sheets by name, in order. What several sheets read is written once; the summary counts rows without making them."""
     layer = {k: written(v, k) for k, v in layer.items()}
     sheets = {
         "Inventory": reports.inventory(records, layer["enrichment"]),
@@ -86,11 +86,17 @@ def reports_of(records: DataFrame, layer: dict[str, DataFrame], generated: str |
         "Title Aliases": layer["aliases"],
         "TMDb Review": layer["reviews"],
     }
-    for name in ("Exact Duplicates", "Possible Same Film", "Multi-Version Summary"):
-        sheets[name] = written(sheets[name], "sheet")
+    return sheets | {"Summary": summary_of(records, layer, generated)}
+
+
+def summary_of(records: DataFrame, layer: dict[str, DataFrame], generated: str | None = None) -> DataFrame:
+    """The summary sheet of records and their film layer: counts only, nothing is numbered, listed or written."""
+    counted = {
+        "Film Records": layer["films"], "Title Aliases": layer["aliases"], "TMDb Review": layer["reviews"], "Exact Duplicates": duplicates.exact_duplicates(records, number=False),
+        "Possible Same Film": duplicates.same_film_report(records, number=False), "Multi-Version Summary": duplicates.best_versions(records),
+    }
     generated = generated or datetime.now().isoformat(sep=" ", timespec="seconds")
-    sheets["Summary"] = reports.summary(records, layer["enrichment"], {label: sheets[name] for label, name in reports.SIZES.items()}, generated)
-    return sheets
+    return reports.summary(records, layer["enrichment"], {label: counted[name] for label, name in reports.SIZES.items()}, generated)
 
 
 def write_reports(found: dict[str, DataFrame], path: str) -> dict[str, str]:

@@ -50,3 +50,35 @@ def test_bounds():
             assert 2 * min(size, high + 1) / (size + high + 1) * 100 < least - 0.05 and (low == 1 or 2 * (low - 1) / (size + low - 1) * 100 < least - 0.05)
     with pytest.raises(ValueError):
         Bounds(60)
+
+
+def test_no_window_gathers_a_title(spark):
+    """Probable copies of a hot title: sets as a loop makes them, and no window in the plan."""
+    from cinelake.operators.duplicates import same_film_groups
+
+    r = random.Random(4)
+    rows = [(k, r.choice(["hot film", "hot film", " hot film", "other one", "ab", ""]), r.choice(["", "1999", "2001"]) if k % 3 else "", r.choice([None, 0.0, 5400.0, 5419.0, 9000.0])) for k in range(400)]
+    rows += [(900, "lonely", "", 1.0), (901, "two of", "1990", None), (902, "two of", "1990", 60.0), (903, "two of", "", None)]
+    d = spark.createDataFrame(rows, "ord long, normalized_title string, filename_year string, duration_sec double")
+    found = same_film_groups(d)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for x in found.collect():
+        got.setdefault(x["_group"], set()).add(x.ord)
+    titles = {}
+    for k, t, y, s in rows:
+        if len(t.strip()) >= 3:
+            titles.setdefault(t.strip(), []).append((k, y, s or None))
+    want = []
+    for own in titles.values():
+        apart, sets = len({y for _, y, _ in own if y}) > 1, {}
+        for x in own:
+            sets.setdefault((x[1] or "?") if apart else "*", []).append(x)
+        for part in sets.values():
+            known, buckets = [s for _, _, s in part if s], {}
+            wide = bool(known) and max(known) - min(known) > 120
+            for k, _, s in part:
+                buckets.setdefault(0 if not wide else -1 if s is None else round(s / 120), set()).add(k)
+            want += [b for b in buckets.values() if len(b) > 1]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and len(want) > 8 and sorted(got) == list(range(1, len(want) + 1))
+    assert same_film_groups(d, number=False).count() == sum(map(len, want))
