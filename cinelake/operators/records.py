@@ -9,15 +9,17 @@ from cinelake.functions.text import duration_text, nfkc, or_empty, rate, step, t
 from cinelake.operators import compare as C
 from cinelake.operators.filenames import normalized_titles, parse_filenames, stem
 
-#: The record's fields in order.
-FIELDS = (
-    "path root filename extension size_bytes size_gib modified duration_sec duration_text container overall_bitrate_kbps computed_bitrate_kbps "
-    "video_codec video_profile video_encoder width height resolution actual_resolution_class fps pixel_format bit_depth hdr video_bitrate_kbps "
-    "audio_tracks audio_summary primary_audio_codec primary_audio_channels actual_audio_features max_audio_channels has_51 subtitle_tracks "
-    "subtitle_summary has_english_sub title_tag filename_title normalized_title filename_year name_resolution streaming_source release_type "
-    "filename_variant name_audio name_channels name_audio_features name_video filename_standard filename_parse_notes resolution_match audio_match "
-    "channels_match audio_features_match video_match metadata_check rename_candidate rename_status rename_target quick_hash sha256 ffprobe_ok error"
-).split()
+# The record's fields in order.
+FIELDS = [
+    "path", "root", "filename", "extension", "size_bytes", "size_gib", "modified", "duration_sec", "duration_text", "container",
+    "overall_bitrate_kbps", "computed_bitrate_kbps", "video_codec", "video_profile", "video_encoder", "width", "height", "resolution",
+    "actual_resolution_class", "fps", "pixel_format", "bit_depth", "hdr", "video_bitrate_kbps", "audio_tracks", "audio_summary",
+    "primary_audio_codec", "primary_audio_channels", "actual_audio_features", "max_audio_channels", "has_51", "subtitle_tracks", "subtitle_summary",
+    "has_english_sub", "title_tag", "filename_title", "normalized_title", "filename_year", "name_resolution", "streaming_source", "release_type",
+    "filename_variant", "name_audio", "name_channels", "name_audio_features", "name_video", "filename_standard", "filename_parse_notes",
+    "resolution_match", "audio_match", "channels_match", "audio_features_match", "video_match", "metadata_check", "rename_candidate", "rename_status",
+    "rename_target", "quick_hash", "sha256", "ffprobe_ok", "error",
+]
 
 _NAMES = {
     "title": "filename_title", "year": "filename_year", "resolution": "name_resolution", "source": "streaming_source", "release_type": "release_type",

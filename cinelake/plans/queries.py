@@ -222,7 +222,7 @@ def q23(spark, d):
     g = films.local_groups(r)
     enrichment = films.film_records(g, films.not_run(g))["enrichment"].unionByName(films.skipped_enrichment(r))
     sheet = reports.inventory(r, enrichment)
-    return sheet.toDF(*reports.fields(reports.INVENTORY))
+    return sheet.toDF(*[field for _, field in reports.INVENTORY])
 
 
 def q24(spark, d):
