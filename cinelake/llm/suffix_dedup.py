@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +144,7 @@ def _by_doc(kind: int, doc: np.ndarray, keys: np.ndarray, places: np.ndarray, ex
 # ---- Burrows-Wheeler transforms of string collections ------------------------------------------------------------------
 
 
-def _refine(order: np.ndarray, head: np.ndarray, loose: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _refine(order: np.ndarray, head: np.ndarray, loose: np.ndarray, key: np.ndarray, kind: str) -> np.ndarray:
     """Orders the rows at the places ``loose`` by ``key`` within their blocks, in place, and numbers the new blocks.
 
     order: the row at each place; head: the first place of each row's block, by row. Returns the places that are still in
@@ -152,7 +152,7 @@ def _refine(order: np.ndarray, head: np.ndarray, loose: np.ndarray, key: np.ndar
     """
     rows = order[loose]
     block = head[rows]
-    by = np.argsort(block * len(head) + key)
+    by = np.argsort(block * len(head) + key, kind=kind)
     rows, block, key = rows[by], block[by], key[by]
     order[loose] = rows
     new = np.ones(len(rows), bool)
@@ -163,9 +163,9 @@ def _refine(order: np.ndarray, head: np.ndarray, loose: np.ndarray, key: np.ndar
     return loose[np.repeat(size > 1, size)]
 
 
-def _blocks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(keys: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the rows by key, the first place of each row's block of equal keys, and the places in blocks of two or more."""
-    order = np.argsort(keys).astype(np.int64)
+    order = np.argsort(keys, kind=kind).astype(np.int64)
     first = _runs(keys[order])
     size = np.diff(np.append(first, len(order)))
     head = np.empty(len(order), np.int64)
@@ -179,13 +179,13 @@ def sort_suffixes(packed: np.ndarray, step: int, left: np.ndarray, owner: np.nda
     packed: the first ``step`` symbols of each suffix as a number (nothing after the end); left: symbols to the end, the
     end's own included; owner: the string, whose number decides between suffixes that are equal up to their ends.
     """
-    order, head, loose = _blocks(packed)
+    order, head, loose = _blocks(packed, "quicksort")
     while len(loose):
         rows = order[loose]
         inside = left[rows] > step  # in a block, all or none
         key = owner[rows]
         key[inside] = head[rows[inside] + step]
-        loose = _refine(order, head, loose, key)
+        loose = _refine(order, head, loose, key, "quicksort")
         step *= 2
     return order
 
@@ -240,19 +240,21 @@ def walk(back: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
 def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merges transforms by refining their interleave until it has the order of the first ``depth`` symbols.
 
-    ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard. It starts in the
-    order of the first symbols (eight at most), which the transforms give by stepping on from row to row. A round refines
-    only blocks of rows that are still equal: a block's rows are merged by the places of the suffixes that start where the
-    equal symbols end, which the interleave has ordered already, so the number of equal symbols doubles. Other rows stay,
-    and no text is compared or sorted again. Ends of strings are all different.
+    ends: strings per shard. The interleave holds, for each place of the merged order, a row of a shard; rows of one shard
+    always stand in the shard's own order, so its suffixes are never sorted anew. It starts as a stable merge of the
+    shards, ascending runs already, by their first symbols (eight at most), which the transforms give by stepping on from
+    row to row. A round takes the blocks of equal rows that are of two shards or more: a block's shards are merged, stably
+    again, by the places of the suffixes that start where the equal symbols end, which the interleave has ordered already,
+    so the number of equal symbols doubles. A block of one shard is settled: it has that shard's order. No text is compared.
+    Ends of strings are all different.
 
-    Returns, for each place, the row in the shards laid end to end, and a length of the prefix it shares with the place
-    before: ``depth`` if they share that much, else that of the last round in which they were equal. And, for ``walk``, the
-    steps back and the rows of the ends.
+    Returns, for each place, the row in the shards laid end to end, and the length of the prefix it shares with the place
+    before, ``depth`` at most. And, for ``walk``, the steps back and the rows of the ends.
     """
     symbols = np.concatenate(shards)
     n = len(symbols)
     base = np.concatenate([[0], np.cumsum([len(s) for s in shards])])
+    shard = np.repeat(np.arange(len(shards), dtype=np.int32), np.diff(base))
     ahead = np.concatenate([np.argsort(s, kind="stable").astype(np.int32) + np.int32(base[k]) for k, s in enumerate(shards)])  # without the first symbol
     back = np.empty(n, np.int32)
     back[ahead] = np.arange(n, dtype=np.int32)
@@ -262,10 +264,8 @@ def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.nd
         more = np.where(packed & np.uint64(255) != 0, packed[steps[-1]], 0)  # nothing follows an end
         packed = packed << np.uint64(8 * k) | more
         steps.append(steps[-1][steps[-1]])
-    have = min(depth, 8)
+    first = have = min(depth, 8)
     packed >>= np.uint64(8 * (8 - have))
-    order, head, loose = _blocks(packed)
-    common = np.zeros(n, np.int32)
 
     def onward(rows: np.ndarray, by: int) -> np.ndarray:
         for k in (8, 4, 2, 1):
@@ -273,17 +273,54 @@ def merge(shards: list[np.ndarray], ends: np.ndarray, depth: int) -> tuple[np.nd
                 rows, by = steps[k.bit_length() - 1][rows], by - k
         return rows
 
-    # a block whose symbols hold an end is one of ends, which all differ
+    order, head, loose = _blocks(packed, "stable")  # merges runs that ascend
+    # a block whose symbols hold an end is one of ends, which all differ: by shard, then as in the shard
     ended = packed[order[loose]] & np.uint64(255) == 0
     head[order[loose[ended]]] = loose[ended]
-    loose = loose[~ended]
-    while True:
-        common[loose[head[order[loose]] != loose]] = have
-        if have == depth or len(loose) == 0:
-            return order, common, back, lead
+    loose = _mixed(order, head, loose[~ended], shard)
+    while have < depth and len(loose):
         step = min(have, depth - have)
-        loose = _refine(order, head, loose, head[onward(order[loose], step)])
+        loose = _mixed(order, head, _refine(order, head, loose, head[onward(order[loose], step)], "stable"), shard)
         have += step
+    return order, _common(order, packed, onward, first, depth), back, lead
+
+
+def _mixed(order: np.ndarray, head: np.ndarray, loose: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """The places in blocks of two shards or more. In other blocks each row has its own place from now on."""
+    if len(loose) == 0:
+        return loose
+    cut = _runs(head[order[loose]])
+    whose = shard[order[loose]]
+    size = np.diff(np.append(cut, len(loose)))
+    mixed = np.repeat(np.minimum.reduceat(whose, cut) < np.maximum.reduceat(whose, cut), size)
+    settled = loose[~mixed]
+    head[order[settled]] = settled
+    return loose[mixed]
+
+
+def _common(order: np.ndarray, packed: np.ndarray, onward: Callable[[np.ndarray, int], np.ndarray], first: int, depth: int) -> np.ndarray:
+    """Length of the prefix that each place of the interleave shares with the place before, ``depth`` at most.
+
+    packed: the first ``first`` symbols of each row. Neighbours that agree in all of them step on and compare the next.
+    """
+    common = np.zeros(len(order), np.int32)
+    at, a, b = np.arange(1, len(order)), order[:-1], order[1:]
+    digits = np.uint64(1) << np.arange(0, 8 * first, 8, dtype=np.uint64)
+    for have in range(0, depth, first):
+        differ = packed[a] ^ packed[b]
+        equal = differ == 0
+        common[at[~equal]] = have + first - np.searchsorted(digits, differ[~equal], side="right")
+        at, a, b = at[equal], a[equal], b[equal]
+        symbols = packed[a]
+        ended = symbols & np.uint64(255) == 0
+        if ended.any():  # as many symbols as come before the end
+            common[at[ended]] = have + sum(((symbols[ended] >> np.uint64(8 * k)) & np.uint64(255) != 0).astype(np.int32) for k in range(first))
+            at, a, b = at[~ended], a[~ended], b[~ended]
+        if len(at) == 0:
+            break
+        a, b = onward(a, first), onward(b, first)
+    common[at] = depth
+    return np.minimum(common, depth)
 
 
 # ---- the operator -------------------------------------------------------------------------------------------------------

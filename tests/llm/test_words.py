@@ -145,7 +145,11 @@ def test_merged_transforms_give_common_prefixes(depth):
             n = 0
             while n < min(len(a), len(b), depth) and a[n] == b[n]:
                 n += 1
-            assert common[place] <= n and (common[place] == depth) == (n == depth) and (n == depth or a[n : n + 1] <= b[n : n + 1])
+            assert common[place] == n and (n == depth or a[n : n + 1] <= b[n : n + 1])
+        # the shards' orders are kept: no suffix is sorted anew
+        bounds = np.cumsum([0] + [len(x) for x in built])
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            assert np.all(np.diff(row[(row >= low) & (row < high)]) == 1)
 
 
 def test_transforms_are_those_of_sorted_suffixes():
