@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions.text import or_empty
+from cinelake.operators.groups import joined_lists
 from cinelake.operators.order import numbered
 
 
@@ -106,9 +107,12 @@ def same_film_report(records: DataFrame, tolerance: int = 120, number: bool = Tr
 
 
 def best_versions(records: DataFrame) -> DataFrame:
-    """A row per title (three characters or more, two files or more): its variants and the best of what its files offer."""
-    d = records.where(F.length("normalized_title") >= 3).groupBy("normalized_title")
-    d = d.agg(
+    """A row per title (three characters or more, two files or more): its variants and the best of what its files offer.
+
+    Files are its paths in the listing's order, cut as ``joined_lists`` says; Versions counts all of them.
+    """
+    own = records.where(F.length("normalized_title") >= 3)
+    d = own.groupBy("normalized_title").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_set(F.nullif("filename_variant", F.lit("")))), ", ").alias("variants"),
         F.nullif(F.max("height"), F.lit(0)).alias("height"),
@@ -116,9 +120,8 @@ def best_versions(records: DataFrame) -> DataFrame:
         F.nullif(F.max("max_audio_channels"), F.lit(0)).alias("channels"),
         F.bool_or("has_english_sub").alias("english"),
         F.bool_or(F.col("hdr") != "").alias("hdr"),
-        F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("files"),
     )
-    return d.where("n > 1").select(
+    return d.where("n > 1").join(joined_lists(own, ["normalized_title"], "path", "ord"), "normalized_title", "left").select(
         F.col("normalized_title").alias("Normalized Title"),
         F.col("n").alias("Versions"),
         F.col("variants").alias("Variants"),
@@ -127,5 +130,5 @@ def best_versions(records: DataFrame) -> DataFrame:
         F.col("channels").alias("Max Audio Ch"),
         _yes(F.col("english")).alias("Any English Subs"),
         _yes(F.col("hdr")).alias("Any HDR"),
-        F.array_join(F.col("files.path"), "\n").alias("Files"),
+        or_empty(F.col("list")).alias("Files"),
     )

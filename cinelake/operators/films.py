@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import tokens as T
 from cinelake.functions.text import casefold, normalize_alias, or_empty, title_similarity
+from cinelake.operators.groups import LIST, joined_lists, medians
 
 _NAMED = "array<struct<name:string>>"
 SEARCH = "struct<results:array<struct<id:long,title:string,original_title:string,release_date:string>>>"
@@ -29,19 +30,24 @@ def local_id(title: Column, year: Column) -> Column:
     return F.concat(F.lit("LOCAL-"), F.upper(F.substring(F.sha1(F.concat(title, F.lit("|"), year)), 1, 12)))
 
 
+def film_files(records: DataFrame) -> DataFrame:
+    """Rows of files that belong to films, with the normal title and the year of their group: norm, year."""
+    d = records.where(skip_reason(F.col("filename_title"), F.col("filename"), F.col("normalized_title"), F.col("filename_standard")).isNull())
+    return d.withColumns({"norm": F.trim("normalized_title"), "year": or_empty(F.col("filename_year"))})
+
+
 def local_groups(records: DataFrame) -> DataFrame:
     """A row per (normal title, year) of files that belong to films: local_id, title, normalized_title, year, runtime_min,
-    files, aliases, first_ord.
+    n_files, files, aliases, first_ord.
 
     The title is the most frequent one, then the shortest, then the first by case-folded text, then the first seen.
     Aliases are all titles and the title tags of two characters or more, sorted by case-folded text. The running time is
     the median of the known ones in minutes. Titles are counted per group first, so a group's rows are never gathered to
-    pick one; files and aliases are lists, as the report needs them.
+    pick one; nor are they for the median or for files, the paths in the listing's order, joined by newlines and cut as
+    ``joined_lists`` says. Aliases, of which a group has as many as different titles, are a list.
     """
-    d = records.where(skip_reason(F.col("filename_title"), F.col("filename"), F.col("normalized_title"), F.col("filename_standard")).isNull())
-    d = d.select(
-        F.trim("normalized_title").alias("norm"), or_empty(F.col("filename_year")).alias("year"), F.trim("filename_title").alias("title"),
-        F.trim("title_tag").alias("tag"), (F.when(F.col("duration_sec") > 0, F.col("duration_sec")) / 60.0).alias("minutes"), "path", "ord",
+    d = film_files(records).select(
+        "norm", "year", F.trim("filename_title").alias("title"), F.trim("title_tag").alias("tag"), (F.when(F.col("duration_sec") > 0, F.col("duration_sec")) / 60.0).alias("minutes"), "path", "ord",
     )
     by = ["norm", "year"]
     titles = d.where("title <> ''").groupBy(*by, "title").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
@@ -49,15 +55,16 @@ def local_groups(records: DataFrame) -> DataFrame:
     best = titles.groupBy(*by).agg(F.min_by("title", F.struct(-F.col("n"), F.length("title"), "fold", "first")).alias("best"))
     names = d.select(*by, F.col("title").alias("alias")).unionByName(d.where(F.length("tag") >= 2).select(*by, F.col("tag").alias("alias"))).where("alias <> ''").distinct()
     names = names.withColumn("fold", casefold("alias")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("fold", "alias"))).alias("names"))
-    core = d.groupBy(*by).agg(F.median("minutes").alias("m"), F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("f"), F.min("ord").alias("first_ord"))
-    out = core.join(best, by, "left").join(names, by, "left")
+    core = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.min("ord").alias("first_ord"))
+    out = core.join(best, by, "left").join(names, by, "left").join(medians(d, by, "minutes"), by, "left").join(joined_lists(d, by, "path", "ord"), by, "left")
     return out.select(
         local_id(F.col("norm"), F.col("year")).alias("local_id"),
         F.coalesce("best", "norm").alias("title"),
         F.col("norm").alias("normalized_title"),
         "year",
-        F.bround("m", 1).alias("runtime_min"),
-        F.col("f.path").alias("files"),
+        F.bround("median", 1).alias("runtime_min"),
+        "n_files",
+        or_empty(F.col("list")).alias("files"),
         F.coalesce(F.col("names.alias"), F.array().cast("array<string>")).alias("aliases"),
         "first_ord",
     )
@@ -175,8 +182,8 @@ def _listed(names: Column) -> Column:
     return F.array_join(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != ""), ", ")
 
 
-def film_records(groups: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
-    """films, aliases, enrichment (by path) of groups and their matches.
+def film_records(groups: DataFrame, matches: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    """films, aliases, enrichment (by path) of groups, their matches and the records that the groups are of.
 
     Groups that match the same catalogue entry with high confidence become one film; its facts come from its first member
     (by normal title and year). External aliases are added unless a local one has the same normal form. Local titles stay.
@@ -185,12 +192,13 @@ def film_records(groups: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
     order = F.struct("normalized_title", "year")
     films = m.groupBy("key").agg(
         F.min_by(F.struct("title", "year", "runtime_min", "status", "confidence", "margin", "top"), order).alias("p"),
-        F.array_sort(F.collect_list(F.struct("normalized_title", "year", "local_id", "files", "aliases"))).alias("members"),
+        F.sum("n_files").alias("_n_files"),
+        F.array_sort(F.collect_list(F.struct("normalized_title", "year", "local_id", "n_files", "files", "aliases"))).alias("members"),
     )
     accepted = F.col("key").startswith("TMDB-")
     top, p = F.col("p.top"), F.col("p")
     when = lambda c: F.when(accepted, or_empty(c.cast("string"))).otherwise("")
-    films = films.withColumns({"_aliases": F.array_distinct(F.flatten("members.aliases")), "_files": F.flatten("members.files")})
+    films = films.withColumn("_aliases", F.array_distinct(F.flatten("members.aliases")))
     local = films.select("key", accepted.alias("ok"), F.col("p.top.id").alias("id"), F.explode("_aliases").alias("alias")).withColumns({"norm": normalize_alias("alias"), "fold": casefold("alias")})
     outer = distinct_aliases(films.where(accepted).select("key", F.col("p.top.id").alias("id"), top.alias("top")), ["key", "id"], "top")
     outer = outer.join(local.select("key", "norm").distinct(), ["key", "norm"], "left_anti")
@@ -221,12 +229,13 @@ def film_records(groups: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
         when(F.array_join(F.array_distinct(F.filter(crew, lambda x: x != "")), ", ")).alias("Director"),
         when(_listed(top["production_companies"]["name"])).alias("Production Companies"),
         when(F.array_join(countries, ", ")).alias("Production Countries"),
-        F.size("_files").alias("Files"),
+        F.col("_n_files").alias("Files"),
         F.coalesce("_n", F.lit(0)).alias("Aliases"),
-        F.array_join("_files", "\n").alias("Paths"),
+        F.substring(F.array_join("members.files", "\n"), 1, LIST).alias("Paths"),
     )
     own = films.select("key", canonical.alias("canonical_title"), thai.alias("original_thai_title"), F.when(accepted, top["id"]).alias("tmdb_id"), when(top["external_ids"]["imdb_id"]).alias("imdb_id"))
-    files = m.select("key", F.col("status").alias("tmdb_match_status"), F.when(F.col("status") != "NOT_RUN", F.col("confidence")).alias("tmdb_match_confidence"), F.explode("files").alias("path"))
+    of = m.select("local_id", "key", F.col("status").alias("tmdb_match_status"), F.when(F.col("status") != "NOT_RUN", F.col("confidence")).alias("tmdb_match_confidence"))
+    files = film_files(records).select("path", local_id(F.col("norm"), F.col("year")).alias("local_id")).join(of, "local_id")
     enrichment = files.join(own, "key").select("path", F.col("key").alias("film_record_id"), "canonical_title", "original_thai_title", "tmdb_id", "imdb_id", "tmdb_match_status", "tmdb_match_confidence")
     return {"films": table, "aliases": aliases, "enrichment": enrichment.dropDuplicates(["path"])}
 

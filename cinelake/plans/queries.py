@@ -135,7 +135,7 @@ def _groups(spark, d) -> DataFrame:
 
 
 def q15(spark, d):
-    return _groups(spark, d).select("local_id", "title", "normalized_title", "year", "runtime_min", F.size("files").alias("n_files"), F.array_join("aliases", "|").alias("aliases"))
+    return _groups(spark, d).select("local_id", "title", "normalized_title", "year", "runtime_min", "n_files", F.array_join("aliases", "|").alias("aliases"))
 
 
 def q16(spark, d):
@@ -202,13 +202,13 @@ def _matched(spark, d):
 
 def q20(spark, d):
     g, matches, _ = _matched(spark, d)
-    r = films.film_records(g, matches)["films"]
+    r = films.film_records(g, matches, records(spark, d))["films"]
     return r.select(F.col("Film Record ID").alias("film"), F.col("Match Status").alias("status"), F.col("Files").alias("files"), F.col("Aliases").alias("aliases"))
 
 
 def q21(spark, d):
     g, matches, _ = _matched(spark, d)
-    r = films.film_records(g, matches)["aliases"]
+    r = films.film_records(g, matches, records(spark, d))["aliases"]
     return r.select(F.col("Film Record ID").alias("film"), F.col("Alias").alias("alias"), F.col("Alias Source").alias("source"), F.col("Status").alias("status"))
 
 
@@ -220,7 +220,7 @@ def q22(spark, d):
 def q23(spark, d):
     r = records(spark, d)
     g = films.local_groups(r)
-    enrichment = films.film_records(g, films.not_run(g))["enrichment"].unionByName(films.skipped_enrichment(r))
+    enrichment = films.film_records(g, films.not_run(g), r)["enrichment"].unionByName(films.skipped_enrichment(r))
     sheet = reports.inventory(r, enrichment)
     return sheet.toDF(*[field for _, field in reports.INVENTORY])
 

@@ -35,7 +35,7 @@ def film_layer(records: DataFrame, own: Settings) -> dict[str, DataFrame]:
         found = found.join(failed, "local_id", "left").withColumn("error", F.coalesce(F.nullif("error", F.lit("")), "failed", F.lit(""))).drop("failed")
         scored = written(films.score_candidates(groups, ranked, details.where("error = ''").drop("error")), "scored")
         matches = written(films.decide(groups, found, scored, own.least_score, own.least_margin), "matches")
-    out = films.film_records(groups, matches)
+    out = films.film_records(groups, matches, records)
     out["enrichment"] = out["enrichment"].unionByName(films.skipped_enrichment(records))
     out["reviews"] = films.review_rows(groups, matches, scored if scored is not None else films.no_candidates(groups.sparkSession))
     return out

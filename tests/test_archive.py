@@ -167,17 +167,22 @@ def test_workbook(spark, tmp_path):
 
 def test_film_decisions(spark):
     groups = spark.createDataFrame(
-        [("L1", "Alpha", "alpha", "2001", 90.0, ["p1"], ["Alpha"], 0), ("L2", "Alpha", "alpha x", "2001", 90.0, ["p2"], ["Alpha X"], 1)],
-        "local_id string, title string, normalized_title string, year string, runtime_min double, files array<string>, aliases array<string>, first_ord int",
+        [("L1", "Alpha", "alpha", "2001", 90.0, 1, "p1", ["Alpha"], 0), ("L2", "Alpha", "alpha x", "2001", 90.0, 1, "p2", ["Alpha X"], 1)],
+        "local_id string, title string, normalized_title string, year string, runtime_min double, n_files long, files string, aliases array<string>, first_ord int",
     )
-    searches = spark.createDataFrame([(k, '{"results":[{"id":7,"title":"Alpha","original_title":"","release_date":"2001-02-03"}]}') for k in ("L1", "L2")], "local_id string, response string")
+    names = "path string, filename string, filename_title string, normalized_title string, filename_year string, filename_standard string"
+    records = spark.createDataFrame([("p1", "a", "Alpha", "alpha", "2001", "CURRENT"), ("p2", "b", "Alpha X", "alpha x", "2001", "CURRENT")], names)
+    local = records.select("path", films.local_id(F.col("normalized_title"), F.col("filename_year")).alias("made"))
+    groups = groups.join(local, F.col("files") == F.col("path")).withColumn("local_id", F.col("made")).drop("path", "made")
+    searches = groups.select("local_id", F.lit('{"results":[{"id":7,"title":"Alpha","original_title":"","release_date":"2001-02-03"}]}').alias("response"))
     details = '{"id":7,"title":"Alpha","original_title":"Alfa","original_language":"th","release_date":"2001-02-03","runtime":90,"production_countries":[{"iso_3166_1":"TH","name":"Thailand"}]}'
     catalogue = spark.createDataFrame([(7, details)], "id long, response string")
     scored = films.score_candidates(groups, films.rank_candidates(groups, searches), catalogue)
     matches = films.decide(groups, searches, scored)
     assert {(r.status, r.confidence, r.margin) for r in matches.collect()} == {("HIGH_CONFIDENCE", 100.0, 100.0)}
-    out = films.film_records(groups, matches)
+    out = films.film_records(groups, matches, records)
     film = out["films"].collect()
-    assert [(r["Film Record ID"], r["Match Status"], r["Files"], r["Original Thai Title"]) for r in film] == [("TMDB-7", "HIGH_CONFIDENCE / MERGED", 2, "Alfa")]
+    assert [(r["Film Record ID"], r["Match Status"], r["Files"], r["Original Thai Title"], r["Paths"]) for r in film] == [("TMDB-7", "HIGH_CONFIDENCE / MERGED", 2, "Alfa", "p1\np2")]
+    assert sorted((r.path, r.film_record_id, r.tmdb_id) for r in out["enrichment"].collect()) == [("p1", "TMDB-7", 7), ("p2", "TMDB-7", 7)]
     assert sorted(r["Alias"] for r in out["aliases"].collect()) == ["Alfa", "Alpha", "Alpha X"]
-    assert films.film_records(groups, films.not_run(groups))["films"].count() == 2
+    assert films.film_records(groups, films.not_run(groups), records)["films"].count() == 2
