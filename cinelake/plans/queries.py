@@ -217,6 +217,32 @@ def q22(spark, d):
     return r.select(F.col("Local Group ID").alias("local_id"), F.col("Status").alias("status"), F.col("Candidate Rank").alias("rank"), F.col("Score").alias("score"), F.col("Notes").alias("notes"))
 
 
+#: Results of a search as q28 makes them, for even and for odd numbers of a title: first id, what follows the title, years
+#: after the film's, language, country.
+RESULTS = {
+    0: [(3_000_000, " Returns", 0, "en", ""), (2_000_000, "s", 0, "th", "TH"), (1_000_000, "", 2, "th", "TH")],
+    1: [(3_000_000, " Returns Again", 0, "en", "US"), (2_000_000, " Returns", 1, "th", ""), (1_000_000, "", 0, "th", "TH")],
+}
+
+
+def q28(spark, d):
+    """Three results for each group's search: their ranks and scores, and the margin between the first two."""
+    g = _groups(spark, d)
+    n = F.regexp_extract("normalized_title", r"(\d+)$", 1).try_cast("long")
+
+    def item(first: int, tail: str, later: int, language: str, country: str):
+        made = F.array(F.struct(F.lit(country).alias("iso_3166_1"), F.lit("").alias("name"))) if country else F.array().cast("array<struct<iso_3166_1:string,name:string>>")
+        released = F.concat((1990 + n % 30 + later).cast("string"), F.lit("-05-01"))
+        return F.struct((first + n).alias("id"), F.concat("title", F.lit(tail)).alias("title"), released.alias("release_date"), F.lit(language).alias("original_language"), made.alias("production_countries"))
+
+    items = F.when(n % 2 == 0, F.array(*[item(*r) for r in RESULTS[0]])).otherwise(F.array(*[item(*r) for r in RESULTS[1]]))
+    search = g.select("local_id", F.to_json(F.struct(items.alias("results"))).alias("response"))
+    entries = g.select(F.explode(items).alias("e")).groupBy("e.id").agg(F.min(F.to_json("e")).alias("response"))
+    scored = films.score_candidates(g, films.rank_candidates(g, search), entries)
+    matches = films.decide(g, search, scored).select("local_id", "status", "confidence", "margin")
+    return scored.join(matches, "local_id").select("local_id", "rank", F.col("d.id").alias("id"), "score", "title_score", "best_alias", "year_score", "status", "confidence", "margin")
+
+
 def q23(spark, d):
     r = records(spark, d)
     g = films.local_groups(r)
@@ -251,7 +277,7 @@ NAMES = {
     "q07_streams": q07, "q08_hdr_depth_rates": q08, "q09_rename_rows": q09, "q10_metadata_review": q10, "q11_exact_duplicates": q11, "q12_hash_cascade": q12,
     "q13_same_film": q13, "q14_best_versions": q14, "q15_local_groups": q15, "q16_skip_reasons": q16, "q17_score_components": q17, "q18_scores": q18,
     "q19_similarity": q19, "q20_film_records": q20, "q21_film_aliases": q21, "q22_review_rows": q22, "q23_enrichment": q23, "q24_summary": q24,
-    "q25_record_cache": q25, "q26_response_cache": q26, "q27_similar_titles": q27,
+    "q25_record_cache": q25, "q26_response_cache": q26, "q27_similar_titles": q27, "q28_ranked_candidates": q28,
 }
 QUERIES = NAMES
 
@@ -368,6 +394,25 @@ ORACLES = {
     + """ SELECT local_id, status, CASE WHEN NOT nothing THEN 1 END AS rank, CASE WHEN NOT nothing THEN score END AS score,
       CASE WHEN nothing THEN 'TMDb search returned no candidates' ELSE 'best alias: ' || CASE WHEN id % 3 = 0 THEN 'Other ' ELSE '' END || title || '; margin: ' || printf('%.1f', score) END AS notes
       FROM d WHERE status <> 'HIGH_CONFIDENCE'""",
+    "q28_ranked_candidates": media.DUCK
+    + _G
+    + """, c AS (
+      SELECT local_id, year, pos, base + id - 1000 AS id, title || tail AS name, language, country,
+        round_even(200.0::DOUBLE * length(title) / (2 * length(title) + length(tail)), 1)::DOUBLE AS ts,
+        CASE WHEN year IN ('', '20XX') THEN 50 ELSE CASE abs(try_cast(year AS INT) - (1990 + (id - 1000) % 30 + later)) WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 50 ELSE 0 END END::DOUBLE AS ys
+      FROM g, (VALUES """
+    + ", ".join(f"({odd}, {i}, {first}, '{tail}', {later}, '{language}', '{country}')" for odd, own in RESULTS.items() for i, (first, tail, later, language, country) in enumerate(own))
+    + """) v(odd, pos, base, tail, later, language, country) WHERE odd = (id - 1000) % 2
+    ), p AS (
+      SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY ts * 0.8::DOUBLE + ys * 0.2::DOUBLE DESC, pos) AS prelim,
+        round_even(ts * 0.55::DOUBLE + ys * 0.15::DOUBLE + CASE language WHEN 'th' THEN 100 ELSE 20 END::DOUBLE * 0.10::DOUBLE + CASE country WHEN 'TH' THEN 100 WHEN '' THEN 35 ELSE 10 END::DOUBLE * 0.10::DOUBLE
+          + 50::DOUBLE * 0.10::DOUBLE, 1)::DOUBLE AS score FROM c
+    ), q AS (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY score DESC, prelim)::INT AS rank FROM p),
+    m AS (SELECT local_id, max(CASE rank WHEN 1 THEN score END) AS confidence, round_even(max(CASE rank WHEN 1 THEN score END) - max(CASE rank WHEN 2 THEN score END), 1)::DOUBLE AS margin,
+      max(CASE rank WHEN 1 THEN ts END) AS first_ts, max(CASE rank WHEN 1 THEN ys END) AS first_ys FROM q GROUP BY local_id)
+    SELECT local_id, rank, id, score, ts AS title_score, name AS best_alias, ys AS year_score,
+      CASE WHEN confidence >= 90 AND margin >= 8 AND first_ts >= 88 AND (year = '' OR first_ys >= 80) THEN 'HIGH_CONFIDENCE' ELSE 'REVIEW' END AS status, confidence, margin
+    FROM q JOIN m USING (local_id)""",
     "q23_enrichment": media.DUCK
     + """ SELECT filename, path, CASE WHEN defect IN (5, 6) THEN '' ELSE 'LOCAL-' || upper(substr(sha1(norm || '|' || known_year), 1, 12)) END AS film_record_id,
       CASE WHEN defect IN (5, 6) THEN '' ELSE title END AS canonical_title, '' AS original_thai_title, NULL::BIGINT AS tmdb_id, '' AS imdb_id,
