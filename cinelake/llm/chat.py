@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import materialize
+from cinelake.llm.common import materialize, scratch_path
 
 #: Type names that Spark gives to the values of each type of a tool's schema.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
@@ -58,7 +58,8 @@ def call_levels(calls: DataFrame) -> DataFrame | None:
 
     calls: call_id, needs (array of call ids). A call without needs has level 0, its results 1; a call comes after the
     results it needs. Chains of calls with a single need are walked by doubling; ready calls of the rest leave round by
-    round, so the number of rounds is the depth of calls with several needs, and a logarithm for the chains between them.
+    round, so the number of rounds is the depth of calls with several needs, and a logarithm for the chains between them. A
+    round reads only calls and needs that still wait: levels are handed on to the waiting calls when a call leaves.
     """
     edges = calls.where("call_id IS NOT NULL").select("call_id", F.explode("needs").alias("need")).distinct()
     edges = materialize(edges.join(calls.select(F.col("call_id").alias("need")).distinct(), "need", "left_semi"), "needs")
@@ -69,24 +70,31 @@ def call_levels(calls: DataFrame) -> DataFrame | None:
     several = edges.join(counts.where("n > 1").select("call_id"), "call_id", "left_semi")
     via = chains.withColumnRenamed("call_id", "need")
     weighted = several.join(via, "need", "left").select("call_id", F.coalesce("top", "need").alias("need"), (2 + 2 * F.coalesce("dist", F.lit(0))).alias("weight"))
-    edges = materialize(weighted.groupBy("call_id", "need").agg(F.max("weight").alias("weight")), "several")
-    stuck = chains.where("top IS NULL").select("call_id")
-    pending = materialize(counts.where("n > 1").select("call_id").unionByName(stuck), "pending")
-    done = None
+    edges = weighted.groupBy("call_id", "need").agg(F.max("weight").alias("weight"))
+    stuck = chains.where("top IS NULL").select("call_id", F.lit(True).alias("stuck"))
+    pending = materialize(counts.where("n > 1").select("call_id", F.lit(False).alias("stuck")).unionByName(stuck), "pending")
+    edges = edges.join(pending.select(F.col("call_id").alias("need"), F.lit(True).alias("waits")), "need", "left")
+    edges = materialize(edges.withColumn("waits", F.col("waits").isNotNull()), "several")
+    free = edges.where("NOT waits").groupBy("call_id").agg(F.max("weight").alias("level"))
+    pending = materialize(pending.join(free, "call_id", "left"), "pending")
+    edges, spark, home, rounds = edges.where("waits").drop("waits"), calls.sparkSession, scratch_path(calls.sparkSession, "ready"), 0
+    schema = pending.select("call_id", "level").schema
     while True:
-        blocked = edges.join(pending.select(F.col("call_id").alias("need")), "need", "left_semi").select("call_id").distinct()
-        ready = edges.join(pending.join(blocked, "call_id", "left_anti"), "call_id", "left_semi")
-        if done is None:
-            ready = ready.groupBy("call_id").agg(F.max("weight").alias("level"))
-        else:
-            ready = ready.join(done.withColumnRenamed("call_id", "need"), "need", "left").groupBy("call_id").agg(F.max(F.coalesce("level", F.lit(0)) + F.col("weight")).alias("level"))
-        ready = materialize(ready, "ready")
+        # level: the most that needs which left in earlier rounds ask for; edges: only those to calls that still wait
+        path = f"{home}/{rounds}"
+        pending.where("NOT stuck").join(edges.select("call_id").distinct(), "call_id", "left_anti").select("call_id", "level").write.parquet(path)
+        ready = spark.read.schema(schema).parquet(path)
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        pending = materialize(pending.join(ready, "call_id", "left_anti"), "pending")
-    left = pending.withColumn("level", F.lit(None).cast("long"))
-    found = left if done is None else done.unionByName(left)
+        rounds += 1
+        gone = ready.select(F.col("call_id").alias("need"), F.col("level").alias("before"))
+        met = materialize(edges.join(gone.withColumn("met", F.lit(True)), "need", "left"), "several")
+        edges = met.where("met IS NULL").select("call_id", "need", "weight")
+        asked = met.where("met").groupBy("call_id").agg(F.max(F.col("before") + F.col("weight")).alias("asked"))
+        pending = pending.join(ready.select("call_id"), "call_id", "left_anti").join(asked, "call_id", "left")
+        pending = materialize(pending.select("call_id", "stuck", F.greatest("level", "asked").alias("level")), "pending")
+    done = spark.read.schema(schema).parquet(*[f"{home}/{i}" for i in range(rounds + 1)])  # one scan; the last has no rows
+    found = done.unionByName(pending.select("call_id", F.lit(None).cast("long").alias("level")))
     tops = found.select(F.col("call_id").alias("top"), "level", F.lit(True).alias("there"))
     single = chains.where("top IS NOT NULL").join(tops, "top", "left")
     single = single.select("call_id", (F.when(F.col("there"), F.col("level")).otherwise(0) + 2 * F.col("dist")).alias("level"))
