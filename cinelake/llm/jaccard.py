@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,14 +67,19 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def set_keys(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set, as signed integers; 0 for empty sets."""
+def set_keys(flat: np.ndarray, bounds: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, as signed integers; 0 for empty sets. Of the first, only the last ``bits`` bits."""
     out = []
     for salt in (np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ salt))])
         key = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ salt)
         out.append(np.where(np.diff(bounds) > 0, key, np.uint64(0)).view(np.int64))
-    return out[0], out[1]
+    return out[0] & np.uint64((1 << bits) - 1).astype(np.int64), out[1]
+
+
+def _names(keys: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Both hashes of each set as one value."""
+    return np.stack(keys, axis=1).view("V16").ravel().tolist()
 
 
 def bands(longest: int) -> np.ndarray:
@@ -237,20 +242,23 @@ def _words(table: pa.Table, name: str, at: np.ndarray) -> list[np.ndarray]:
     return [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
 
 
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct nodes of a group in unsigned order, and a row of each."""
-    node, at = np.unique(table.column("node").to_numpy().view(np.uint64), return_index=True)
-    return node.view(np.int64), at
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sets of a group, by the unsigned order of their buckets: bucket, node2, a row of each."""
+    node, node2 = table.column("node").to_numpy(), table.column("node2").to_numpy()
+    order = np.lexsort((node2, node.view(np.uint64)))
+    a, b = node[order], node2[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[new], b[new], order[new]
 
 
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
-    """lead, part, core, node: the nodes of each group (lead, part) that sketches connect with others, by such component.
+    """lead, part, core, node: the buckets of each group (lead, part) that sketches connect with others, by such component.
 
-    rows: lead, part, node, n, sketch. Nodes that no sketch connects are left out: they link with nothing in the group.
+    rows: lead, part, node, node2, n, sketch. Sets that no sketch connects are left out: they link with nothing in the group.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        node, at = _distinct(table)
+        node, _, at = _distinct(table)
         size = table.column("n").to_numpy()[at]
         root = np.arange(len(node))
         for i, j in links_within(size, _words(table, "sketch", at), None, percent):
@@ -264,17 +272,23 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(rows: DataFrame, groups: list[str], percent: int) -> DataFrame:
-    """Links (a, b) among the sets of each group. rows: the group columns, node, grams (binary)."""
+    """Links (a, a2 with b, b2) among the sets of each group. rows: the group columns, node, node2, grams (binary)."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, at = _distinct(table)
+        node, node2, at = _distinct(table)
         sets = _words(table, "grams", at)
         size = np.array([len(s) for s in sets], np.int64)
         sketches = [np.frombuffer(parity_sketch(s), np.uint64) for s in sets]
         found = np.array(links_within(size, sketches, sets, percent), np.int64).reshape(-1, 2)
-        return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+        a, b = found[:, 0], found[:, 1]
+        return pa.table({"a": node[a], "a2": node2[a], "b": node[b], "b2": node2[b]})
+
+    return rows.groupBy(*groups).applyInArrow(run, "a long, a2 long, b long, b2 long")
 
-    return rows.groupBy(*groups).applyInArrow(run, "a long, b long")
+
+def _named(key: str, key2: str) -> Column:
+    """A set's name of 128 bits."""
+    return F.struct(F.col(key).alias("k"), F.col(key2).alias("k2"))
 
 
 def _with_lead_facts(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
@@ -286,9 +300,9 @@ def _with_lead_facts(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
 
 
 def jaccard_classes(
-    df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS
+    df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS, key_bits: int = 64
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id: the smallest id that links reach; node: a hash of the set; kept:
+    """One row per input row: id, n_shingles, component_id: the smallest id that links reach; node: 128 bits of the set; kept:
     true for the rows of one set and id in each component, the smallest id.
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct ``width``-word shingles (words
@@ -303,6 +317,9 @@ def jaccard_classes(
     nodes paired with the same one meet in tasks of at most ``task_shingles`` shingles and ``task_sets`` sets: first their parity sketches, which
     leave out what can't link, then the sets of the rest, for a forest of verified links. Of a larger group, each part is
     verified with the first node, and what didn't link meets every part.
+
+    Candidates go by buckets, the first ``key_bits`` (64) of a set's 128 bits: what is found for a bucket is looked into
+    for all sets in it. Buckets of several sets are groups of their own, too. Links and components go by all 128 bits.
     """
     if percent < 75:
         raise ValueError("signatures cover percent >= 75")
@@ -312,26 +329,29 @@ def jaccard_classes(
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "__text"):
             flat, bounds = shingle_sets(texts, width)
-            k1, k2 = set_keys(flat, bounds)
+            k1, k2 = set_keys(flat, bounds, key_bits)
             sketch = pa.array([parity_sketch(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), sketch], ["__id", "__n", "__k", "__k2", "__sketch"])
 
     thin = materialize(docs.mapInArrow(hashes, "__id long, __n long, __k long, __k2 long, __sketch binary"), "sets")
-    sketches = thin.where("__n > 0").groupBy(F.col("__k").alias("__key")).agg(F.min("__n").alias("n"), F.min("__sketch").alias("sketch"))
+    sketches = thin.where("__n > 0").groupBy(F.col("__k").alias("__key"), F.col("__k2").alias("node2")).agg(F.min("__n").alias("n"), F.min("__sketch").alias("sketch"))
     thin = thin.drop("__sketch")
     grouped = tree_merge(thin, ["__k", "__k2", "__n"], [F.col("__id").isNull(), F.col("__id")], "__id")
-    grouped = materialize(grouped.select("__id", "__n", "__k", F.col("best.b1").alias("__rep"), "group_size"), "nodes")
-    nodes = grouped.where("__id <=> __rep AND __n > 0").select("__k", "__n", "__rep").dropDuplicates(["__k"])
+    grouped = materialize(grouped.select("__id", "__n", "__k", "__k2", F.col("best.b1").alias("__rep"), "group_size"), "nodes")
+    first = grouped.where("__id <=> __rep AND __n > 0")
+    nodes = first.select("__k", "__k2", "__rep").dropDuplicates(["__k", "__k2"])
+    buckets = first.groupBy("__k").agg(F.max("__n").alias("__n"), (F.min("__k2") != F.max("__k2")).alias("shared"))
+    buckets = materialize(buckets, "buckets")
 
     parts = 8 * shuffle_width(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a set's signatures leave a task once
+        seen: set[bytes] = set()  # a set's signatures leave a task once
         for _, texts in slices(batches, "__text"):
             flat, bounds = shingle_sets(texts, width)
-            key, _ = set_keys(flat, bounds)
-            fresh = []
-            for i, k in enumerate(key.tolist()):
+            keys = set_keys(flat, bounds, key_bits)
+            key, fresh = keys[0], []
+            for i, k in enumerate(_names(keys)):
                 if bounds[i + 1] > bounds[i] and k not in seen:
                     seen.add(k)
                     fresh.append(i)
@@ -357,14 +377,20 @@ def jaccard_classes(
             )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, sets = [], []
-        for batch in batches:
-            sigs += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+        now, sigs, sets = None, [], []
+        for batch in batches:  # in the order of the parts; one is worked through at a time
+            for part, sig, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if part != now:
+                    yield from pair_part(sigs, sets)
+                    now, sigs, sets = part, [], []
+                sigs.append(np.frombuffer(sig.as_buffer(), np.uint64))
+                sets.append(np.frombuffer(own.as_buffer(), np.uint64))
+        yield from pair_part(sigs, sets)
+
+    def pair_part(sigs: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
         sig, who = np.concatenate(sigs), np.concatenate(sets)
-        del sigs, sets
         order = np.argsort(sig)
         sig, who = sig[order], who[order]
         same = sig[1:] == sig[:-1]
@@ -385,23 +411,24 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], ["lead", "node"])
 
     packed = docs.select("__text").mapInArrow(sign, "part int, sigs binary, sets binary")
-    pairs = packed.repartition(shuffle_width(spark), "part").mapInArrow(pair, "lead long, node long")
+    pairs = packed.repartition(shuffle_width(spark), "part").sortWithinPartitions("part").mapInArrow(pair, "lead long, node long")
     pairs = materialize(pairs.distinct(), "pairs")
 
     # how many parts the nodes of a leader need
     needed = F.ceil(F.greatest(F.sum("__n") / task_shingles, F.count(F.lit(1)) / task_sets)).cast("int")
-    weight = pairs.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k")).groupBy("lead").agg(needed.alias("parts"))
-    weight = materialize(weight, "leaders")
+    weight = pairs.join(buckets, F.col("node") == F.col("__k")).select("lead", "__n")
+    weight = weight.unionByName(buckets.where("shared").select(F.col("__k").alias("lead"), "__n"))
+    weight = materialize(weight.groupBy("lead").agg(needed.alias("parts")), "leaders")
     # leaders of several parts have over task_sets nodes or task_shingles shingles each, so they are few
     members = _with_lead_facts(pairs, weight.where("parts > 1"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     leads = weight.select("lead", F.col("lead").alias("node"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = materialize(members.select("lead", "node", "parts", "part").unionByName(leads), "members")
 
-    rows = members.join(sketches, F.col("node") == F.col("__key")).select("lead", "part", "node", "n", "sketch")
+    rows = members.join(sketches, F.col("node") == F.col("__key")).select("lead", "part", "node", "node2", "n", "sketch")
     possible = materialize(_possible(rows, percent), "possible")
     wanted = possible.select("node").unionByName(members.where("parts > 1").select("node")).distinct()
-    wanted = wanted.join(nodes, F.col("node") == F.col("__k")).select(F.col("node").alias("__node"), "__rep")
+    wanted = wanted.join(nodes, F.col("node") == F.col("__k")).select(F.col("node").alias("__node"), F.col("__k2").alias("node2"), "__rep")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -411,66 +438,72 @@ def jaccard_classes(
     def squeeze_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = zstandard.ZstdCompressor(level=1), set()
         for _, texts in slices(batches, "__text"):
-            key = set_keys(*shingle_sets(texts, width))[0].tolist()
-            fresh = [i for i, k in enumerate(key) if k not in seen and not seen.add(k)]
+            keys = set_keys(*shingle_sets(texts, width), key_bits)
+            fresh = [i for i, k in enumerate(_names(keys)) if k not in seen and not seen.add(k)]
             packed = pa.array([packer.compress(texts[i].as_buffer()) for i in fresh], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in fresh], pa.int64()), packed], ["__key", "__z"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][fresh]), pa.array(keys[1][fresh]), packed], ["__key", "__key2", "__z"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
-                flat, bounds = shingle_sets(pa.array([unpacker.decompress(z.as_buffer()) for z in rows.column(1)], pa.large_binary()), width)
-                own = np.flatnonzero(set_keys(flat, bounds)[0] == rows.column(0).to_numpy())  # an id may have several texts
+                flat, bounds = shingle_sets(pa.array([unpacker.decompress(z.as_buffer()) for z in rows.column(2)], pa.large_binary()), width)
+                k1, k2 = set_keys(flat, bounds, key_bits)
+                own = np.flatnonzero((k1 == rows.column(0).to_numpy()) & (k2 == rows.column(1).to_numpy()))  # an id may have several texts
                 grams = [flat[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.array(grams, pa.binary())], ["__node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), pa.array(grams, pa.binary())], ["__node", "node2", "grams"])
 
     # a node's text is found by its id, and by the hash of its set where it has no id
-    texts = docs.mapInArrow(squeeze, "__id long, __z binary").join(wanted, F.col("__id") == F.col("__rep")).select("__node", "__z")
-    nameless = docs.where("__id IS NULL").mapInArrow(squeeze_keyed, "__key long, __z binary")
-    nameless = nameless.join(wanted.where("__rep IS NULL"), F.col("__key") == F.col("__node")).select("__node", "__z")
+    texts = docs.mapInArrow(squeeze, "__id long, __z binary").join(wanted, F.col("__id") == F.col("__rep")).select("__node", "node2", "__z")
+    nameless = docs.where("__id IS NULL").mapInArrow(squeeze_keyed, "__key long, __key2 long, __z binary")
+    met = (F.col("__key") == F.col("__node")) & (F.col("__key2") == F.col("node2"))
+    nameless = nameless.join(wanted.where("__rep IS NULL"), met).select("__node", "node2", "__z")
     texts = texts.unionByName(nameless)
-    sets = materialize(texts.mapInArrow(keep, "__node long, grams binary"), "grams")
-    rows = possible.join(sets, F.col("node") == F.col("__node")).select("lead", "part", "core", "node", "grams")
+    sets = materialize(texts.mapInArrow(keep, "__node long, node2 long, grams binary"), "grams")
+    rows = possible.join(sets, F.col("node") == F.col("__node")).select("lead", "part", "core", "node", "node2", "grams")
     links = materialize(_verify(rows, ["lead", "part", "core"], percent), "links")
 
     if not members.where("parts > 1").isEmpty():
         large = members.where("parts > 1")
         direct = links.select(F.col("a").alias("lead"), F.col("b").alias("node"))
         direct = direct.unionByName(links.select(F.col("b").alias("lead"), F.col("a").alias("node")))
+        shared = buckets.where("shared").select("__k")  # a link of one of its sets says nothing of the others
+        direct = direct.join(shared, F.col("lead") == F.col("__k"), "left_anti").join(shared, F.col("node") == F.col("__k"), "left_anti")
         loose = large.join(direct, ["lead", "node"], "left_anti").where("lead <> node")
-        loose = loose.join(nodes.select("__k", "__n"), F.col("node") == F.col("__k"))
+        loose = loose.join(buckets, F.col("node") == F.col("__k"))
         blocks = loose.groupBy("lead").agg(needed.alias("blocks"))
         loose = _with_lead_facts(loose, blocks, "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         loose = loose.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node")
         again = _with_lead_facts(large, blocks, "inner").select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
-        again = again.unionByName(loose).distinct().join(sets, F.col("node") == F.col("__node")).select("lead", "part", "block", "node", "grams")
+        again = again.unionByName(loose).distinct().join(sets, F.col("node") == F.col("__node")).select("lead", "part", "block", "node", "node2", "grams")
         links = links.unionByName(materialize(_verify(again, ["lead", "part", "block"], percent), "links"))
 
-    named = nodes.select(F.col("__k").alias("node"), F.col("__rep").alias("rep"))
-    component = materialize(least_ids(named, links), "components")
-    out = grouped.join(component, F.col("__k") == F.col("node"), "left")
+    named = nodes.select(_named("__k", "__k2").alias("node"), F.col("__rep").alias("rep"))
+    component = materialize(least_ids(named, links.select(_named("a", "a2").alias("a"), _named("b", "b2").alias("b"))), "components")
+    out = grouped.withColumn("__set", _named("__k", "__k2")).join(component, F.col("__set") == F.col("node"), "left")
     alone = (F.col("__n") == 0) | F.col("node").isNull()
     own = F.when(F.col("__n") == 0, F.col("__id")).when(F.col("node").isNull(), F.col("__rep"))
     return out.select(
         F.col("__id").alias(id_col),
         F.col("__n").alias("n_shingles"),
         F.when(alone, own).otherwise(F.col("component")).alias("component_id"),
-        F.col("__k").alias("node"),
+        F.col("__set").alias("node"),
         F.when(alone, F.col("__id").eqNullSafe(own)).otherwise(F.col("first") & F.col("__id").eqNullSafe(F.col("component"))).alias("kept"),
     )
 
 
 def with_nodes(df: DataFrame, width: int = 5, text_col: str = "text") -> DataFrame:
-    """The rows with ``node``, by which jaccard_classes names the set of a text (0 without shingles)."""
+    """The rows with ``node``, by which jaccard_classes names the set of a text (zeros without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text_col):
-            key, _ = set_keys(*shingle_sets(texts, width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "node"])
+            keys = set_keys(*shingle_sets(texts, width))
+            node = pa.StructArray.from_arrays([pa.array(k) for k in keys], ["k", "k2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "node"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("node", T.LongType())]))
+    node = T.StructType([T.StructField("k", T.LongType()), T.StructField("k2", T.LongType())])
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("node", node)]))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

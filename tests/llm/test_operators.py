@@ -46,8 +46,9 @@ def test_exact(spark):
     assert exact_dedup.exact_dedup(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("task", [jaccard.TASK_SHINGLES, 60])
-def test_jaccard(spark, task):
+@pytest.mark.parametrize(("task", "bits"), [(jaccard.TASK_SHINGLES, 64), (60, 64), (jaccard.TASK_SHINGLES, 4), (60, 6)])
+def test_jaccard(spark, task, bits):
+    """With few bits many sets share a bucket; they are told apart all the same."""
     rows = _texts()
     sets = {}
     for i, t in rows:
@@ -59,7 +60,7 @@ def test_jaccard(spark, task):
             if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(_docs(spark, rows), task_shingles=task).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(_docs(spark, rows), task_shingles=task, key_bits=bits).collect()}
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
 
 
@@ -67,13 +68,14 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_classes(_docs(spark, [])).count() == 0
 
 
-def test_jaccard_tasks_of_few_sets(spark):
+@pytest.mark.parametrize("bits", [64, 4])
+def test_jaccard_tasks_of_few_sets(spark, bits):
     """A leader's sets over several tasks: copies in a chain, so that links run between tasks."""
     r = random.Random(21)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(130)]
     rows = [(i, " ".join([f"x{k}" for k in range(i)] + words[i:])) for i in range(30)]
     rows += [(i + 30, " ".join(words[:9] + ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)])) for i in range(10)]
-    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(_docs(spark, rows), task_sets=4).collect()}
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(_docs(spark, rows), task_sets=4, key_bits=bits).collect()}
     assert got == {i: 0 if i < 30 else i for i in range(40)}
 
 
@@ -82,8 +84,8 @@ def test_jaccard_repeated_ids(spark):
     r = random.Random(5)
     a, b = (["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)] for _ in range(2))
     rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join([*b, "x"])), (6, " ".join([*a, "x"])), (7, " ".join([*b, "y"])), (7, " ".join(["z"] * 9))]
-    for own in (rows, rows[::-1]):
-        got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in jaccard.jaccard_classes(_docs(spark, own)).collect())
+    for own, bits in ((rows, 64), (rows[::-1], 64), (rows, 1)):
+        got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in jaccard.jaccard_classes(_docs(spark, own), key_bits=bits).collect())
         assert got == [(1, 96, 1, True), (1, 96, 1, True), (5, 97, 1, False), (6, 97, 1, False), (7, 1, 7, True), (7, 97, 1, False)]
 
 
@@ -95,7 +97,7 @@ def test_jaccard_null_id_between(spark):
         base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
         rows += [(None, " ".join(base)), (2 * k + 1, " ".join([*base, "x"])), (2 * k + 2, " ".join([*base, "y"]))]
         want |= {2 * k + 1: 2 * k + 1, 2 * k + 2: 2 * k + 1}
-    got = jaccard.jaccard_classes(_docs(spark, rows)).collect()
+    got = jaccard.jaccard_classes(_docs(spark, rows), key_bits=3).collect()
     assert {x.doc_id: x.component_id for x in got if x.doc_id is not None} == want
     assert sorted(x.component_id for x in got if x.doc_id is None) == sorted(set(want.values()))
 
