@@ -82,3 +82,30 @@ def test_no_window_gathers_a_title(spark):
             want += [b for b in buckets.values() if len(b) > 1]
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and len(want) > 8 and sorted(got) == list(range(1, len(want) + 1))
     assert same_film_groups(d, number=False).count() == sum(map(len, want))
+
+
+def test_short_texts_meet_by_what_they_share(spark, monkeypatch):
+    """Names of few syllables: candidates grow with the pairs that are found, and no table goes through the driver."""
+    from cinelake.operators import similar
+
+    r, plans, sizes = random.Random(5), [], {}
+    some = ["el", "jo", "ma", "vi", "an", "to"]
+    names = sorted({f"{''.join(r.choices(some, k=3))} {''.join(r.choices(['ström', 'dal', 'ko', 'ham'], k=3))}" for _ in range(1_500)})
+    names += ["a" * 31, "a" * 32, "a" * 33, "ab" * 15, "ab" * 16]  # on both sides of what counts as short
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = spark_written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    spark_written = similar.written
+    monkeypatch.setattr(similar, "written", watched)
+    a = keyed(spark.createDataFrame([(n,) for n in names], "t string"), "t")
+    found = similar_keys(a, a, 95)
+    rows = found.collect()
+    near = lambda x, y: abs(len(x) - len(y)) <= 3 and len(set(x) ^ set(y)) <= 3
+    want = {(x, y): ratio_of_keys(x, y) for x in names for y in names if near(x, y) and ratio_of_keys(x, y) >= 95}
+    assert {(x.a, x.b): x.similarity for x in rows} == want and len(rows) == len(want) > len(names)
+    assert sizes["candidates"] < 2 * len(rows)
+    assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
