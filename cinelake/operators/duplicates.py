@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions.text import or_empty
-from cinelake.operators.groups import joined_lists
+from cinelake.operators.groups import LIST, joined_lists
 from cinelake.operators.order import numbered
 
 
@@ -106,10 +106,11 @@ def same_film_report(records: DataFrame, tolerance: int = 120, number: bool = Tr
     )
 
 
-def best_versions(records: DataFrame) -> DataFrame:
+def best_versions(records: DataFrame, most: int | None = LIST) -> DataFrame:
     """A row per title (three characters or more, two files or more): its variants and the best of what its files offer.
 
-    Files are its paths in the listing's order, cut as ``joined_lists`` says; Versions counts all of them.
+    Files are its paths in the listing's order: the first ``most`` characters, more than a sheet's cell shows, or all (None).
+    Versions counts all of them.
     """
     own = records.where(F.length("normalized_title") >= 3)
     d = own.groupBy("normalized_title").agg(
@@ -121,7 +122,7 @@ def best_versions(records: DataFrame) -> DataFrame:
         F.bool_or("has_english_sub").alias("english"),
         F.bool_or(F.col("hdr") != "").alias("hdr"),
     )
-    return d.where("n > 1").join(joined_lists(own, ["normalized_title"], "path", "ord"), "normalized_title", "left").select(
+    return d.where("n > 1").join(joined_lists(own, ["normalized_title"], "path", "ord", most), "normalized_title", "left").select(
         F.col("normalized_title").alias("Normalized Title"),
         F.col("n").alias("Versions"),
         F.col("variants").alias("Variants"),

@@ -56,3 +56,24 @@ def test_a_title_of_many_files(spark):
     assert group.runtime_min == round(statistics.median(i % 7_001 + 61.0 for i in range(n)) / 60, 1)
     found = films.film_records(films.local_groups(d), films.not_run(films.local_groups(d)), d)
     assert found["enrichment"].count() == n and found["films"].collect()[0]["Files"] == n
+
+
+def test_whole_lists(spark, tmp_path):
+    """q14 lists every path of a title, as its SQL does, where they take more than a sheet's text; slices keep their order."""
+    import duckdb
+
+    from cinelake.plans import queries
+
+    rows = [(i % 3, f"v{i}" if i % 7 else None, (i * 7_919) % 400_009 * 3) for i in range(5_000)]  # several slices
+    d = spark.createDataFrame(rows, "k int, v string, at long").repartition(5)
+    want = {k: "\n".join(v for own, v, _ in sorted(rows, key=lambda x: x[2]) if own == k and v) for k in range(3)}
+    assert {x.k: x.list for x in joined_lists(d, ["k"], "v", "at", None).collect()} == want
+    assert joined_lists(d.limit(0), ["k"], "v", "at", None).count() == 0
+
+    spark.range(1, 1_301).select((F.col("id") * 350).alias("p_partkey"), (F.col("id") % 50 + 1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.q14(spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    asked = c.execute(queries.ORACLES["q14_best_versions"])
+    names = [x[0] for x in asked.description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(asked.fetchall()) and max(len(r.files) for r in got) > 65_536
