@@ -15,7 +15,7 @@ from cinelake.operators.records import FIELDS, inventory_records
 from cinelake.plans import reports
 from cinelake.sources import cache, files
 from cinelake.sources.catalogue import detailed, searched
-from cinelake.sources.snapshots import written
+from cinelake.sources.snapshots import compiled, written
 from cinelake.sources.xlsx import write_workbook
 
 
@@ -62,7 +62,8 @@ def scan(spark: SparkSession, own: Settings, program: str, say: Callable[[str],
     say(f"[{n}/{n}] scanned  (cache hits: {hits})")
     fresh = inventory_records(probed)
     again = known.select("ord", F.from_json("record_json", schema).alias("r")).select("ord", "r.*")
-    records = written(fresh.unionByName(again), "records")
+    with compiled(spark):
+        records = written(fresh.unionByName(again), "records")
     say("Duplicate hashing...")
     hashed = duplicates.hash_cascade(records, lambda t: files.hashed(t, "quick"), lambda t: files.hashed(t, "full"), own.hash_mode)
     said = F.concat_ws(" | ", F.nullif("error", F.lit("")), F.nullif("hash_error", F.lit("")))

@@ -186,3 +186,16 @@ def test_film_decisions(spark):
     assert sorted((r.path, r.film_record_id, r.tmdb_id) for r in out["enrichment"].collect()) == [("p1", "TMDB-7", 7), ("p2", "TMDB-7", 7)]
     assert sorted(r["Alias"] for r in out["aliases"].collect()) == ["Alfa", "Alpha", "Alpha X"]
     assert films.film_records(groups, films.not_run(groups), records)["films"].count() == 2
+
+
+def test_records_tasks_are_bounded(spark, tmp_path):
+    """One small file with many rows: a task's share doesn't grow with them; records run as code that HotSpot compiles."""
+    from cinelake.sources.snapshots import kept
+
+    n, name = 9 * queries.FILES + 1, "spark.sql.codegen.hugeMethodLimit"
+    spark.range(n, numPartitions=1).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    parts = queries.media_view(spark, str(tmp_path)).select("k").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(parts) == 10 and sum(parts) == n and max(parts) < 1.2 * queries.FILES
+    before, seen = spark.conf.get(name), []
+    kept(spark, f"{tmp_path} limits", lambda: seen.append(int(spark.conf.get(name))) or spark.range(1))
+    assert seen == [8_000] and spark.conf.get(name) == before
