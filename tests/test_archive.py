@@ -199,3 +199,20 @@ def test_records_tasks_are_bounded(spark, tmp_path):
     before, seen = spark.conf.get(name), []
     kept(spark, f"{tmp_path} limits", lambda: seen.append(int(spark.conf.get(name))) or spark.range(1))
     assert seen == [8_000] and spark.conf.get(name) == before
+
+
+def test_similar_titles_need_names_alone(spark, tmp_path, monkeypatch):
+    """q27 as its SQL says, without records, and each different name read once."""
+    import duckdb
+
+    made = []
+    monkeypatch.setattr(queries, "records", lambda *_: pytest.fail("records were made"))
+    real = queries.parse_filenames
+    monkeypatch.setattr(queries, "parse_filenames", lambda df, **k: made.append(df.count()) or real(df, **k))
+    ids = [k for k in range(700) if k % 350 < 60] * 3
+    spark.createDataFrame([(k, 1) for k in ids], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.q27(spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got) == sorted(c.execute(queries.ORACLES["q27_similar_titles"]).fetchall()) and len(got) > 100
+    assert made == [len({r.filename for r in queries.media_view(spark, str(tmp_path)).collect()})] and made[0] <= len(ids) / 3
